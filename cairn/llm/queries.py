@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules
+from pyspark.sql import functions as F
+
+from . import mixing, quality_rules, resharding
 from .common import table
 
 
@@ -15,7 +17,31 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[f"_qr.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, _ = mixing.mix(table(spark, sf_dir, "documents"))
+    return documents.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op2_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six shards by hash become eight of near-equal bytes; the rows come from the rewritten files."""
+    docs = table(spark, sf_dir, "documents")
+    old = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 6
+    _, path = resharding.reshard(docs, old, 6, 8)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return spark.read.schema("doc_id long, text string, slot long, shard int").parquet(path).select(
+        "doc_id",
+        (F.octet_length(text) + 1).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_resharding": op2_resharding,
+    "op7_mixing": op7_mixing,
     "op10_quality_rules": op10_quality_rules,
 }
 
@@ -41,5 +67,25 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
             OR word_chars / n_words < 2 OR word_chars / n_words > 30 OR n_symbols / n_words > 0.3
             OR (n_words >= 50 AND n_stop / n_words < 0.005) OR (n_lines > 0 AND n_dup_lines / n_lines > 0.6)) AS kept
 FROM m
+""",
+    "op7_mixing": r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+             ('0x' || substr(md5(doc_id::VARCHAR || ':mix'), 1, 15))::BIGINT AS place FROM documents),
+s0 AS (SELECT source, sum(size)::HUGEINT AS ss FROM d GROUP BY source),
+s1 AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS pos FROM s0),
+s2 AS (SELECT *, CASE (pos - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w, 3 * ss AS cap FROM s1),
+s3 AS (SELECT *, (sum(ss) OVER () - coalesce(sum(cap) OVER t, 0))::DOUBLE / (sum(w) OVER () - coalesce(sum(w) OVER t, 0)) AS level,
+             row_number() OVER (ORDER BY cap::DOUBLE / w, pos) AS o
+       FROM s2 WINDOW t AS (ORDER BY cap::DOUBLE / w, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+s4 AS (SELECT *, cap::DOUBLE / w > level AS free FROM s3),
+s5 AS (SELECT *, CASE WHEN free THEN (SELECT arg_min(level, o) FROM s4 WHERE free) * w ELSE cap::DOUBLE END AS target FROM s4),
+s6 AS (SELECT *, sum(round(target)::BIGINT) OVER (ORDER BY pos) AS upto, round(target)::BIGINT AS len,
+             least(1048576, greatest(64, (sum(ss) OVER ()) // 131072)) AS b FROM s5),
+s7 AS (SELECT *, ((upto + b - 1) // b - (upto - len + b - 1) // b) * b AS words FROM s6),
+p AS (SELECT doc_id, source, size, sum(size) OVER (PARTITION BY source ORDER BY place, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS start FROM d)
+SELECT doc_id, size, ss::BIGINT AS source_size, target,
+       (greatest(0, least(words, start + size) - start) + greatest(0, least(words, start + ss + size) - start - ss)
+        + greatest(0, least(words, start + 2 * ss + size) - start - 2 * ss))::BIGINT AS taken
+FROM p JOIN s7 ON p.source IS NOT DISTINCT FROM s7.source
 """,
 }
