@@ -12,6 +12,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -83,7 +84,7 @@ def running(df: DataFrame, group: list[str], place: str, value: str, ties: list[
 
 def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each slice has at most `limit` bytes of text, or one row."""
-    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     first, held = 0, 0
     for i, n in enumerate(sizes):
         if held and held + n > limit:
@@ -92,3 +93,9 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = 2 << 2
         held += int(n)
     if first < batch.num_rows:
         yield batch.slice(first)
+
+
+def sampled(labelled: DataFrame, rows: int) -> DataFrame:
+    """About `rows` of the rows, or all if there are fewer, chosen by a hash of doc_id: the same on every run."""
+    n = labelled.count()
+    return labelled if n <= rows else labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int((1 << 40) * rows / n))

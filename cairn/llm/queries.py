@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import mixing, quality_rules, resharding
+from . import langid, mixing, pairwise_quality, quality_rules, resharding, rp_forest
 from .common import table
 
 
@@ -39,9 +39,33 @@ def op2_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return rp_forest.search(rows, rows.where("vec_id % 20 = 0"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = langid.held_out(F.col("doc_id"), 4, 2)
+    model = langid.fit(docs.where(~held))
+    return langid.predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+def op8_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held = langid.held_out(F.col("doc_id"), 5, 0)
+    learn = docs.select("doc_id", "text").where(~held).join(labels.select("doc_id", "quality"), "doc_id")
+    model = pairwise_quality.fit(learn)
+    found = pairwise_quality.scored(docs, model)
+    return found.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= pairwise_quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_rp_forest": op1_rp_forest,
     "op2_resharding": op2_resharding,
+    "op3_language_id": op3_language_id,
     "op7_mixing": op7_mixing,
+    "op8_pairwise_quality": op8_pairwise_quality,
     "op10_quality_rules": op10_quality_rules,
 }
 
