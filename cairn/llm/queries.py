@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import langid, mixing, pairwise_quality, quality_rules, resharding, rp_forest
+from . import bpe, langid, mixing, pairwise_quality, quality_rules, resharding, rp_forest, wavelet
 from .common import table
 
 
@@ -51,6 +52,25 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def tokenizer(name: str) -> str:
+    """The path of a public tokenizer file; other places can be set by the environment's CAIRN_TOKENIZERS."""
+    folder = os.environ.get("CAIRN_TOKENIZERS")
+    if folder:
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op5_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = wavelet.encode(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=2)
+    return found.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), with_ids=False)
+
+
 def op8_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held = langid.held_out(F.col("doc_id"), 5, 0)
@@ -64,6 +84,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_rp_forest": op1_rp_forest,
     "op2_resharding": op2_resharding,
     "op3_language_id": op3_language_id,
+    "op5_wavelet_tokens": op5_wavelet_tokens,
+    "op6_bpe": op6_bpe,
     "op7_mixing": op7_mixing,
     "op8_pairwise_quality": op8_pairwise_quality,
     "op10_quality_rules": op10_quality_rules,
