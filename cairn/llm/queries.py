@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mixing, pairwise_quality, quality_rules, resharding, rp_forest, wavelet
+from . import bpe, langid, line_dedup, mixing, pairwise_quality, parity_join, quality_rules, resharding, rp_forest, wavelet
 from .common import table
 
 
@@ -62,6 +62,15 @@ def tokenizer(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op4_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
+    return found.select("doc_id", "n_lines", F.size("removed").alias("n_removed"), "removed", F.col("text").alias("kept_text"))
+
+
 def op5_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = wavelet.encode(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=2)
     return found.select("doc_id", "start", "n_tokens", "ids_crc32")
@@ -84,10 +93,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_rp_forest": op1_rp_forest,
     "op2_resharding": op2_resharding,
     "op3_language_id": op3_language_id,
+    "op4_parity_join": op4_parity_join,
     "op5_wavelet_tokens": op5_wavelet_tokens,
     "op6_bpe": op6_bpe,
     "op7_mixing": op7_mixing,
     "op8_pairwise_quality": op8_pairwise_quality,
+    "op9_line_dedup": op9_line_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
 
