@@ -14,10 +14,12 @@ empty table gives no file and no rows.
 from __future__ import annotations
 
 import json
+import os
 import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 from typing import Any
 
 import numpy as np
@@ -35,8 +37,10 @@ MAGIC = b"WVM1"
 #: Ids in one file at most, so that a task holds one file's worth of ids.
 MOST_IDS = 8 << 20
 #: Words whose ids a worker remembers.
-MOST_WORDS = 800_000
+MOST_WORDS = 500_000
 _BLOCK = 512
+#: Letters whose small form depends on their place or takes several letters.
+_ODD = frozenset("\u03a3\u0130")
 
 
 class WaveletMatrix:
@@ -169,6 +173,7 @@ class Words:
     """
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the cores
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
@@ -178,26 +183,31 @@ class Words:
         # for words of letters alone the cutting rules have nothing to do, and the model can take them as they are
         self.plain = Tokenizer(self.whole.model)
         self.plain.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
+        self._forget()
+
+    def _forget(self) -> None:
+        # the ids of entry k are held[ends[k] : ends[k + 1]]
         self.entry: dict[str, int] = {}
-        self.held, self.at = np.zeros(1 << 20, np.uint32), [0]
+        self.held, self.ends, self.used = np.zeros(1 << 20, np.uint32), np.zeros(1 << 18, np.int64), 1
 
     def _add(self, words: list[str]) -> None:
-        found: dict[str, list[int]] = {}
-        letters = [w for w in words if w.isalpha() and w.islower() and unicodedata.is_normalized("NFC", w) and w == w.lower()]
-        for at in range(0, len(letters), 10_000):
-            part = letters[at : at + 10_000]
-            found |= zip(part, (e.ids for e in self.plain.encode_batch_fast(part, add_special_tokens=False)))
-        others = [w for w in words if w not in found]
-        for at in range(0, len(others), 10_000):
-            part = others[at : at + 10_000]
-            found |= zip(part, (e.ids for e in self.whole.encode_batch_fast(part, add_special_tokens=False)))
-        sizes = [len(found[w]) for w in words]
-        base, total = self.at[-1], sum(sizes)
-        if base + total > len(self.held):
-            self.held = np.concatenate([self.held[:base], np.zeros(base + 2 * total, np.uint32)])
-        self.held[base : base + total] = np.fromiter((i for w in words for i in found[w]), np.uint32, total)
-        self.entry.update(zip(words, range(len(self.at) - 1, len(self.at) - 1 + len(words))))
-        self.at += (base + np.cumsum(sizes)).tolist()
+        """Encode words that are not remembered. Those of small letters alone go to the model directly."""
+        plain = [w.isalpha() and w == w.lower() and (w.isascii() or unicodedata.is_normalized("NFC", w)) for w in words]
+        for kind, using in ((True, self.plain), (False, self.whole)):
+            some = [w for w, p in zip(words, plain) if p is kind]
+            for first in range(0, len(some), 5000):
+                part = some[first : first + 5000]
+                ids = [e.ids for e in using.encode_batch_fast(part, add_special_tokens=False)]
+                sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+                base, total, count = self.ends[self.used - 1], int(sizes.sum()), len(part)
+                if base + total > len(self.held):
+                    self.held = np.concatenate([self.held[:base], np.zeros(base + 2 * total, np.uint32)])
+                if self.used + count > len(self.ends):
+                    self.ends = np.concatenate([self.ends, np.zeros(len(self.ends) + count, np.int64)])
+                self.held[base : base + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
+                self.ends[self.used : self.used + count] = base + np.cumsum(sizes)
+                self.entry.update(zip(part, range(self.used - 1, self.used - 1 + count)))
+                self.used += count
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and how many each has."""
@@ -205,20 +215,28 @@ class Words:
         words = cut.flatten().dictionary_encode()
         counts = pc.list_value_length(cut).to_numpy(zero_copy_only=False)
         names = words.dictionary.to_numpy(zero_copy_only=False).tolist()
-        # a word and the dots or commas after it are encoded apart: punctuation never joins letters
-        heads = [(n, "") if not n or n[-1] not in ".," or not n[:-1].isalpha() else (n[:-1], n[-1]) for n in names]
-        heads = [(h.lower() if h.isascii() and h.isalpha() else h, t) for h, t in heads]
         if len(self.entry) > MOST_WORDS:
-            self.entry, self.at = {}, [0]
-        fresh = [w for w in dict.fromkeys([h for h, _ in heads] + [".", ",", ""]) if w not in self.entry]
+            self._forget()
+        # a word and a dot or comma after it are encoded apart: punctuation never joins letters; small and large letters
+        # are one to the tokenizer, and mapping them here leaves out the letters whose mapping depends on others
+        heads, tails = [], []
+        for n in names:
+            tail = ""
+            if n and n[-1] in ".," and n[:-1].isalpha():
+                n, tail = n[:-1], n[-1]
+            if n.isalpha() and (n.isascii() or (unicodedata.is_normalized("NFC", n) and not _ODD.intersection(n))):
+                n = n.lower()
+            heads.append(n)
+            tails.append(tail)
+        fresh = [w for w in dict.fromkeys(heads + [".", ",", ""]) if w not in self.entry]
         if fresh:
             self._add(fresh)
-        at = np.array(self.at)
-        head = np.array([self.entry[h] for h, _ in heads], np.int64)
-        tail = np.array([self.entry[t] for _, t in heads], np.int64)
+        head = np.fromiter(map(self.entry.__getitem__, heads), np.int64, len(heads))
+        tail = np.fromiter(map(self.entry.__getitem__, tails), np.int64, len(tails))
         code = words.indices.to_numpy()
         entry = np.stack([head[code], tail[code]], axis=1).ravel()
-        lo, n = at[entry], at[entry + 1] - at[entry]
+        lo = self.ends[entry]
+        n = self.ends[entry + 1] - lo
         ids = self.held[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
         per_text = np.bincount(np.repeat(np.arange(len(texts)), counts), weights=n.reshape(-1, 2).sum(axis=1), minlength=len(texts))
         return ids, per_text.astype(np.int64)
@@ -265,7 +283,7 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int, partit
             return out
 
         for batch in batches:
-            for piece in text_slices(batch, limit=16 << 20):
+            for piece in text_slices(batch, limit=8 << 20):
                 ids, n = words.encode(piece.column("text"))
                 ends = np.cumsum(n + 1)
                 out = np.full(len(ids) + len(n), end_id, np.uint32)
