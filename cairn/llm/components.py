@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import saved
 
@@ -39,14 +40,22 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 def linked_groups(members: DataFrame, similar: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """id and component of all ids that are linked with another.
 
-    members: bucket and id; two ids can only be linked if they share a bucket. similar: keeps of pairs (a, b) those that
-    are linked. The groups are exact, yet pairs within a group are not all looked at: first each id meets the one leader
-    (smallest id of a bucket) with which it shares most buckets; then, where a bucket still holds different groups, its
-    ids meet its leader; at last, in buckets that even then hold different groups, all pairs across groups are looked at,
-    each once.
+    members: bucket and id; two ids can only be linked if they share a bucket. Where linked ids share several, members also
+    has role and spare: of the buckets of each (id, role), the `spare` most common ones are left out, which is right if
+    linked ids share more than `spare` buckets of the role (of what both have in common, the rarest stays with both).
+    similar: keeps of pairs (a, b) those that are linked. The groups are exact, yet pairs within a group are not all looked
+    at: first each id meets the one leader (smallest id of a bucket) with which it shares most buckets; then, where a bucket
+    still holds different groups, its ids meet its leader; at last, in buckets that even then hold different groups, all
+    pairs across groups are looked at, each once.
     """
-    leaders = members.groupBy("bucket").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
-    busy = saved(members.join(leaders, "bucket"), "lg-busy")
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    busy = members.join(sizes, "bucket")
+    if "spare" in members.columns:
+        common = Window.partitionBy("id", "role").orderBy(F.desc("_n"), "bucket")
+        busy = busy.withColumn("_place", F.row_number().over(common)).where("_place > spare").select("bucket", "id")
+    busy = saved(busy.select("bucket", "id"), "lg-rare")
+    leaders = busy.groupBy("bucket").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    busy = saved(busy.join(leaders, "bucket"), "lg-busy")
 
     def link(pairs: DataFrame, known: DataFrame | None) -> DataFrame:
         found = similar(pairs).select("a", "b")

@@ -10,7 +10,8 @@ first goes on. Then:
    in at most as many bits as the sets in shingles. At a similarity of 3/4, sizes a and b allow at most (a + b) / 7
    differences. In each band of sizes (and between neighbouring bands) sketches are cut into more blocks than the largest
    such number d; two sketches that differ in d bits agree in some block, and blocks agree exactly if the XOR of their
-   shingles' 64-bit hashes does. Blocks without shingles count only for texts with so many of them that nothing else is
+   shingles' 64-bit hashes does. As there are half as many blocks again, such sketches agree in many, so each text can do
+   without its most common ones. Blocks without shingles count only for texts with so many of them that nothing else is
    sure.
 3. Texts that share a block are candidates; a short sketch of 512 bits rejects pairs whose Hamming distance is too large,
    and the sets decide the others. `components.linked_groups` finds the groups without looking at all pairs in them.
@@ -29,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -103,7 +105,7 @@ def _summary(docs: DataFrame, parts: int) -> DataFrame:
 
         now, held = None, []
         for batch in batches:
-            heads = batch.filter(pa.compute.is_valid(batch.column("head")))
+            heads = batch.filter(pc.is_valid(batch.column("head")))
             if heads.num_rows:
                 yield pa.RecordBatch.from_pydict({"batch": heads.column("batch"), "own": pa.nulls(heads.num_rows, pa.binary()), "head": heads.column("head")})
             for part, number, blob in zip(*(batch.column(c).to_pylist() for c in ("part", "batch", "blob"))):
@@ -160,17 +162,22 @@ def _sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, set array<long>, sketch array<long>")
 
 
-def block_keys(sets: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of sketch blocks, and the text of each. sets: the hashes of all texts, one after the other; n: their numbers."""
+def block_keys(sets: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of sketch blocks, the text of each, its role (partners in the same, the next or the previous band), and how many
+    blocks of the role can be spared. sets: the hashes of all texts, one after the other; n: their numbers.
+
+    With `most` differences, at least blocks - most blocks agree. Those that are empty in both texts are no more than the
+    empty ones of either, so a text shares blocks - most - empty others, and one of them is enough.
+    """
     text = np.repeat(np.arange(len(n)), n)
     ends = _bands(int(n.max(initial=1)))
     band = np.searchsorted(ends, n, side="right") - 1
     hashed = mix(sets)
-    keys, owners = [], []
-    for low, high in ((band, band), (band, band + 1), (band - 1, band)):
+    keys, owners, roles, spares = [], [], [], []
+    for number, (low, high) in enumerate(((band, band), (band, band + 1), (band - 1, band))):
         used = (low >= 0) & (n > 0)
         most = (ends[np.minimum(low + 1, len(ends) - 1)] - 1 + ends[np.minimum(high + 1, len(ends) - 1)] - 1) // 7
-        blocks = np.where(used, most + 1 + (most + 3) // 4, 0)
+        blocks = np.where(used, most + 1 + (most + 1) // 2, 0)
         begin = np.cumsum(blocks) - blocks
         role = mix((low * 2 + (low != high) + 1).astype(U64))
         mine = used[text]
@@ -187,7 +194,9 @@ def block_keys(sets: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         place = (np.arange(len(value)) - begin[who]).astype(U64)
         keys.append(mix(value ^ mix(role[who] + place))[keep])
         owners.append(who[keep])
-    return np.concatenate(keys), np.concatenate(owners)
+        roles.append(np.full(len(owners[-1]), number, np.int32))
+        spares.append(np.maximum(blocks - most - empty - 1, 0)[owners[-1]].astype(np.int32))
+    return np.concatenate(keys), np.concatenate(owners), np.concatenate(roles), np.concatenate(spares)
 
 
 def _members(sets: DataFrame) -> DataFrame:
@@ -196,10 +205,10 @@ def _members(sets: DataFrame) -> DataFrame:
             for at in range(0, batch.num_rows, 512):
                 piece = batch.slice(at, 512)
                 flat = piece.column("set").flatten().to_numpy().view(U64)
-                keys, owner = block_keys(flat, piece.column("n").to_numpy())
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array(keys.view(np.int64)), "id": piece.column("doc_id").take(pa.array(owner))})
+                keys, owner, role, spare = block_keys(flat, piece.column("n").to_numpy())
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array(keys.view(np.int64)), "id": piece.column("doc_id").take(pa.array(owner)), "role": pa.array(role), "spare": pa.array(spare)})
 
-    return sets.select("doc_id", "n", "set").mapInArrow(run, "bucket long, id long")
+    return sets.select("doc_id", "n", "set").mapInArrow(run, "bucket long, id long, role int, spare int")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -225,8 +234,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         met = near.join(whole.toDF("a", "na", "sa"), "a").join(whole.toDF("b", "nb", "sb"), "b")
         return met.where(7 * F.size(F.array_intersect("sa", "sb")) >= 3 * (F.col("na") + F.col("nb"))).select("a", "b")
 
-    # rows that repeat a doc_id with other texts are one document: its sets share an id in members and in similar
-    groups = linked_groups(members.distinct(), similar)
+    groups = linked_groups(members, similar)
     named = classes.select("n", "fp1", "fp2", "first").join(groups, classes["first"] == groups["id"], "left").select("n", "fp1", "fp2", F.coalesce("component", "first").alias("component_id"))
     out = summary.join(named, ["n", "fp1", "fp2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

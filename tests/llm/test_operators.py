@@ -129,8 +129,9 @@ def test_similar_sets_share_a_block(n, seed):
     same = len(set(a.tolist()) & set(b.tolist()))
     if 4 * same < 3 * len(set(a.tolist()) | set(b.tolist())):
         return
-    keys, owner = parity_join.block_keys(np.concatenate([a, b]), np.array([len(a), len(b)]))
-    assert set(keys[owner == 0].tolist()) & set(keys[owner == 1].tolist())
+    keys, owner, _, spare = parity_join.block_keys(np.concatenate([a, b]), np.array([len(a), len(b)]))
+    shared = set(keys[owner == 0].tolist()) & set(keys[owner == 1].tolist())
+    assert shared and len(shared) > min(spare[np.isin(keys, list(shared))])
 
 
 def test_hot_group_of_near_copies(spark):
