@@ -137,7 +137,7 @@ def bundle_aliases(spark, sf):
 
 @query("""SELECT o.k AS parent, coalesce(c.n, 0) AS n_children, coalesce(c.l, '') AS children
 FROM (SELECT DISTINCT o_orderkey AS k FROM orders) o LEFT JOIN
-(SELECT l_orderkey, count(*) AS n, string_agg(p::VARCHAR, ',' ORDER BY first_line) AS l FROM (SELECT l_orderkey, l_partkey AS p, min(l_linenumber) AS first_line FROM lineitem GROUP BY ALL) GROUP BY l_orderkey) c ON o.k = c.l_orderkey""")
+(SELECT l_orderkey, count(*) AS n, string_agg(p::VARCHAR, ',' ORDER BY first_line, p::VARCHAR) AS l FROM (SELECT l_orderkey, l_partkey AS p, min(l_linenumber) AS first_line FROM lineitem GROUP BY ALL) GROUP BY l_orderkey) c ON o.k = c.l_orderkey""")
 def bundle_manifest(spark, sf):
     parents = t(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("parent"))
     children = t(spark, sf, "lineitem").select(F.col("l_orderkey").cast("string").alias("parent"), F.col("l_partkey").cast("string").alias("child"), "l_linenumber")
