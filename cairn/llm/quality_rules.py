@@ -135,7 +135,7 @@ def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 def accepted(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The documents that pass, with their own columns."""
-    # rand keeps the optimiser from copying the whole projection into the filter, where it would be evaluated
-    # once for each mention; its value never decides.
-    flagged = judged(docs, rules).withColumn("_qk", F.when(F.rand(0) >= 0, F.col("_qr.kept")))
+    # a filter on a generated column stays where it is; on a plain one the optimiser would copy the whole projection into
+    # the filter, and evaluate it once for each mention, inside loops over words too
+    flagged = judged(docs, rules).withColumn("_qk", F.explode(F.array("_qr.kept")))
     return flagged.where("_qk").select(*[F.col(f"`{c}`") for c in docs.columns])
