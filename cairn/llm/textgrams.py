@@ -89,6 +89,16 @@ def windows(hashes: np.ndarray, at: np.ndarray, n: int = 5) -> tuple[np.ndarray,
     return mix(out[whole]), text[whole]
 
 
+def positional(hashes: np.ndarray, at: np.ndarray, which: int = 0) -> np.ndarray:
+    """A 64-bit hash of the sequence of words of each text; which: one of several independent ones. Without words, 0."""
+    counts = np.diff(at)
+    place = np.arange(len(hashes)) - np.repeat(at[:-1], counts)
+    base = _BASE if which == 0 else _BACK
+    terms = mix(hashes + U64(which)) * _power(base, int(counts.max(initial=0)))[place]
+    total = np.concatenate([np.zeros(1, U64), np.cumsum(terms)])
+    return mix(total[at[1:]] - total[at[:-1]])
+
+
 def distinct(hashes: np.ndarray, text: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
     """The different hashes of each text, cut to 52 bits, in order, and where each text's begin. At most 4096 texts."""
     if texts > 4096:
