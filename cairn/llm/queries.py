@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, langid, line_dedup, mixing, pairwise_quality, parity_join, quality_rules, resharding, rp_forest, wavelet
-from .common import table
+from .common import table, work_path
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,7 +27,10 @@ def op2_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six shards by hash become eight of near-equal bytes; the rows come from the rewritten files."""
     docs = table(spark, sf_dir, "documents")
     old = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 6
-    _, path = resharding.reshard(docs, old, 6, 8)
+    # all shards are written, as the documents come without files of old shards that could stay
+    planned, _ = resharding.plan(docs, old, 6, shards=8)
+    path = work_path(spark, "shards")
+    resharding.rewrite(docs, planned, path)
     text = F.coalesce(F.col("text"), F.lit(""))
     return spark.read.schema("doc_id long, text string, slot long, shard int").parquet(path).select(
         "doc_id",
