@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -37,7 +37,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-def linked_groups(members: DataFrame, similar: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def linked_groups(members: DataFrame, similar: Callable[[DataFrame], DataFrame], marks: DataFrame | None = None, may: Callable[[str, str], Column] | None = None) -> DataFrame:
     """id and component of all ids that are linked with another.
 
     members: bucket and id; two ids can only be linked if they share a bucket. Where linked ids share several, members also
@@ -80,9 +80,12 @@ def linked_groups(members: DataFrame, similar: Callable[[DataFrame], DataFrame])
             chief = rest.where("id = leader").select("bucket", F.col("component").alias("_chief"))
             pairs = rest.join(chief, "bucket").where("component != _chief").select(F.col("leader").alias("a"), F.col("id").alias("b"))
         else:
-            left = rest.select("bucket", F.col("id").alias("a"), F.col("component").alias("_ca"))
-            right = rest.select("bucket", F.col("id").alias("b"), F.col("component").alias("_cb"))
-            pairs = left.join(right, "bucket").where("a < b AND _ca != _cb").select("a", "b")
+            side = rest.select("bucket", "id", "component")
+            if marks is not None:
+                side = side.join(marks.select("id", F.struct(*[c for c in marks.columns if c != "id"]).alias("_mark")), "id").select("bucket", "id", "component", "_mark")
+            left, right = (side.toDF("bucket", end, f"_c{end}", *[f"_m{end}"] * (marks is not None)) for end in "ab")
+            met = F.expr("a < b AND _ca != _cb")
+            pairs = left.join(right, "bucket").where(met if may is None else met & may("_ma", "_mb")).select("a", "b")
         pairs = saved(pairs.distinct().join(seen, ["a", "b"], "left_anti"), "lg-pairs")
         if not pairs.isEmpty():
             links = link(pairs, links)

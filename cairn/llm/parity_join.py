@@ -13,8 +13,8 @@ first goes on. Then:
    shingles' 64-bit hashes does. As there are half as many blocks again, such sketches agree in many, so each text can do
    without its most common ones. Blocks without shingles count only for texts with so many of them that nothing else is
    sure.
-3. Texts that share a block are candidates; a short sketch of 512 bits rejects pairs whose Hamming distance is too large,
-   and the sets decide the others. `components.linked_groups` finds the groups without looking at all pairs in them.
+3. Texts that share a block are candidates; a short sketch of 512 bits rejects pairs whose Hamming distance is too large
+   where they meet, and the sets decide the others. `components.linked_groups` finds the groups without looking at all pairs in them.
 
 Shingle hashes have 52 bits: two different shingles of a pair of texts are taken as one with a chance below 1e-9 for texts
 of a thousand words.
@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved, text_slices
@@ -224,17 +224,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     wanted = heads.select("doc_id").distinct()
     sets = saved(_sets(texts.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi")), "parity-sets")
     members = saved(_members(sets), "parity-members")
-    short = sets.select(F.col("doc_id"), F.col("n"), F.col("sketch"))
+    short = sets.select(F.col("doc_id").alias("id"), "n", "sketch")
+
+    def may(a: str, b: str) -> Column:
+        """Sizes and sketches of linked texts: no further apart than sets of a similarity of 3/4 can be."""
+        na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
+        apart = sum((F.bit_count(F.col(f"{a}.sketch")[i].bitwiseXOR(F.col(f"{b}.sketch")[i])) for i in range(SHORT_SKETCH // 64)), F.lit(0))
+        return (na * 4 >= nb * 3) & (nb * 4 >= na * 3) & (7 * apart <= na + nb)
 
     def similar(pairs: DataFrame) -> DataFrame:
-        a, b = short.toDF("a", "na", "ka"), short.toDF("b", "nb", "kb")
-        apart = F.aggregate(F.zip_with("ka", "kb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-        near = pairs.join(a, "a").join(b, "b").where((F.col("na") * 4 >= F.col("nb") * 3) & (F.col("nb") * 4 >= F.col("na") * 3) & (7 * apart <= F.col("na") + F.col("nb"))).select("a", "b")
+        a, b = (short.select(F.col("id").alias(end), F.struct("n", "sketch").alias(f"_m{end}")) for end in "ab")
+        near = pairs.join(a, "a").join(b, "b").where(may("_ma", "_mb")).select("a", "b")
         whole = sets.select("doc_id", "n", "set")
         met = near.join(whole.toDF("a", "na", "sa"), "a").join(whole.toDF("b", "nb", "sb"), "b")
         return met.where(7 * F.size(F.array_intersect("sa", "sb")) >= 3 * (F.col("na") + F.col("nb"))).select("a", "b")
 
-    groups = linked_groups(members, similar)
+    groups = linked_groups(members, similar, short, may)
     named = classes.select("n", "fp1", "fp2", "first").join(groups, classes["first"] == groups["id"], "left").select("n", "fp1", "fp2", F.coalesce("component", "first").alias("component_id"))
     out = summary.join(named, ["n", "fp1", "fp2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
