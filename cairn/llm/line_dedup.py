@@ -1,11 +1,10 @@
 """Removal of lines that repeat, exactly or nearly, anywhere in the corpus.
 
 Lines are compared in normal form: lower case, runs of digits as 0, everything else but letters as one space. Lines with
-fewer than MIN_WORDS words are left alone. Different normal forms get a 128-bit SimHash over their words; two lines are
-linked if their SimHashes differ in at most MOST_BITS bits and their edit similarity (1 - Levenshtein distance / longer
-length) is at least MIN_SIMILARITY. The SimHash is cut into MOST_BITS + 2 blocks, so that such lines agree in two blocks;
-each pair of blocks is a key of some 36 bits, which chance alone seldom repeats, however many lines there are. Of each
-connected group of lines, the occurrence with the smallest (doc_id, place) stays.
+fewer than MIN_WORDS words are left alone. Two lines are linked if their edit similarity (1 - Levenshtein distance / longer
+length) is at least MIN_SIMILARITY. Candidates are found by MinHashes over the GRAM-byte pieces of the normal form: lines
+meet if they agree in ROWS hashes of one of BANDS bands, and are compared if sketches of one bit for each hash differ in at
+most MOST_BITS bits. Of each connected group of lines, the occurrence with the smallest (doc_id, place) stays.
 
 Results for odd input: a null text has no lines and stays null; an emptied text is ''; rows that repeat a doc_id are told
 apart by their text, and wholly equal rows lose the same lines; rows without a doc_id count as the first document.
@@ -14,29 +13,27 @@ apart by their text, and wholly equal rows lose the same lines; rows without a d
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved, text_slices
 from .components import linked_groups
-from .textgrams import U64, mix, positional, word_hashes
+from .textgrams import U64, mix, pieces, positional, word_hashes
 
 MIN_WORDS = 5
-MOST_BITS = 5
 MIN_SIMILARITY = 0.8
-_BITS = 128
-_SALT = U64(0x452821E638D01377)
-
-
-#: For each byte a number whose eight bytes are its bits.
-_SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(U64)[:, 0]
-_SEGMENT = 255
+GRAM = 8
+ROWS, BANDS = 3, 42
+MOST_BITS = 50
+_HASHES = 128
+_RNG = np.random.default_rng(20240301)
+_FLIP = _RNG.integers(0, 1 << 32, _HASHES, dtype=np.uint32)
+_ODD = _RNG.integers(0, 1 << 31, _HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _SHARED = 0xFFFF
 _SLICE = 1 << 14
 
@@ -47,7 +44,7 @@ def normal(lines: pa.Array) -> pa.Array:
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """The lines that take part: doc, mark, place, hashes (h1, h2) and length of the normal form, SimHash (s1, s2).
+    """The lines that take part: doc, mark, place, hashes (h1, h2) and length of the compared form.
 
     Their text is not carried along, so that little is shuffled.
     """
@@ -63,55 +60,43 @@ def lines(docs: DataFrame) -> DataFrame:
                 where = np.flatnonzero(takes)
                 begin = np.searchsorted(row, np.arange(piece.num_rows))
                 hashes, at = hashes[np.repeat(takes, np.diff(at))], np.concatenate([[0], np.cumsum(np.diff(at)[takes])])
-                signs, of = _signs(hashes, at).view(np.int64), row[where]
+                of = row[where]
                 columns = {c: piece.column(c).take(pa.array(of)) for c in ("doc", "mark")} | {"place": pa.array((where - begin[of]).astype(np.int32))}
                 columns |= {c: pa.array(positional(hashes, at, k).view(np.int64)) for k, c in enumerate(("h1", "h2"))}
-                columns |= {"length": pc.utf8_length(text.take(pa.array(where))).cast(pa.int32())}
-                yield pa.RecordBatch.from_pydict(columns | {"s1": pa.array(signs[:, 0].copy()), "s2": pa.array(signs[:, 1].copy())})
+                yield pa.RecordBatch.from_pydict(columns | {"length": pc.utf8_length(text.take(pa.array(where))).cast(pa.int32())})
 
     rows = docs.where("text IS NOT NULL").select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("mark"), "text")
-    return rows.mapInArrow(run, f"doc {kind}, mark long, place int, h1 long, h2 long, length int, s1 long, s2 long")
+    return rows.mapInArrow(run, f"doc {kind}, mark long, place int, h1 long, h2 long, length int")
 
 
-def _signs(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Two 64-bit numbers for each line: bit by bit, whether more of its words have a 1 than a 0 there.
-
-    Bits are counted in bytes, eight to a number, over at most 255 words at a time.
-    """
-    n = np.diff(at)
-    out = np.zeros((len(n), _BITS // 64), U64)
-    full = np.flatnonzero(n)
-    if not len(full):
-        return out
-    cuts = -(-n[full] // _SEGMENT)
-    first = np.cumsum(cuts) - cuts
-    starts = np.repeat(at[:-1][full], cuts) + (np.arange(cuts.sum()) - np.repeat(first, cuts)) * _SEGMENT
-    for half, salt in enumerate((U64(0), _SALT)):
-        spread = _SPREAD[mix(hashes ^ salt).view(np.uint8).reshape(-1, 8)]
-        parts = np.ascontiguousarray(np.add.reduceat(spread, starts, axis=0)).view(np.uint8)
-        ones = np.add.reduceat(parts, first, axis=0, dtype=np.int32)
-        out[full, half] = np.packbits(2 * ones > n[full, None], axis=1, bitorder="little").view(U64)[:, 0]
+def minhashes(texts: pa.Array) -> np.ndarray:
+    """A row of MinHashes over the pieces of each text."""
+    hashes, at = pieces(texts, GRAM)
+    low = (hashes >> U64(32)).astype(np.uint32)
+    out = np.empty((len(texts), _HASHES), np.uint32)
+    for k in range(_HASHES if len(texts) else 0):
+        out[:, k] = np.minimum.reduceat((low ^ _FLIP[k]) * _ODD[k], at[:-1])
     return out
 
 
+def sketches(found: np.ndarray) -> np.ndarray:
+    """Two 64-bit numbers for each row of MinHashes: one bit of each."""
+    return np.packbits((found >> np.uint32(16)).astype(np.uint8) & 1, axis=1, bitorder="little").view(U64)
+
+
 def simhash(texts: pa.Array) -> np.ndarray:
-    return _signs(*word_hashes(texts))
+    return sketches(minhashes(texts))
 
 
-def block_keys(signs: np.ndarray) -> np.ndarray:
-    """A row of keys for each SimHash, one for each two of MOST_BITS + 2 blocks."""
-    blocks, count = [], MOST_BITS + 2
-    for k in range(count):
-        low, high = _BITS * k // count, _BITS * (k + 1) // count
-        value = np.zeros(len(signs), U64)
-        for half in range(_BITS // 64):
-            a, b = max(low, 64 * half), min(high, 64 * half + 64)
-            if a < b:
-                bits = (signs[:, half] >> U64(a - 64 * half)) & U64((1 << (b - a)) - 1)
-                value |= bits << U64(a - low)
-        blocks.append(value)
-    # two blocks and their number fit into 64 bits
-    return np.stack([mix(blocks[i] | (blocks[j] << U64(24)) | U64(n << 48)) for n, (i, j) in enumerate(combinations(range(count), 2))], axis=1)
+def block_keys(found: np.ndarray) -> np.ndarray:
+    """A row of 32-bit keys for each row of MinHashes, one for each band."""
+    out = np.empty((len(found), BANDS), np.uint32)
+    for k in range(BANDS):
+        value = np.full(len(found), k, U64)
+        for j in range(ROWS):
+            value = mix(value ^ found[:, ROWS * k + j])
+        out[:, k] = (value >> U64(32)).astype(np.uint32)
+    return out
 
 
 def _members(signed: DataFrame, parts: int) -> DataFrame:
@@ -129,12 +114,13 @@ def _members(signed: DataFrame, parts: int) -> DataFrame:
         for batch in batches:
             order = np.argsort(batch.column("id").to_numpy())
             ids = batch.column("id").to_numpy()[order]
-            signs = np.stack([batch.column(c).to_numpy().view(U64)[order] for c in ("s1", "s2")], axis=1)
+            bands = np.frombuffer(b"".join(batch.column("keys").to_pylist()), np.uint32).reshape(-1, BANDS)[order]
             at = 0
             while at < len(ids):
                 # offsets within a slice fit into two bytes, and none is the mark of a shared key
                 end = min(at + _SLICE, int(np.searchsorted(ids, ids[at] + _SHARED)))
-                keys = block_keys(signs[at:end])
+                # a key and the number of its band fit into 64 bits
+                keys = mix(bands[at:end] | (np.arange(BANDS, dtype=U64) << U64(32)))
                 line = np.repeat((ids[at:end] - ids[at]).astype("<u2"), keys.shape[1])
                 keys = keys.ravel()
                 ordered = np.sort(keys)
@@ -180,69 +166,76 @@ def _members(signed: DataFrame, parts: int) -> DataFrame:
         if held:
             yield from done(now, held)
 
-    laid = signed.select("id", "s1", "s2").mapInArrow(lay, "part long, own boolean, base long, blob binary")
+    laid = signed.select("id", "keys").mapInArrow(lay, "part long, own boolean, base long, blob binary")
     return laid.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(find, "bucket long, id long")
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """id and normal form of lines (id, doc, mark, place), read again from the texts."""
+    """h1, h2, compared form, sketch (s1, s2) and keys of lines (h1, h2, doc, mark, place), read again from the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in text_slices(batch, limit=1 << 20):
                 split = pc.split_pattern(piece.column("text").cast(pa.large_string()), "\n")
                 begin = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy())])
-                ids, at = [], []
-                for row, asked in enumerate(piece.column("lines").to_pylist()):
-                    ids += [x["id"] for x in asked]
-                    at += [begin[row] + x["place"] for x in asked]
-                text = normal(pc.list_flatten(split).take(pa.array(at, pa.int64())))
-                yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "line": text.cast(pa.string())})
+                asked = piece.column("lines")
+                of, inner = pc.list_parent_indices(asked).to_numpy(), pc.list_flatten(asked)
+                at = begin[of] + inner.field("place").to_numpy()
+                text = normal(pc.list_flatten(split).take(pa.array(at)))
+                found = minhashes(text)
+                signs, keys = sketches(found).view(np.int64), block_keys(found)
+                columns = {c: inner.field(c) for c in ("h1", "h2")} | {"line": text.cast(pa.string()), "length": pc.utf8_length(text).cast(pa.int32())}
+                columns |= {"s1": pa.array(signs[:, 0].copy()), "s2": pa.array(signs[:, 1].copy()), "keys": pa.array([k.tobytes() for k in keys], pa.binary())}
+                yield pa.RecordBatch.from_pydict(columns)
 
     zero = "coalesce(doc, cast(0 as {0}))".format(docs.schema["doc_id"].dataType.simpleString())
     from_docs = docs.where("text IS NOT NULL").select(F.col("doc_id").alias("doc"), "text", F.xxhash64("text").alias("mark"))
     # both sides and the removal of repeated rows are dealt out by the same two columns, so the text travels once
     from_docs = from_docs.select(F.expr(zero).alias("_doc"), F.xxhash64("doc", "mark").alias("_key"), "text")
-    keyed = wanted.select(F.expr(zero).alias("_doc"), F.xxhash64("doc", "mark").alias("_key"), "id", "place")
+    keyed = wanted.select(F.expr(zero).alias("_doc"), F.xxhash64("doc", "mark").alias("_key"), "h1", "h2", "place")
     # the lines of one text
-    rows = keyed.groupBy("_doc", "_key").agg(F.collect_set(F.struct("id", "place")).alias("lines"))
+    rows = keyed.groupBy("_doc", "_key").agg(F.collect_set(F.struct("h1", "h2", "place")).alias("lines"))
     met = from_docs.join(rows, ["_doc", "_key"]).dropDuplicates(["_doc", "_key"])
-    return met.select("text", "lines").mapInArrow(run, "id long, line string")
+    return met.select("text", "lines").mapInArrow(run, "h1 long, h2 long, line string, length int, s1 long, s2 long, keys binary")
 
 
 def groups(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The different lines (id, h1, h2, first, n), and id and component of those that are linked with another."""
+    """The different lines (h1, h2, first, n), and h1, h2 and component of those that are linked with another."""
     occurrence = F.struct("doc", "mark", "place")
-    distinct = found.groupBy("h1", "h2", "length", "s1", "s2").agg(F.min(occurrence).alias("first"), F.count(F.lit(1)).alias("n"))
-    distinct = saved(distinct.withColumn("id", F.monotonically_increasing_id()), "lines")
+    distinct = found.groupBy("h1", "h2", "length").agg(F.min(occurrence).alias("first"), F.count(F.lit(1)).alias("n"))
+    distinct = saved(distinct, "lines")
     parts = min(1 << 20, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1))
-    members = saved(_members(distinct, parts), "lines-members")
-    busy = saved(distinct.join(members.select("id").distinct(), "id").select("id", "s1", "s2", "length", "first.doc", "first.mark", "first.place"), "lines-busy")
-    small = busy.select("id", "s1", "s2", "length")
-    # the text of lines that share a key is read again, where each of them occurs first
-    text = saved(_texts(docs, busy), "lines-text")
+    # the text of each different line is read again, where it occurs first; numbers follow the order of the files
+    wanted = distinct.select("h1", "h2", "first.doc", "first.mark", "first.place")
+    text = saved(_texts(docs, wanted).withColumn("id", F.monotonically_increasing_id()), "lines-text")
+    members = saved(_members(text, parts), "lines-members")
+    small = saved(text.select("id", "s1", "s2", "length").join(members.select("id").distinct(), "id", "left_semi"), "lines-busy")
+
+    def may(a: str, b: str) -> Column:
+        apart = F.bit_count(F.col(f"{a}.s1").bitwiseXOR(F.col(f"{b}.s1"))) + F.bit_count(F.col(f"{a}.s2").bitwiseXOR(F.col(f"{b}.s2")))
+        return (apart <= MOST_BITS) & (F.least(f"{a}.length", f"{b}.length") >= MIN_SIMILARITY * F.greatest(f"{a}.length", f"{b}.length"))
 
     def similar(pairs: DataFrame) -> DataFrame:
-        a, b = small.toDF("a", "a1", "a2", "al"), small.toDF("b", "b1", "b2", "bl")
-        apart = F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) + F.bit_count(F.col("a2").bitwiseXOR(F.col("b2")))
-        longer = F.greatest("al", "bl")
-        near = pairs.join(a, "a").join(b, "b").where((apart <= MOST_BITS) & (F.least("al", "bl") >= MIN_SIMILARITY * longer)).select("a", "b", longer.alias("longer"))
+        mark = F.struct("s1", "s2", "length")
+        a, b = small.select(F.col("id").alias("a"), mark.alias("_x")), small.select(F.col("id").alias("b"), mark.alias("_y"))
+        near = pairs.join(a, "a").join(b, "b").where(may("_x", "_y")).select("a", "b", F.greatest("_x.length", "_y.length").alias("longer"))
         # few pairs are left: written first, they can go to the text where it lies
         near = saved(near, "lines-near")
-        both = near.join(text.toDF("a", "la"), "a").join(text.toDF("b", "lb"), "b")
+        both = near.join(text.select(F.col("id").alias("a"), F.col("line").alias("la")), "a").join(text.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b")
         # the distance within a narrow band costs little, and most pairs need no wider one
         most = f"cast(floor(longer * {1 - MIN_SIMILARITY:.10g} + 1e-9) as int)"
         steps = [f"levenshtein(la, lb, least({most}, {k})) >= 0" for k in (16, 256)]
         return both.where(F.expr(f"{' OR '.join(steps)} OR levenshtein(la, lb, {most}) >= 0")).select("a", "b")
 
-    return distinct, linked_groups(members, similar)
+    linked = linked_groups(members, similar, small, may)
+    return distinct, text.select("id", "h1", "h2").join(linked, "id").drop("id")
 
 
 def removals(docs: DataFrame) -> DataFrame:
     """doc, mark and gone (places of the lines to remove) of the rows that lose lines."""
     found = saved(lines(docs), "lines-all")
     distinct, linked = groups(docs, found)
-    named = distinct.select("id", "h1", "h2", "first", "n").join(linked, "id", "left")
+    named = distinct.select("h1", "h2", "first", "n").join(linked, ["h1", "h2"], "left")
     kept = named.where("component IS NOT NULL").groupBy("component").agg(F.min("first").alias("kept"))
     several = named.join(kept, "component", "left").where("component IS NOT NULL OR n > 1").select("h1", "h2", F.coalesce("kept", "first").alias("kept"))
     gone = found.select("doc", "mark", "place", "h1", "h2").join(several, ["h1", "h2"]).where(~F.struct("doc", "mark", "place").eqNullSafe(F.col("kept")))

@@ -74,6 +74,18 @@ def word_hashes(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.nd
     return mix(hashes + (ends - starts).astype(U64)), np.searchsorted(starts, at)
 
 
+def pieces(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each n bytes in a row, and where each text's begin; a text of fewer bytes is one piece."""
+    data, at = bytes_of(texts)
+    total = np.zeros(len(data) + 1, U64)
+    np.cumsum(_BYTE[data] * _power(_BASE, len(data)), out=total[1:])
+    counts = np.maximum(np.diff(at) - n + 1, 1)
+    first = np.concatenate([np.zeros(1, np.int64), np.cumsum(counts)])
+    starts = np.repeat(at[:-1] - first[:-1], counts) + np.arange(first[-1])
+    ends = np.minimum(starts + n, np.repeat(at[1:], counts))
+    return mix((total[ends] - total[starts]) * _power(_BACK, len(data) + 1)[starts]), first
+
+
 def windows(hashes: np.ndarray, at: np.ndarray, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """A hash of each window of n words and the text it is in; a text of 1 to n - 1 words is one window."""
     counts = np.diff(at)
