@@ -1,8 +1,9 @@
 """Removal of lines that repeat, exactly or nearly, anywhere in the corpus.
 
-Lines are compared in normal form: lower case, runs of digits as 0, everything else but letters as one space. Lines with
-fewer than MIN_WORDS words are left alone. Two lines are linked if their edit similarity (1 - Levenshtein distance / longer
-length) is at least MIN_SIMILARITY. Candidates are found by MinHashes over the GRAM-byte pieces of the normal form: lines
+Lines are compared in lower case, with runs of blanks as one space. Lines with fewer than MIN_WORDS words are left alone.
+Two lines are linked if their edit similarity (1 - Levenshtein distance / longer length) is at least MIN_SIMILARITY.
+Candidates are found by MinHashes over the GRAM-byte pieces of a normal form (everything but letters and digits as one
+space, runs of digits as 0 unless digits are most of the line), which never makes lines equal by itself: lines
 meet if they agree in ROWS hashes of one of BANDS bands, and are compared if sketches of one bit for each hash differ in at
 most MOST_BITS bits. Of each connected group of lines, the occurrence with the smallest (doc_id, place) stays.
 
@@ -38,9 +39,16 @@ _SHARED = 0xFFFF
 _SLICE = 1 << 14
 
 
+def compared(lines: pa.Array) -> pa.Array:
+    """The form whose edit similarity counts."""
+    return pc.utf8_trim(pc.replace_substring_regex(pc.utf8_lower(lines), r"[\x20\x09-\x0D]+", " "), " ")
+
+
 def normal(lines: pa.Array) -> pa.Array:
-    kept = pc.replace_substring_regex(pc.utf8_lower(lines), r"[^\p{L}\p{N}]+", " ")
-    return pc.utf8_trim(pc.replace_substring_regex(kept, "[0-9]+", "0"), " ")
+    """The form by which candidates are found; rows of numbers keep their digits, as they would all be alike."""
+    kept = pc.utf8_trim(pc.replace_substring_regex(pc.utf8_lower(lines), r"[^\p{L}\p{N}]+", " "), " ")
+    numbers = pc.greater(pc.multiply(pc.count_substring_regex(kept, "[0-9]"), 2), pc.utf8_length(kept))
+    return pc.if_else(numbers, kept, pc.replace_substring_regex(kept, "[0-9]+", "0"))
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -54,7 +62,7 @@ def lines(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for piece in text_slices(batch, limit=1 << 20):
                 split = pc.split_pattern(piece.column("text").cast(pa.large_string()), "\n")
-                text, row = normal(pc.list_flatten(split)), pc.list_parent_indices(split).to_numpy()
+                text, row = compared(pc.list_flatten(split)), pc.list_parent_indices(split).to_numpy()
                 hashes, at = word_hashes(text)
                 takes = np.diff(at) >= MIN_WORDS
                 where = np.flatnonzero(takes)
@@ -181,8 +189,8 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 asked = piece.column("lines")
                 of, inner = pc.list_parent_indices(asked).to_numpy(), pc.list_flatten(asked)
                 at = begin[of] + inner.field("place").to_numpy()
-                text = normal(pc.list_flatten(split).take(pa.array(at)))
-                found = minhashes(text)
+                text = compared(pc.list_flatten(split).take(pa.array(at)))
+                found = minhashes(normal(text))
                 signs, keys = sketches(found).view(np.int64), block_keys(found)
                 columns = {c: inner.field(c) for c in ("h1", "h2")} | {"line": text.cast(pa.string()), "length": pc.utf8_length(text).cast(pa.int32())}
                 columns |= {"s1": pa.array(signs[:, 0].copy()), "s2": pa.array(signs[:, 1].copy()), "keys": pa.array([k.tobytes() for k in keys], pa.binary())}

@@ -40,3 +40,13 @@ def test_recall_of_changed_words(spark):
     for n in (8, 20, 40, 100):
         gone = [left[2 * k + 1] == "" for k, p in enumerate(pairs) if p[0] == n]
         assert sum(gone) >= 0.9 * len(gone), (n, sum(gone))
+
+
+def test_numbers_count(spark):
+    texts = [
+        "12 7 9 31 4", "88 1 2 5 6", "12  7 9 31 4",
+        "In 1990 the town had 12345 people", "In 2020 the town had 99 people", "in 1991 the town had 12345 people",
+    ]
+    assert similarity(texts[3].lower(), texts[4].lower()) < 0.8 <= similarity(texts[3].lower(), texts[5])
+    left = texts_after(spark, texts)
+    assert left == [*texts[:2], "", *texts[3:5], ""]
