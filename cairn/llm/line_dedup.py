@@ -1,11 +1,12 @@
 """Removal of lines that repeat, exactly or nearly, anywhere in the corpus.
 
-Lines are compared in lower case, with runs of blanks as one space. Lines with fewer than MIN_WORDS words are left alone.
-Two lines are linked if their edit similarity (1 - Levenshtein distance / longer length) is at least MIN_SIMILARITY.
-Candidates are found by MinHashes over the GRAM-byte pieces of a normal form (everything but letters and digits as one
-space, runs of digits as 0 unless digits are most of the line), which never makes lines equal by itself: lines
-meet if they agree in ROWS hashes of one of BANDS bands, and are compared if sketches of one bit for each hash differ in at
-most MOST_BITS bits. Of each connected group of lines, the occurrence with the smallest (doc_id, place) stays.
+Lines are compared in lower case, with runs of blanks as one space. Blank lines are left alone; all others go if they
+equal an earlier one. Lines of at least MIN_CHARS characters or MIN_WORDS words are also compared nearly: two are linked if
+their edit similarity (1 - Levenshtein distance / longer length) is at least MIN_SIMILARITY. Candidates are found by
+MinHashes over the GRAM-byte pieces of a normal form (everything but letters and digits as one space, runs of digits as 0
+unless digits are most of the line), which never makes lines equal by itself: lines meet if they agree in ROWS hashes of
+one of BANDS bands, and are compared if sketches of one bit for each hash differ in at most MOST_BITS bits. Of each
+connected group of lines, the occurrence with the smallest (doc_id, place) stays.
 
 Results for odd input: a null text has no lines and stays null; an emptied text is ''; rows that repeat a doc_id are told
 apart by their text, and wholly equal rows lose the same lines; rows without a doc_id count as the first document.
@@ -26,7 +27,9 @@ from .common import saved, text_slices
 from .components import linked_groups
 from .textgrams import U64, mix, pieces, positional, word_hashes
 
+#: A line of so many words, or of so many characters whatever the script, can have near lines.
 MIN_WORDS = 5
+MIN_CHARS = 16
 MIN_SIMILARITY = 0.8
 GRAM = 8
 ROWS, BANDS = 3, 42
@@ -52,7 +55,7 @@ def normal(lines: pa.Array) -> pa.Array:
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """The lines that take part: doc, mark, place, hashes (h1, h2) and length of the compared form.
+    """The lines that are not blank: doc, mark, place, hashes (h1, h2) and length of the compared form, whether it is fuzzy.
 
     Their text is not carried along, so that little is shuffled.
     """
@@ -64,17 +67,19 @@ def lines(docs: DataFrame) -> DataFrame:
                 split = pc.split_pattern(piece.column("text").cast(pa.large_string()), "\n")
                 text, row = compared(pc.list_flatten(split)), pc.list_parent_indices(split).to_numpy()
                 hashes, at = word_hashes(text)
-                takes = np.diff(at) >= MIN_WORDS
+                takes = np.diff(at) > 0
                 where = np.flatnonzero(takes)
                 begin = np.searchsorted(row, np.arange(piece.num_rows))
                 hashes, at = hashes[np.repeat(takes, np.diff(at))], np.concatenate([[0], np.cumsum(np.diff(at)[takes])])
                 of = row[where]
                 columns = {c: piece.column(c).take(pa.array(of)) for c in ("doc", "mark")} | {"place": pa.array((where - begin[of]).astype(np.int32))}
                 columns |= {c: pa.array(positional(hashes, at, k).view(np.int64)) for k, c in enumerate(("h1", "h2"))}
-                yield pa.RecordBatch.from_pydict(columns | {"length": pc.utf8_length(text.take(pa.array(where))).cast(pa.int32())})
+                length = pc.utf8_length(text.take(pa.array(where))).cast(pa.int32())
+                fuzzy = (length.to_numpy() >= MIN_CHARS) | (np.diff(at) >= MIN_WORDS)
+                yield pa.RecordBatch.from_pydict(columns | {"length": length, "fuzzy": pa.array(fuzzy)})
 
     rows = docs.where("text IS NOT NULL").select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("mark"), "text")
-    return rows.mapInArrow(run, f"doc {kind}, mark long, place int, h1 long, h2 long, length int")
+    return rows.mapInArrow(run, f"doc {kind}, mark long, place int, h1 long, h2 long, length int, fuzzy boolean")
 
 
 def minhashes(texts: pa.Array) -> np.ndarray:
@@ -210,11 +215,11 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def groups(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The different lines (h1, h2, first, n), and h1, h2 and component of those that are linked with another."""
     occurrence = F.struct("doc", "mark", "place")
-    distinct = found.groupBy("h1", "h2", "length").agg(F.min(occurrence).alias("first"), F.count(F.lit(1)).alias("n"))
+    distinct = found.groupBy("h1", "h2", "length", "fuzzy").agg(F.min(occurrence).alias("first"), F.count(F.lit(1)).alias("n"))
     distinct = saved(distinct, "lines")
     parts = min(1 << 20, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1))
-    # the text of each different line is read again, where it occurs first; numbers follow the order of the files
-    wanted = distinct.select("h1", "h2", "first.doc", "first.mark", "first.place")
+    # the text of each different line with near ones is read again, where it occurs first; ids follow the order of the files
+    wanted = distinct.where("fuzzy").select("h1", "h2", "first.doc", "first.mark", "first.place")
     text = saved(_texts(docs, wanted).withColumn("id", F.monotonically_increasing_id()), "lines-text")
     members = saved(_members(text, parts), "lines-members")
     small = saved(text.select("id", "s1", "s2", "length").join(members.select("id").distinct(), "id", "left_semi"), "lines-busy")

@@ -50,3 +50,11 @@ def test_numbers_count(spark):
     assert similarity(texts[3].lower(), texts[4].lower()) < 0.8 <= similarity(texts[3].lower(), texts[5])
     left = texts_after(spark, texts)
     assert left == [*texts[:2], "", *texts[3:5], ""]
+
+
+def test_short_and_unspaced_lines(spark):
+    rng = random.Random(6)
+    clause = "".join(chr(rng.randint(0x4E00, 0x9F00)) for _ in range(40))
+    other = clause[:20] + "".join(chr(rng.randint(0x4E00, 0x9F00)) for _ in range(2)) + clause[22:]
+    texts = ["Share this\nfirst own", "one\n\nshare this\n\ntwo", clause, clause, other, "Share that"]
+    assert texts_after(spark, texts) == [texts[0], "one\n\n\ntwo", clause, "", "", "Share that"]
