@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
@@ -180,20 +180,42 @@ def split_words(tokens: DataFrame, known: DataFrame, least: int = 12, longest: i
     return tokens.select("token").distinct().mapInPandas(run, "token string, pieces array<string>")
 
 
-def spans(docs: DataFrame, patterns: Mapping[str, str], priority: int = 20, source: str = "catalogue") -> DataFrame:
+#: Identifiers of British and Australian letters: label, pattern, and the group that is the span. Case does not count.
+PII = (
+    ("EMAIL", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", 0),
+    ("PHONE", r"(?:\+61[\s-]?|0)[2-478][\s-]?\d{4}[\s-]?\d{4}", 0),
+    ("PHONE", r"(?:\+44[\s-]?|0)\d{2,5}[\s-]?\d{3,4}[\s-]?\d{3,4}", 0),
+    ("ABN", r"\b\d{2}[\s]?\d{3}[\s]?\d{3}[\s]?\d{3}\b", 0),
+    ("ACN", r"\b\d{3}[\s]\d{3}[\s]\d{3}\b", 0),
+    ("MEDICARE", r"\b\d{4}[\s]?\d{5}[\s]?\d(?:[/-]\d)?\b", 0),
+    ("NHS_NUMBER", r"\b\d{3}[\s-]\d{3}[\s-]\d{4}\b", 0),
+    ("NI_NUMBER", r"\b[A-CEGHJ-PR-TW-Z]{2}\s?\d{2}\s?\d{2}\s?\d{2}\s?[A-D]\b", 0),
+    ("POSTCODE", r"\b[A-Z]{1,2}\d[A-Z\d]?\s*\d[A-Z]{2}\b", 0),
+    ("POSTCODE", r"\b(?:NSW|VIC|QLD|SA|WA|TAS|NT|ACT)\s+\d{4}\b", 0),
+    ("BANK_ACCOUNT", r"\b\d{3}-\d{3}\s?\d{6,10}\b", 0),
+    ("BANK_ACCOUNT", r"\b[A-Z]{2}\d{2}[A-Z0-9]{11,30}\b", 0),
+    ("CARD_NUMBER", r"\b(?:\d{4}[\s-]){3}\d{4}\b", 0),
+    ("CASE_REFERENCE", r"\b\d{6,9}/\d{1,3}\b", 0),
+    ("CASE_REFERENCE", r"\b(?:ref(?:erence)?|case|claim|matter)\b\W{0,6}([A-Z]{0,4}[-/]?\d[A-Z0-9/-]{3,20})\b", 1),
+    ("DATE_OF_BIRTH", r"(?:d\.?o\.?b\.?|date of birth)\W{0,10}(\d{1,2}\W\d{1,2}\W\d{2,4})", 1),
+)
+
+
+def spans(docs: DataFrame, patterns: Sequence[tuple[str, str, int]], priority: int = 20, source: str = "catalogue") -> DataFrame:
     """doc_id and annotations: start, end, label, text, source and priority of all that the patterns find, overlaps settled.
 
+    patterns: label, pattern and the group that is the span (0: all); case does not count. Blanks at a span's end are cut.
     Higher priority wins, then the longer, then the earlier; what stays is sorted by start. Offsets count code points.
     """
-    compiled = [(label, p) for label, p in patterns.items()]
     kind = "array<struct<start:int,end:int,label:string,text:string,source:string,priority:int>>"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ready = [(label, re.compile(p)) for label, p in compiled]
+        ready = [(label, re.compile(p, re.IGNORECASE), group) for label, p, group in patterns]
         for b in batches:
             out = []
             for t in b["text"]:
-                found = [(m.start(), m.end(), label, m.group(), source, priority) for label, r in ready for m in r.finditer(t or "")]
+                hit = [(m.start(group), m.group(group).strip(), label) for label, r, group in ready for m in r.finditer(t or "")]
+                found = [(start, start + len(s), label, s, source, priority) for start, s, label in hit if s]
                 out.append([dict(zip(("start", "end", "label", "text", "source", "priority"), s)) for s in settled(found)])
             yield pd.DataFrame({"doc_id": b["doc_id"], "annotations": out})
 
@@ -201,9 +223,9 @@ def spans(docs: DataFrame, patterns: Mapping[str, str], priority: int = 20, sour
 
 
 def settled(found: Sequence[tuple]) -> list[tuple]:
-    """Spans (start, end, ..., priority) that do not overlap, greedily by priority, length and start."""
+    """Spans (start, end, ..., priority) that do not overlap, greedily by priority, length and start, then in the given order."""
     kept: list[tuple] = []
-    for s in sorted(found, key=lambda s: (-s[5], s[0] - s[1], s[0], s[2])):
+    for s in sorted(found, key=lambda s: (-s[5], s[0] - s[1], s[0])):
         if all(s[1] <= k[0] or s[0] >= k[1] for k in kept):
             kept.append(s)
     return sorted(kept)

@@ -202,7 +202,7 @@ def pii_email_counts(spark, sf):
 
 @query()
 def pii_resolved(spark, sf):
-    return X.spans(t(spark, sf, "documents"), {"EMAIL": MACROS[0].pattern, "PHONE": MACROS[1].pattern, "NUMBER": r"[0-9]+"})
+    return X.spans(t(spark, sf, "documents"), X.PII)
 
 
 @query()
