@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import bisect
 import re
+import warnings
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,14 +38,15 @@ def hits(text: Column, macros: Sequence[Macro]) -> Column:
     return F.flatten(F.array(*map(of, macros)))
 
 
-#: Letters of Latin scripts and their plain ones, for names in ASCII.
-_ACCENTED = "ÀÁÂÃÄÅàáâãäåÇçÈÉÊËèéêëÌÍÎÏìíîïÑñÒÓÔÕÖòóôõöÙÚÛÜùúûüÝýÿŠšŽžČčĆć"
-_PLAIN = "AAAAAAaaaaaaCcEEEEeeeeIIIIiiiiNnOOOOOoooooUUUUuuuuYyySsZzCcCc"
+def _plain_letters(text: pd.Series) -> pd.Series:
+    """ASCII letters of compatible forms; what has none is left out."""
+    decomposed = pc.utf8_normalize(pa.array(text, pa.string()), "NFKD")
+    return pd.Series(pc.replace_substring_regex(decomposed, r"[^\x00-\x7F]+", "").to_pylist())
 
 
 def slug(text: Column, most: int = 60) -> Column:
     """ASCII words joined by hyphens in lower case, cut at a word's end."""
-    plain = F.translate(F.coalesce(text, F.lit("")), _ACCENTED, _PLAIN)
+    plain = F.pandas_udf(_plain_letters, T.StringType())(F.coalesce(text, F.lit("")))
     joined = F.regexp_replace(F.lower(F.regexp_replace(plain, "[^A-Za-z0-9]+", "-")), "^-+|-+$", "")
     head = F.substring(joined, 1, most)
     whole = (F.length(joined) <= most) | (F.substring(joined, most + 1, 1) == "-")
@@ -49,25 +54,40 @@ def slug(text: Column, most: int = 60) -> Column:
 
 
 def first_line(text: Column, least: int = 12, most: int = 120) -> Column:
-    """The first line of some length that is not a number; else the start of the text."""
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: (F.length(x) >= least) & ~x.rlike(r"^[0-9\s.,/-]+$"))
-    return F.coalesce(F.get(lines, F.lit(0)), F.substring(text, 1, most))
+    """The first line that reads like a title: long enough, no page number or contents, not of numbers; else the start."""
+    stop = r"(?i)^(page \d+ of \d+|contents|table of contents|official[: ].*)$"
+    lines = F.filter(F.transform(F.split(text, "\r\n|[\n\r\f]"), stripped), lambda x: (F.length(x) >= least) & ~x.rlike(stop) & ~x.rlike(r"^[\d\s.\-–]+$"))
+    return F.coalesce(F.get(lines, F.lit(0)), F.substring(stripped(F.regexp_replace(text, r"\s+", " ")), 1, most))
 
 
 def year_of(text: Column) -> Column:
-    """The first year from 1990 to 2099 in the first 600 characters."""
-    found = F.regexp_extract(F.substring(text, 1, 600), r"\b(199[0-9]|20[0-9]{2})\b", 1)
-    return F.when(found != "", found)
+    """The first year from 1990 to 2099 in the first 600 characters, null without one."""
+    return F.nullif(F.regexp_extract(F.substring(text, 1, 600), r"\b(199[0-9]|20[0-9]{2})\b", 1), F.lit(""))
 
 
-def archive_name(prefix: Column, text: Column, pages: Column, most: int = 60) -> Column:
-    """prefix-year-slug-pages, without the parts that are missing."""
-    return F.concat_ws("-", prefix, year_of(text), F.when(slug(first_line(text), most) != "", slug(first_line(text), most)), F.concat(pages.cast("string"), F.lit("p")))
+def archive_name(prefix: Column, text: Column, pages: Column, most: int = 60, created: Column | None = None, title: Column | None = None, stem: Column | None = None, full_date: bool = False) -> Column:
+    """prefix-date-slug-pages, without the parts that are missing.
+
+    The date is the given one (a year, or with full_date the day), else the first year on the first page; the subject is a
+    title of over eight characters, else the first line like one. A text without words is a scan: SCAN-stem-pages.
+    """
+    page = F.substring_index(text, "\f", 1)
+    size = F.concat(pages.cast("string"), F.lit("pp"))
+    none = F.lit(None).cast("string")
+    date = F.coalesce(F.nullif(F.substring(created, 1, 10 if full_date else 4), F.lit("")) if created is not None else none, year_of(page))
+    subject = F.when(F.length(title) > 8, title).otherwise(first_line(page)) if title is not None else first_line(page)
+    named = F.concat_ws("-", prefix, date, F.coalesce(F.nullif(slug(subject, most), F.lit("")), F.lit("without-title")), size)
+    return F.when(stripped(F.coalesce(text, F.lit(""))) == "", F.concat_ws("-", F.lit("SCAN"), stem if stem is not None else none, size)).otherwise(named)
 
 
 _ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&amp;": "&"}
 
 
+def stripped(text: Column) -> Column:
+    """Text without white space at its ends."""
+    return F.trim(text, F.lit(" \t\n\x0b\f\r\xa0"))
+
+
 def html_text(html: Column) -> Column:
     """Text of a page: scripts and styles go, breaks and blocks end lines, other tags are spaces, blanks are squeezed."""
     c = F.regexp_replace(html, r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>", "")
@@ -76,7 +96,7 @@ def html_text(html: Column) -> Column:
     for name, sign in _ENTITIES.items():
         c = F.replace(c, F.lit(name), F.lit(sign))
     c = F.regexp_replace(c, r"[ \t\x0B\f\r]+", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(c, r" ?\n ?", "\n"), r"\n{3,}", "\n\n"))
+    return stripped(F.regexp_replace(F.regexp_replace(c, r" ?\n ?", "\n"), r"\n{3,}", "\n\n"))
 
 
 def html_links(html: Column) -> Column:
@@ -104,44 +124,47 @@ def file_type_of_text(text: Column) -> Column:
     ten = F.slice(lines, 1, 10)
 
     def even(sign: str) -> Column:
-        counts = F.array_distinct(F.transform(ten, lambda x: F.length(x) - F.length(F.replace(x, F.lit(sign), F.lit("")))))
-        return (F.size(ten) > 1) & (F.size(counts) == 1) & (F.get(counts, F.lit(0)) > 0)
+        """The first line has the sign, and the first ten have at most two different numbers of it."""
+        counts = F.transform(ten, lambda x: F.length(x) - F.length(F.replace(x, F.lit(sign), F.lit(""))))
+        return (F.size(ten) > 1) & (F.size(F.array_distinct(counts)) <= 2) & (F.get(counts, F.lit(0)) > 0)
 
     return (
         F.when(F.trim(text) == "", "TXT")
         .when(head.rlike(r"(?i)^<!doctype html|^<html"), "HTML")
         .when(F.startswith(head, F.lit("<?xml")) | head.rlike(r"^<[A-Za-z][\w:.-]*[^<>]*>"), "XML")
         .when(head.rlike(r"^[\[{]") & F.try_parse_json(text).isNotNull(), "JSON")
-        .when(log, "LOG")
-        .when(even(",") | even(";") | even("\t") | even("|"), "CSV")
         .when(head.rlike(r"(?m)^#{1,6} \S|^```"), "MARKDOWN")
+        .when(log, "LOG")
+        .when(even(",") | even(";") | even("\t"), "CSV")
         .otherwise("TXT")
     )
 
 
-_SENTENCE = re.compile(r"(?<=[.!?])\s+")
+#: Where a sentence or a paragraph ends.
+SENTENCE_END = r"(?<=[.!?])\s+|\n{2,}"
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _chunks(text: pd.Series, most: pd.Series) -> pd.Series:
-    def pack(t: str | None, n: int) -> list[str] | None:
-        if t is None:
-            return None
-        out, now = [], ""
-        for s in _SENTENCE.split(t.strip()):
-            if now and len(now) + 1 + len(s) > n:
-                out.append(now)
-                now = s
-            else:
-                now = f"{now} {s}" if now else s
-        return [*out, now] if now else out
+def sentence_chunks(text: Column, most: int = 1800) -> Column:
+    """Sentences and paragraphs packed greedily into chunks of at most `most` characters (at least 200).
 
-    return pd.Series([pack(t, n) for t, n in zip(text, most)])
+    A text that fits is one chunk, unchanged; a sentence that is longer stands alone. The packing is a fold over the
+    sentences, from one running length to the next, so it stays a column expression.
+    """
+    most = max(most, 200)
+    sentences = F.filter(F.split(text, SENTENCE_END), lambda s: stripped(s) != "")
+    start = F.struct(F.array().cast("array<int>").alias("at"), F.lit(0).alias("n"), F.lit(0).alias("i"))
 
+    def step(a: Column, s: Column) -> Column:
+        new = (a["n"] > 0) & (a["n"] + F.length(s) + 1 > most)
+        at = F.when((a["i"] == 0) | new, F.concat(a["at"], F.array(a["i"]))).otherwise(a["at"])
+        # a chunk's first sentence counts without the space that joins it, once another chunk went before
+        n = F.when(new, F.length(s)).otherwise(a["n"] + F.length(s) + 1)
+        return F.struct(at.alias("at"), n.alias("n"), (a["i"] + 1).alias("i"))
 
-def sentence_chunks(text: Column, most: int = 1800) -> Column:
-    """Sentences packed greedily into chunks of at most `most` characters (at least 200); a longer one stands alone."""
-    return _chunks(text, F.lit(max(most, 200)))
+    cuts = F.aggregate(sentences, start, step)
+    ends = F.concat(F.slice(cuts["at"], 2, F.greatest(F.size(cuts["at"]), F.lit(1))), F.array(cuts["i"]))
+    packed = F.transform(F.arrays_zip(cuts["at"].alias("a"), ends.alias("b")), lambda c: F.array_join(F.slice(sentences, c["a"] + 1, c["b"] - c["a"]), " "))
+    return F.when(F.length(text) <= most, F.array(text)).when(F.size(sentences) == 0, F.array().cast("array<string>")).when(text.isNotNull(), packed)
 
 
 def split_words(tokens: DataFrame, known: DataFrame, least: int = 12, longest: int = 24) -> DataFrame:
@@ -205,12 +228,15 @@ def spans(docs: DataFrame, patterns: Sequence[tuple[str, str, int]], priority: i
     """doc_id and annotations: start, end, label, text, source and priority of all that the patterns find, overlaps settled.
 
     patterns: label, pattern and the group that is the span (0: all); case does not count. Blanks at a span's end are cut.
-    Higher priority wins, then the longer, then the earlier; what stays is sorted by start. Offsets count code points.
+    Higher priority wins, then the longer, then the earlier; what stays is sorted by start. Offsets count code points. A
+    pattern that does not compile is left out with a warning.
     """
+    compiled(patterns, warn=True)
+    doc_kind = docs.schema["doc_id"].dataType.simpleString()
     kind = "array<struct<start:int,end:int,label:string,text:string,source:string,priority:int>>"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ready = [(label, re.compile(p, re.IGNORECASE), group) for label, p, group in patterns]
+        ready = compiled(patterns)
         for b in batches:
             out = []
             for t in b["text"]:
@@ -219,13 +245,125 @@ def spans(docs: DataFrame, patterns: Sequence[tuple[str, str, int]], priority: i
                 out.append([dict(zip(("start", "end", "label", "text", "source", "priority"), s)) for s in settled(found)])
             yield pd.DataFrame({"doc_id": b["doc_id"], "annotations": out})
 
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id long, annotations {kind}")
+    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {doc_kind}, annotations {kind}")
+
+
+def name_terms(names: Column, least: int = 4) -> Column:
+    """What a list of names vouches for: each full name, and each part of at least `least` letters."""
+
+    def of(name: Column) -> Column:
+        clean = stripped(F.regexp_replace(name, r"[^A-Za-z' -]+", " "))
+        parts = F.filter(F.split(clean, r"[\s-]+"), lambda p: F.length(p) >= least)
+        return F.when(F.size(parts) > 1, F.concat(F.array(clean), parts)).otherwise(parts)
+
+    return F.array_distinct(F.flatten(F.transform(names, of)))
+
+
+def name_of_address(address: Column) -> Column:
+    """The name that a structured local part carries (john.smith), null without one."""
+    local = F.substring_index(address, "@", 1)
+    return F.when(local.rlike(r"^[A-Za-z]+(\.[A-Za-z]+)+$"), F.array_join(F.transform(F.split(local, r"\."), F.initcap), " "))
+
+
+def envelope_terms(addresses: Column, names: Column) -> Column:
+    """(surface, label, cased) that a message's envelope vouches for: addresses in any case, names as written."""
+    known = F.array_distinct(F.filter(addresses, lambda a: F.contains(a, F.lit("@"))))
+    every = F.concat(F.filter(names, lambda n: n != ""), F.array_compact(F.transform(known, name_of_address)))
+    mails = F.transform(known, lambda a: F.struct(a.alias("surface"), F.lit("EMAIL").alias("label"), F.lit(False).alias("cased")))
+    people = F.transform(name_terms(every), lambda n: F.struct(n.alias("surface"), F.lit("PERSON").alias("label"), F.lit(True).alias("cased")))
+    return F.concat(mails, people)
+
+
+def annotated(docs: DataFrame, patterns: Sequence[tuple[str, str, int]], terms: str | None = None, entities: Sequence[tuple[str, str]] = ()) -> DataFrame:
+    """As `spans`, over three sources: the envelope (column `terms`, as of `envelope_terms`; priority 40), the catalogue of
+    patterns (20) and a table of entities (label, pattern; 10). A null text has no annotations."""
+    doc_kind = docs.schema["doc_id"].dataType.simpleString()
+    table = compiled([(label, p, 0) for label, p in entities], warn=True)
+    compiled(patterns, warn=True)
+
+    def found(text: str, own: Sequence[dict] | None, ready: list, others: list) -> list[tuple]:
+        out = []
+        for term in own if own is not None else ():
+            if term["surface"]:
+                surface = re.compile(rf"(?<![\w@.]){re.escape(term['surface'])}(?![\w@.])", 0 if term["cased"] else re.IGNORECASE)
+                out += [(*m.span(), term["label"], m.group(), "envelope", 40) for m in surface.finditer(text)]
+        for source, priority, some in (("catalogue", 20, ready), ("entity", 10, others)):
+            for label, r, group in some:
+                hit = [(m.start(group), m.group(group).strip()) for m in r.finditer(text)]
+                out += [(a, a + len(s), label, s, source, priority) for a, s in hit if s]
+        return settled(out)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ready = compiled(patterns)
+        for b in batches:
+            own = b["terms"] if terms else [None] * len(b)
+            rows = [[dict(zip(("start", "end", "label", "text", "source", "priority"), s)) for s in found(t or "", o, ready, table)] for t, o in zip(b["text"], own)]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "annotations": rows})
+
+    columns = ["doc_id", "text", *([F.col(terms).alias("terms")] if terms else [])]
+    return docs.select(*columns).mapInPandas(run, f"doc_id {doc_kind}, annotations array<struct<start:int,end:int,label:string,text:string,source:string,priority:int>>")
+
+
+def page_triples(page: Column, url: Column, html: Column) -> Column:
+    """Subject, predicate and object of what a page states: its URI, title, description, size, text and links."""
+    title = stripped(F.regexp_replace(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1), r"\s+", " "))
+    about = F.regexp_extract(html, r"""(?is)<meta\s+name\s*=\s*["']description["']\s+content\s*=\s*["']([^"']*)["']""", 1)
+    single = {"hasIdentifier": page.cast("string"), "hasUri": url, "hasTitle": title, "hasDescription": about, "hasFileSize": F.octet_length(html).cast("string"), "hasContent": html_text(html)}
+    facts = F.array(*[F.struct(F.lit(p).alias("predicate"), o.alias("object")) for p, o in single.items()])
+    links = F.transform(html_links(html), lambda x: F.struct(F.lit("hasLinks").alias("predicate"), x.alias("object")))
+    return F.filter(F.concat(facts, links), lambda f: F.coalesce(f["object"], F.lit("")) != "")
+
+
+_TERM = r"(<[^>]*>|_:\S+)"
+_LITERAL = r'(<[^>]*>|_:\S+|"(?:[^"\\]|\\.)*"(?:\^\^<[^>]*>|@[A-Za-z0-9-]+)?)'
+
+
+def triples_of(line: Column) -> Column:
+    """subject, predicate and object of a line of N-Triples, without angle brackets; null for comments and other lines."""
+    whole = rf"^\s*{_TERM}\s+(<[^>]*>)\s+{_LITERAL}\s*\.\s*(?:#.*)?$"
+    bare = lambda i: F.regexp_replace(F.regexp_extract(line, whole, i), r"^<|>$", "")
+    return F.when(line.rlike(whole), F.struct(bare(1).alias("subject"), bare(2).alias("predicate"), F.regexp_extract(line, whole, 3).alias("object")))
+
+
+def triple_line(subject: Column, predicate: Column, value: Column) -> Column:
+    """A line of N-Triples with a literal."""
+    for sign, written in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r")):
+        value = F.replace(value, F.lit(sign), F.lit(written))
+    return F.concat(F.lit("<"), subject, F.lit("> <"), predicate, F.lit('> "'), value, F.lit('" .'))
+
+
+def log_fields(line: Column) -> Column:
+    """time, level and message of a log line; time and level are null where it has none."""
+    form = r"^\[?(\d{4}-\d\d-\d\d[T ]\d\d:\d\d(?::\d\d)?)?\S*\s*\[?(?:(CRITICAL|ERROR|WARNING|WARN|INFO|DEBUG|TRACE)\b)?[\]:]*\s*(.*)$"
+    part = lambda i: F.nullif(F.regexp_extract(line, form, i), F.lit(""))
+    return F.struct(part(1).alias("time"), part(2).alias("level"), F.regexp_extract(line, form, 3).alias("message"))
+
+
+def hashed_name(created: Column, digest: Column) -> Column:
+    """An archive's own name: date, time and the first 16 digits of the digest."""
+    return F.concat(F.date_format(created, "yyyy-MM-dd-HHmmss"), F.lit("-"), F.lower(F.substring(digest, 1, 16)))
+
+
+def is_hashed(stem: Column) -> Column:
+    return stem.rlike(r"(?i)^\d{4}-\d{2}-\d{2}-\d{6}-[0-9a-f]{16}$")
+
+
+def compiled(patterns: Sequence[tuple[str, str, int]], warn: bool = False) -> list[tuple[str, re.Pattern, int]]:
+    out = []
+    for label, pattern, group in patterns:
+        try:
+            out.append((label, re.compile(pattern, re.IGNORECASE), group))
+        except re.error as e:
+            if warn:
+                warnings.warn(f"pattern of {label} left out: {e}", stacklevel=3)
+    return out
 
 
 def settled(found: Sequence[tuple]) -> list[tuple]:
     """Spans (start, end, ..., priority) that do not overlap, greedily by priority, length and start, then in the given order."""
     kept: list[tuple] = []
     for s in sorted(found, key=lambda s: (-s[5], s[0] - s[1], s[0])):
-        if all(s[1] <= k[0] or s[0] >= k[1] for k in kept):
-            kept.append(s)
-    return sorted(kept)
+        at = bisect.bisect(kept, s[0], key=lambda k: k[0])
+        if (at == 0 or kept[at - 1][1] <= s[0]) and (at == len(kept) or kept[at][0] >= s[1]):
+            kept.insert(at, s)
+    return kept

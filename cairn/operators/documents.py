@@ -107,5 +107,7 @@ def nested(one: DataFrame, many: DataFrame, one_key: str, many_key: str, name: s
 
 
 def distinct_union(*lists: Column, key=lambda x: x) -> Column:
-    """One list of all, without later ones of an equal key, in order."""
-    return F.array_distinct(F.transform(F.concat(*lists), key))
+    """One list of all elements, in order, without later ones of an equal key."""
+    every = F.concat(*lists)
+    keys = F.transform(every, key)
+    return F.filter(every, lambda x, i: F.array_position(keys, key(x)) == i + 1)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -16,10 +16,20 @@ def histogram(rows: DataFrame, label: str, value: str, bounds: Sequence[float])
     return grouped.select(label, F.explode(buckets).alias("_x"), "n", "total").select(label, "_x.le", "_x.bucket", "n", "total")
 
 
+def escaped(value: Column) -> Column:
+    """A label's value: backslash, quote and line feed in their written forms."""
+    for sign, written in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n")):
+        value = F.replace(value, F.lit(sign), F.lit(written))
+    return value
+
+
 def exposition(samples: DataFrame, name: str, kind: str, help_text: str, *labels: str) -> DataFrame:
-    """name and lines: HELP and TYPE once, then a line for each sample, in order. A metric's samples are few."""
-    escaped = [F.concat(F.lit(f'{c}="'), F.replace(F.replace(F.col(c).cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"')) for c in labels]
-    line = F.concat(F.lit(name + "{"), F.concat_ws(",", *escaped), F.lit("} "), F.col("value").cast("string"))
-    listed = samples.select(line.alias("line")).agg(F.array_sort(F.collect_list("line")).alias("lines"))
-    head = F.array(F.lit(f"# HELP {name} {help_text}"), F.lit(f"# TYPE {name} {kind}"))
-    return listed.select(F.lit(name).alias("name"), F.array_join(F.concat(head, "lines"), "\n").alias("lines"))
+    """place and line: HELP and TYPE first, then a line for each sample. Samples stay rows, however many there are."""
+    if kind not in ("counter", "gauge", "histogram", "summary", "untyped"):
+        raise ValueError(f"unknown kind {kind!r}")
+    pairs = [F.concat(F.lit(f'{c}="'), escaped(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit('"')) for c in labels]
+    label = F.concat(F.lit("{"), F.concat_ws(",", *pairs), F.lit("}")) if labels else F.lit("")
+    lines = samples.select(F.lit(2).alias("place"), F.concat(F.lit(name), label, F.lit(" "), F.col("value").cast("string")).alias("line"))
+    written = help_text.replace("\\", "\\\\").replace("\n", "\\n")
+    head = samples.sparkSession.createDataFrame([(0, f"# HELP {name} {written}"), (1, f"# TYPE {name} {kind}")], "place int, line string")
+    return head.unionByName(lines)

@@ -214,7 +214,9 @@ def measure(records: DataFrame, rules: QualityRules, checkpoint: str = "", as_of
 
     if rules.reference is not None:
         fields = [c for c in rules.reference.columns if c != rules.identifier]
-        known = rules.reference.select(F.col(rules.identifier).alias("_ref_id"), *[F.col(c).alias(f"_ref_{c}") for c in fields])
+        # of a repeated id the least row counts, so that records do not multiply
+        least = F.min(F.struct(*[F.col(c).alias(f"_ref_{c}") for c in fields])).alias("_r")
+        known = rules.reference.groupBy(F.col(rules.identifier).alias("_ref_id")).agg(least).select("_ref_id", "_r.*")
         df = df.join(known, df[rules.identifier] == known["_ref_id"], "left")
         types = {f.name: f.dataType for f in rules.reference.schema.fields}
         share, bad = _share([(f"accuracy:{c}", as_text(col(c), kind(c)) == as_text(F.col(f"_ref_{c}"), types[c])) for c in fields])

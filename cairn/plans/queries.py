@@ -173,11 +173,12 @@ def nested_join_patterns(spark, sf):
     return both.select("r_regionkey", "r_name", F.array_join(F.transform("nations", lambda x: x["n_name"]), ",").alias("nations"))
 
 
-@query("SELECT conv_id, list_distinct(list(role)) IS NOT NULL AS has, count(DISTINCT role) AS n_roles FROM conversations GROUP BY conv_id")
+@query("""SELECT conv_id, string_agg(role || '@' || turn, ',' ORDER BY turn) AS speakers FROM (SELECT conv_id, role, min(turn) AS turn FROM conversations GROUP BY ALL) GROUP BY conv_id""")
 def mail_thread_union(spark, sf):
+    """Who speaks in a conversation, each with the first turn, in the order of these."""
     lists = t(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("l"))
-    roles = documents.distinct_union(F.col("l"), key=lambda x: x["role"])
-    return lists.select("conv_id", roles.isNotNull().alias("has"), F.size(roles).cast("long").alias("n_roles"))
+    first = documents.distinct_union(F.col("l"), key=lambda x: x["role"])
+    return lists.select("conv_id", F.array_join(F.transform(first, lambda x: F.concat(x["role"], F.lit("@"), x["turn"])), ",").alias("speakers"))
 
 
 # text
@@ -210,7 +211,13 @@ def sentence_chunks(spark, sf):
     return t(spark, sf, "documents").select("doc_id", X.sentence_chunks(F.col("text"), 400).alias("chunks"))
 
 
-@query()
+_HTML_STEPS = (
+    (r"(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>", ""), (r"(?i)<br\s*/?>|</(p|div|li|tr|h[1-6])\s*>", "\n"), (r"(?s)<[^>]*>", " "),
+    ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"), ("&amp;", "&"), (r"[ \t\x0B\f\r]+", " "), (r" ?\n ?", "\n"), (r"\n{3,}", "\n\n"),
+)
+
+
+@query("SELECT page_id, trim(" + "regexp_replace(" * len(_HTML_STEPS) + "html" + "".join(f", '{p}', '{r}', 'g')" if r != "\n" and r != "\n\n" else f", '{p}', repeat(chr(10), {len(r)}), 'g')" for p, r in _HTML_STEPS) + ", ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160)) AS text FROM pages")
 def html_strip(spark, sf):
     return t(spark, sf, "pages").select("page_id", X.html_text(F.col("html")).alias("text"))
 
@@ -225,7 +232,16 @@ def slug_title(spark, sf):
     return t(spark, sf, "part").select("p_partkey", X.slug(F.col("p_name"), 200).alias("slug"))
 
 
-@query()
+_PLAIN_NAME = r"lower(trim(regexp_replace(regexp_replace(strip_accents(s), '[^\x00-\x7F]+', '', 'g'), '[^A-Za-z0-9]+', '-', 'g'), '-'))"
+
+
+@query(rf"""WITH a AS (SELECT doc_id, source, text, n_chars, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160))),
+lambda x: length(x) >= 12 AND NOT regexp_matches(x, '(?i)^(page \d+ of \d+|contents|table of contents|official[: ].*)$') AND NOT regexp_matches(x, '^[\d\s.\-–]+$')) AS l FROM documents),
+b AS (SELECT *, coalesce(l[1], substr(trim(regexp_replace(text, '\s+', ' ', 'g')), 1, 120)) AS s FROM a),
+c AS (SELECT *, {_PLAIN_NAME} AS n FROM b),
+d AS (SELECT *, CASE WHEN length(n) <= 60 OR substr(n, 61, 1) = '-' OR substr(n, 1, 60) NOT LIKE '%-%' THEN substr(n, 1, 60) ELSE regexp_replace(substr(n, 1, 60), '-[^-]*$', '') END AS g FROM c)
+SELECT doc_id, CASE WHEN trim(text) = '' THEN 'SCAN-' || ceil(n_chars / 3000)::BIGINT || 'pp' ELSE concat_ws('-', source, nullif(regexp_extract(substr(text, 1, 600), '\b(199[0-9]|20[0-9]{{2}})\b', 1), ''), coalesce(nullif(g, ''), 'without-title'),
+ceil(n_chars / 3000)::BIGINT || 'pp') END AS name FROM d""")
 def archive_name(spark, sf):
     return t(spark, sf, "documents").select("doc_id", X.archive_name(F.col("source"), F.col("text"), F.ceil(F.col("n_chars") / 3000)).alias("name"))
 
@@ -293,7 +309,8 @@ def prometheus_histogram(spark, sf):
     return metrics.histogram(t(spark, sf, "events"), "event_type", "value", (10.0, 50.0, 100.0, 250.0)).withColumn("total", F.round("total", 4))
 
 
-@query()
+@query("""SELECT 0 AS place, '# HELP events_total Events by type' AS line UNION ALL SELECT 1, '# TYPE events_total counter' UNION ALL
+SELECT 2, 'events_total{event_type="' || event_type || '"} ' || count(*) || '.0' FROM events GROUP BY event_type""")
 def prometheus_lines(spark, sf):
     return metrics.exposition(t(spark, sf, "events").groupBy("event_type").agg(F.count(F.lit(1)).cast("double").alias("value")), "events_total", "counter", "Events by type", "event_type")
 
@@ -318,7 +335,9 @@ def pricing_summary(spark, sf):
 JOIN region ON n_regionkey = r_regionkey WHERE r_regionkey = 1 GROUP BY n_name""")
 def join_revenue_by_nation(spark, sf):
     li, o, c, n, r = (t(spark, sf, x) for x in ("lineitem", "orders", "customer", "nation", "region"))
-    joined = li.join(o, li.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey).join(r.where("r_regionkey = 1"), n.n_regionkey == F.col("r_regionkey"))
+    # the only condition cuts customers and so orders before the large table is met
+    ours = r.where("r_regionkey = 1").join(n, F.col("r_regionkey") == n.n_regionkey).join(c, F.col("n_nationkey") == c.c_nationkey).join(o, F.col("c_custkey") == o.o_custkey).select("n_name", "o_orderkey")
+    joined = li.join(ours, li.l_orderkey == F.col("o_orderkey"))
     return joined.groupBy("n_name").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
 
 
@@ -379,3 +398,7 @@ def asof_last_view(spark, sf):
 def range_within_hour(spark, sf):
     e = t(spark, sf, "events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
     return range_join(e, e, ["user_id"], "at", 3_600_000_000).select(F.col("l_event_id").alias("a"), F.col("r_event_id").alias("b"))
+
+
+# the queries of the other modules register themselves here too
+from cairn.plans import records  # noqa: E402, F401

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +27,22 @@ def is_sql(uri: str) -> bool:
     return uri.lower().startswith("sql:") or bool(_SQL.match(uri))
 
 
+_QUOTED = re.compile(r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|`[^`]*`|--[^\n]*|/\*.*?\*/""", re.DOTALL)
+
+
+def is_plain_query(text: str) -> bool:
+    """Whether a statement only reads: one statement that begins with a query word, and outside of brackets, quotes and
+    comments no word that writes (a WITH can stand before INSERT, UPDATE, DELETE or MERGE)."""
+    bare = _QUOTED.sub(" ", text)
+    if ";" in bare or not _SQL.match(bare + " "):
+        return False
+    depth, outer = 0, []
+    for c in bare:
+        depth += (c == "(") - (c == ")")
+        outer.append(c if depth <= 0 else " ")
+    return not re.search(r"(?i)\b(insert|update|delete|merge)\b", "".join(outer))
+
+
 def sql_text(uri: str) -> str:
     return re.sub(r"(?i)^sql:", "", uri).strip().rstrip(";").strip()
 
@@ -49,7 +65,6 @@ class Catalog:
     spark: SparkSession
     safe_mode: bool = True
     allow_raw_sql: bool = False
-    views: Mapping[str, str] = field(default_factory=dict)
 
     def read(self, uri: str, format: str | None = None, schema: str | None = None, options: Mapping[str, str] | None = None, columns: Sequence[str] | None = None, where: Mapping[str, object] | None = None, limit: int | None = None, allow_sql: bool | None = None) -> DataFrame:
         """Columns, equality conditions and limit are part of the plan, so they reach the source where it can take them."""
@@ -57,7 +72,7 @@ class Catalog:
             if not (self.allow_raw_sql if allow_sql is None else allow_sql):
                 raise NotAllowed("raw SQL is not allowed")
             text = sql_text(uri)
-            if self.safe_mode and (not _SQL.match(text + " ") or ";" in text):
+            if self.safe_mode and not is_plain_query(text):
                 raise NotAllowed("only one query statement is allowed in safe mode")
             df = self.spark.sql(text)
         elif format is None and is_table(uri):
@@ -87,8 +102,9 @@ class Catalog:
         return {"operation": "write", "destination_uri": uri, "destination_format": kind, "mode": mode, "columns": df.columns, "row_count": seen.get["rows"]}
 
     def search(self, pattern: str = "*") -> DataFrame:
-        """Tables and views of the session whose name matches: a glob, or else a part of the name, in any case."""
-        names = self.spark.createDataFrame([(t.name, t.isTemporary) for t in self.spark.catalog.listTables()], "name string, temporary boolean")
+        """Tables and views of all databases whose name matches: a glob, or else a part of the name, in any case."""
+        found = [(t.name, t.isTemporary, ".".join(t.namespace or [])) for d in self.spark.catalog.listDatabases() for t in self.spark.catalog.listTables(d.name)]
+        names = self.spark.createDataFrame(sorted(set(found)), "name string, temporary boolean, database string")
         return names.where(matches(F.col("name"), pattern))
 
     def describe(self, df: DataFrame, uri: str) -> dict[str, object]:

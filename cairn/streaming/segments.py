@@ -32,6 +32,11 @@ def tumbling(events: DataFrame, time: str, width: str, *keys: str) -> DataFrame:
     return events.groupBy(F.window(time, width).alias("_w"), *keys).agg(F.count(F.lit(1)).alias("events")).select(F.col("_w.start").alias("window_start"), *keys, "events")
 
 
+def sliding(events: DataFrame, time: str, width: str, step: str, *keys: str) -> DataFrame:
+    """Counts by overlapping windows and keys; also on streams with a watermark."""
+    return events.groupBy(F.window(time, width, step).alias("_w"), *keys).agg(F.count(F.lit(1)).alias("events")).select(F.col("_w.start").alias("window_start"), *keys, "events")
+
+
 def first_seen(events: DataFrame, keys: Sequence[str], time: str, within: str) -> DataFrame:
     """Rows whose key was not seen before, remembered for `within` after the watermark. On streams only."""
     return events.withWatermark(time, within).dropDuplicatesWithinWatermark(list(keys))
