@@ -7,8 +7,8 @@ in the order in which the ids with a 0 there come first; ranks are counted from
 File: magic, the length of the header, the header (JSON), then sections compressed with zstd: document ids, document
 lengths, symbols, and each plane's bits. The directory is counted again on reading.
 
-Results for odd input: a null or empty text has its end id only; rows that repeat a doc_id are ordered by their text; an
-empty table gives no file and no rows.
+Results for odd input: a null or empty text has its end id only; rows that repeat a doc_id are ordered by their text; rows
+without a doc_id come first and keep none; an empty table gives no file and no rows.
 """
 
 from __future__ import annotations
@@ -16,7 +16,6 @@ from __future__ import annotations
 import json
 import os
 import struct
-import unicodedata
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -37,10 +36,10 @@ MAGIC = b"WVM1"
 #: Ids in one file at most, so that a task holds one file's worth of ids.
 MOST_IDS = 8 << 20
 #: Words whose ids a worker remembers.
-MOST_WORDS = 500_000
+MOST_WORDS = 1_000_000
 _BLOCK = 512
-#: Letters whose small form depends on their place or takes several letters.
-_ODD = frozenset("\u03a3\u0130")
+#: Letters of ASCII, Latin-1 and Latin Extended-A in composed form whose small form is one letter, wherever they stand.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e"
 
 
 class WaveletMatrix:
@@ -142,21 +141,25 @@ class WaveletMatrix:
         return self.symbols[now]
 
 
-def to_bytes(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes:
-    """A shard's file."""
+def to_bytes(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, nulls: int = 0) -> bytes:
+    """A shard's file; nulls: how many of the first documents have no id."""
     matrix = WaveletMatrix.build(ids)
     pack = zstandard.ZstdCompressor(level=1).compress
     sections = [pack(np.ascontiguousarray(x).tobytes()) for x in (doc_ids.astype("<i8"), lengths.astype("<u4"), matrix.symbols.astype("<u4"), *matrix.planes)]
-    header = json.dumps({"ids": len(ids), "documents": len(doc_ids), "sections": [len(s) for s in sections]}).encode()
+    header = json.dumps({"ids": len(ids), "documents": len(doc_ids), "nulls": nulls, "sections": [len(s) for s in sections]}).encode()
     return b"".join([MAGIC, struct.pack("<I", len(header)), header, *sections])
 
 
+def header_of(data: bytes) -> dict[str, Any]:
+    (size,) = struct.unpack_from("<I", data, 4)
+    return json.loads(data[8 : 8 + size])
+
+
 def from_bytes(data: bytes) -> tuple[np.ndarray, np.ndarray, WaveletMatrix]:
-    """Document ids, lengths and ids of a shard's file."""
+    """Document ids (0 for none), lengths and ids of a shard's file."""
     if data[:4] != MAGIC:
         raise ValueError("not a wavelet-matrix file")
-    (size,) = struct.unpack_from("<I", data, 4)
-    header, at = json.loads(data[8 : 8 + size]), 8 + size
+    header, at = header_of(data), 8 + struct.unpack_from("<I", data, 4)[0]
     parts = []
     for n in header["sections"]:
         parts.append(zstandard.ZstdDecompressor().decompress(data[at : at + n]))
@@ -172,17 +175,21 @@ class Words:
     are cut at spaces and line feeds only, and the library sees to everything else within a word.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, spec: str) -> None:
+        """spec: the JSON text of the tokenizer's file."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the cores
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel
 
-        self.whole = Tokenizer.from_file(path)
+        self.whole = Tokenizer.from_str(spec)
         self.whole.no_truncation()
         self.whole.no_padding()
-        # for words of letters alone the cutting rules have nothing to do, and the model can take them as they are
-        self.plain = Tokenizer(self.whole.model)
-        self.plain.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
+        # where the model marks the last token of a word, many words can be encoded as one text and told apart again
+        suffix = getattr(self.whole.model, "end_of_word_suffix", None)
+        self.last = None
+        if suffix:
+            vocabulary = self.whole.get_vocab()
+            self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.last[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
         self._forget()
 
     def _forget(self) -> None:
@@ -190,56 +197,78 @@ class Words:
         self.entry: dict[str, int] = {}
         self.held, self.ends, self.used = np.zeros(1 << 20, np.uint32), np.zeros(1 << 18, np.int64), 1
 
-    def _add(self, words: list[str]) -> None:
-        """Encode words that are not remembered. Those of small letters alone go to the model directly."""
-        plain = [w.isalpha() and w == w.lower() and (w.isascii() or unicodedata.is_normalized("NFC", w)) for w in words]
-        for kind, using in ((True, self.plain), (False, self.whole)):
-            some = [w for w, p in zip(words, plain) if p is kind]
-            for first in range(0, len(some), 5000):
-                part = some[first : first + 5000]
-                ids = [e.ids for e in using.encode_batch_fast(part, add_special_tokens=False)]
-                sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-                base, total, count = self.ends[self.used - 1], int(sizes.sum()), len(part)
-                if base + total > len(self.held):
-                    self.held = np.concatenate([self.held[:base], np.zeros(base + 2 * total, np.uint32)])
-                if self.used + count > len(self.ends):
-                    self.ends = np.concatenate([self.ends, np.zeros(len(self.ends) + count, np.int64)])
-                self.held[base : base + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
-                self.ends[self.used : self.used + count] = base + np.cumsum(sizes)
-                self.entry.update(zip(part, range(self.used - 1, self.used - 1 + count)))
-                self.used += count
+    def _keep(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        base, total, count = self.ends[self.used - 1], len(ids), len(words)
+        if base + total > len(self.held):
+            self.held = np.concatenate([self.held[:base], np.zeros(base + 2 * total, np.uint32)])
+        if self.used + count > len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros(len(self.ends) + count, np.int64)])
+        self.held[base : base + total] = ids
+        self.ends[self.used : self.used + count] = base + np.cumsum(sizes)
+        self.entry.update(zip(words, range(self.used - 1, self.used - 1 + count)))
+        self.used += count
+
+    def _gather(self, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of entries, one after the other, and how many each has."""
+        lo = self.ends[entry]
+        n = self.ends[entry + 1] - lo
+        return self.held[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))], n
+
+    def _encode(self, words: list[str], joined: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words one after the other, and how many each has."""
+        if joined and self.last is not None:
+            ids = np.array(self.whole.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.last[ids])
+            if len(ends) == len(words) and ends[-1] == len(ids) - 1:
+                return ids, np.diff(ends, prepend=-1)
+        each = [e.ids for e in self.whole.encode_batch_fast(words, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, each), np.int64, len(each))
+        return np.fromiter(chain.from_iterable(each), np.uint32, int(sizes.sum())), sizes
+
+    def _add(self, words: pa.Array) -> None:
+        """Encode words that are not remembered.
+
+        A word of plain letters and a dot or comma after it are encoded apart, as punctuation never joins letters; small and
+        large letters are one to the tokenizer, so it is the small form that the library encodes and that is shared.
+        """
+        ended = pc.match_substring_regex(words, f"^[{_LETTERS}]+[.,]$")
+        head = pc.if_else(ended, pc.utf8_slice_codeunits(words, 0, -1), words)
+        letters = pc.match_substring_regex(head, f"^[{_LETTERS}]+$")
+        head = pc.if_else(letters, pc.utf8_lower(head), head).dictionary_encode()
+        names, code = head.dictionary.to_pylist(), head.indices.to_numpy()
+        plain = np.zeros(len(names), bool)
+        plain[code] = letters.to_numpy(zero_copy_only=False)
+        # the library tells words of plain letters in one text apart; others may be cut, and stand alone
+        some = [n for n, p in zip(names, plain) if p and n not in self.entry]
+        for first in range(0, len(some), 5000):
+            self._keep(some[first : first + 5000], *self._encode(some[first : first + 5000]))
+        other = ["", ".", ",", *(n for n, p in zip(names, plain) if not p)]
+        other = [n for n in dict.fromkeys(other) if n not in self.entry]
+        for first in range(0, len(other), 5000):
+            self._keep(other[first : first + 5000], *self._encode(other[first : first + 5000], joined=False))
+        known = np.fromiter(map(self.entry.__getitem__, names), np.int64, len(names))[code]
+        dotted = pc.ends_with(words, ".").to_numpy(zero_copy_only=False)
+        tail = np.where(ended.to_numpy(zero_copy_only=False), np.where(dotted, self.entry["."], self.entry[","]), self.entry[""])
+        raw = words.to_pylist()
+        rest = np.fromiter((w not in self.entry for w in raw), bool, len(raw))
+        ids, n = self._gather(np.stack([known[rest], tail[rest]], axis=1).ravel())
+        self._keep([w for w, r in zip(raw, rest) if r], ids, n.reshape(-1, 2).sum(axis=1))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and how many each has."""
         cut = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
         words = cut.flatten().dictionary_encode()
-        counts = pc.list_value_length(cut).to_numpy(zero_copy_only=False)
-        names = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        names = words.dictionary.to_pylist()
         if len(self.entry) > MOST_WORDS:
             self._forget()
-        # a word and a dot or comma after it are encoded apart: punctuation never joins letters; small and large letters
-        # are one to the tokenizer, and mapping them here leaves out the letters whose mapping depends on others
-        heads, tails = [], []
-        for n in names:
-            tail = ""
-            if n and n[-1] in ".," and n[:-1].isalpha():
-                n, tail = n[:-1], n[-1]
-            if n.isalpha() and (n.isascii() or (unicodedata.is_normalized("NFC", n) and not _ODD.intersection(n))):
-                n = n.lower()
-            heads.append(n)
-            tails.append(tail)
-        fresh = [w for w in dict.fromkeys(heads + [".", ",", ""]) if w not in self.entry]
-        if fresh:
-            self._add(fresh)
-        head = np.fromiter(map(self.entry.__getitem__, heads), np.int64, len(heads))
-        tail = np.fromiter(map(self.entry.__getitem__, tails), np.int64, len(tails))
-        code = words.indices.to_numpy()
-        entry = np.stack([head[code], tail[code]], axis=1).ravel()
-        lo = self.ends[entry]
-        n = self.ends[entry + 1] - lo
-        ids = self.held[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
-        per_text = np.bincount(np.repeat(np.arange(len(texts)), counts), weights=n.reshape(-1, 2).sum(axis=1), minlength=len(texts))
-        return ids, per_text.astype(np.int64)
+        fresh = np.fromiter((w not in self.entry for w in names), bool, len(names))
+        if fresh.any():
+            self._add(words.dictionary.filter(pa.array(fresh)))
+        entry = np.fromiter(map(self.entry.__getitem__, names), np.int64, len(names))
+        ids, n = self._gather(entry[words.indices.to_numpy()])
+        upto = np.concatenate([[0], np.cumsum(n)])
+        ends = np.cumsum(pc.list_value_length(cut).to_numpy(zero_copy_only=False))
+        return ids, np.diff(upto[ends], prepend=0)
 
 
 _words: dict[str, Words] = {}
@@ -263,21 +292,26 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int, partit
     The file names sort in this order. folder: a URI that pyarrow's file systems can write, shared by all executors.
     """
     spark = docs.sparkSession
+    # an empty table writes no shard, and its folder is read all the same
+    spark.createDataFrame([], "file string").write.parquet(folder)
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    with open(tokenizer_path, encoding="utf-8") as file:
+        spec = spark.sparkContext.broadcast(file.read())  # bounded by the vocabulary file; executors need not have it
     laid = docs.select("doc_id", "text").repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _words.get(tokenizer_path) or _words.setdefault(tokenizer_path, Words(tokenizer_path))
+        words = _words.get(tokenizer_path) or _words.setdefault(tokenizer_path, Words(spec.value))
         part, number, held = TaskContext.get().partitionId(), 0, []
         doc_ids: list[np.ndarray] = []
         lengths: list[np.ndarray] = []
+        nulls = 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal number
+            nonlocal number, nulls
             ids = np.concatenate(held)
             name = f"shard-{part:06d}-{number:05d}.wvm"
-            _write(folder, name, to_bytes(np.concatenate(doc_ids), np.concatenate(lengths), ids))
-            number += 1
+            _write(folder, name, to_bytes(np.concatenate(doc_ids), np.concatenate(lengths), ids, nulls))
+            number, nulls = number + 1, 0
             out = pa.RecordBatch.from_pydict({"file": [name], "ids": [len(ids)], "documents": [sum(map(len, doc_ids))]})
             held.clear(), doc_ids.clear(), lengths.clear()
             return out
@@ -291,7 +325,9 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int, partit
                 inner[ends - 1] = False
                 out[inner] = ids
                 held.append(out)
-                doc_ids.append(piece.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64))
+                # rows without an id sort first, so their number tells which they are
+                nulls += piece.column("doc_id").null_count
+                doc_ids.append(pc.fill_null(piece.column("doc_id").cast(pa.int64()), 0).to_numpy())
                 lengths.append(n + 1)
                 if sum(map(len, held)) >= MOST_IDS:
                     yield flush()
@@ -309,12 +345,14 @@ def read(spark: Any, folder: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, content in zip(batch.column("file").to_pylist(), batch.column("content")):
-                doc_ids, lengths, matrix = from_bytes(content.as_py())
+                data = content.as_py()
+                doc_ids, lengths, matrix = from_bytes(data)
                 ids = matrix.ids().astype("<u4")
                 ends = np.cumsum(lengths, dtype=np.int64)
                 starts = ends - lengths
                 crc = [zlib.crc32(ids[a:b]) for a, b in zip(starts.tolist(), ends.tolist())]
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc_ids), "file": pa.array([file] * len(doc_ids)), "within": pa.array(starts), "n_tokens": pa.array(lengths.astype(np.int64)), "ids_crc32": pa.array(crc, pa.int64())})
+                none = np.arange(len(doc_ids)) < header_of(data)["nulls"]
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc_ids, mask=none), "file": pa.array([file] * len(doc_ids)), "within": pa.array(starts), "n_tokens": pa.array(lengths.astype(np.int64)), "ids_crc32": pa.array(crc, pa.int64())})
 
     found = files.mapInArrow(run, "doc_id long, file string, within long, n_tokens long, ids_crc32 long")
     # one row for each file, small beside its millions of ids
@@ -327,7 +365,7 @@ def read(spark: Any, folder: str) -> DataFrame:
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         heads = [c.as_buffer()[:4096].to_pybytes() for c in batch.column("content")]
-        sizes = [json.loads(h[8 : 8 + struct.unpack_from("<I", h, 4)[0]])["ids"] for h in heads]
+        sizes = [header_of(h)["ids"] for h in heads]
         yield pa.RecordBatch.from_pydict({"file": batch.column("file"), "ids": pa.array(sizes, pa.int64())})
 
 
