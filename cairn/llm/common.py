@@ -9,7 +9,9 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -26,9 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, a temporary one, which only a
+    local master can share (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("cairn.work.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="cairn-")
         spark.conf.set("cairn.work.dir", found)
     return found.rstrip("/")
@@ -38,12 +43,37 @@ def work_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_work: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the writes inside are deleted as soon as a write is done; what was written does not need them."""
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
+
+
 def saved(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write the rows as Parquet to the shared folder and read them again."""
     spark, path = df.sparkSession, work_path(df.sparkSession, label)
     schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    with shuffles_freed(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    _work[out] = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete work tables that `saved` returned; all that is made of them must be written by then."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(_work.pop(t))
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def words(text: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import saved
+from .common import dropped, saved
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -23,11 +23,12 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = saved(large, "cc-large")
+        large = saved(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "cc-large")
+        dropped(now)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         now = saved(small.where("u != v").distinct(), "cc-small")
+        dropped(large)
         found = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if found == mark:
             break
@@ -53,13 +54,17 @@ def linked_groups(members: DataFrame, similar: Callable[[DataFrame], DataFrame],
     if "spare" in members.columns:
         common = Window.partitionBy("id", "role").orderBy(F.desc("_n"), "bucket")
         busy = busy.withColumn("_place", F.row_number().over(common)).where("_place > spare").select("bucket", "id")
-    busy = saved(busy.select("bucket", "id"), "lg-rare")
-    leaders = busy.groupBy("bucket").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
-    busy = saved(busy.join(leaders, "bucket"), "lg-busy")
+    rare = saved(busy.select("bucket", "id"), "lg-rare")
+    leaders = rare.groupBy("bucket").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    busy = saved(rare.join(leaders, "bucket"), "lg-busy")
+    dropped(rare)
 
     def link(pairs: DataFrame, known: DataFrame | None) -> DataFrame:
         found = similar(pairs).select("a", "b")
-        return saved(found if known is None else found.unionByName(known), "lg-links")
+        links = saved(found if known is None else found.unionByName(known), "lg-links")
+        if known is not None:
+            dropped(known)
+        return links
 
     def mixed(groups: DataFrame) -> DataFrame:
         """Members of buckets that hold different groups."""
@@ -71,7 +76,7 @@ def linked_groups(members: DataFrame, similar: Callable[[DataFrame], DataFrame],
     first = saved(stars.groupBy("id").agg(F.max_by("leader", F.struct("_n", -F.col("leader"))).alias("a")).select("a", F.col("id").alias("b")), "lg-first")
     links = link(first, None)
     groups = connected_components(links)
-    seen = first
+    seen, done = first, [first]
     for step in ("leaders", "all"):
         rest = mixed(groups)
         if rest.isEmpty():
@@ -90,5 +95,8 @@ def linked_groups(members: DataFrame, similar: Callable[[DataFrame], DataFrame],
         if not pairs.isEmpty():
             links = link(pairs, links)
             groups = connected_components(links)
-            seen = seen.unionByName(pairs)
+        dropped(rest)
+        done.append(pairs)
+        seen = seen.unionByName(pairs)
+    dropped(busy, links, *done)
     return groups

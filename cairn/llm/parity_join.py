@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, text_slices
+from .common import dropped, saved, text_slices
 from .components import linked_groups
 from .textgrams import U64, distinct, mix, windows, word_hashes
 
@@ -240,6 +240,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         return met.where(7 * F.size(F.array_intersect("sa", "sb")) >= 3 * (F.col("na") + F.col("nb"))).select("a", "b")
 
     groups = linked_groups(members, similar, short, may)
+    groups = saved(groups, "parity-groups")
+    dropped(sets, members)
     named = classes.select("n", "fp1", "fp2", "first").join(groups, classes["first"] == groups["id"], "left").select("n", "fp1", "fp2", F.coalesce("component", "first").alias("component_id"))
     out = summary.join(named, ["n", "fp1", "fp2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
