@@ -3,8 +3,8 @@
 Lines are compared in lower case, with runs of blanks as one space. Blank lines are left alone; all others go if they
 equal an earlier one. Lines of at least MIN_CHARS characters or MIN_WORDS words are also compared nearly: two are linked if
 their edit similarity (1 - Levenshtein distance / longer length) is at least MIN_SIMILARITY. Candidates are found by
-MinHashes over the GRAM-byte pieces of a normal form (everything but letters and digits as one space, runs of digits as 0
-unless digits are most of the line), which never makes lines equal by itself: lines meet if they agree in ROWS hashes of
+MinHashes over the eight-byte pieces of a normal form (ASCII punctuation as spaces, digits as 0 unless they are most of
+the line), which never makes lines equal by itself: lines meet if they agree in ROWS hashes of
 one of BANDS bands, and are compared if sketches of one bit for each hash differ in at most MOST_BITS bits. Of each
 connected group of lines, the occurrence with the smallest (doc_id, place) stays.
 
@@ -15,6 +15,7 @@ apart by their text, and wholly equal rows lose the same lines; rows without a d
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -23,35 +24,45 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, text_slices
+from .common import dropped, saved, text_slices
 from .components import linked_groups
-from .textgrams import U64, mix, pieces, positional, word_hashes
+from .textgrams import U64, bytes_of, mix, pieces
 
 #: A line of so many words, or of so many characters whatever the script, can have near lines.
 MIN_WORDS = 5
 MIN_CHARS = 16
 MIN_SIMILARITY = 0.8
-GRAM = 8
 ROWS, BANDS = 3, 42
 MOST_BITS = 50
 _HASHES = 128
 _RNG = np.random.default_rng(20240301)
 _FLIP = _RNG.integers(0, 1 << 32, _HASHES, dtype=np.uint32)
 _ODD = _RNG.integers(0, 1 << 31, _HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_DIGIT = np.isin(np.arange(256), np.frombuffer(b"0123456789", np.uint8))
+_FORM = np.array([48 if _DIGIT[c] else 32 if c < 128 and not chr(c).isalpha() else c for c in range(256)], np.uint8)
 _SHARED = 0xFFFF
 _SLICE = 1 << 14
 
 
 def compared(lines: pa.Array) -> pa.Array:
-    """The form whose edit similarity counts."""
-    return pc.utf8_trim(pc.replace_substring_regex(pc.utf8_lower(lines), r"[\x20\x09-\x0D]+", " "), " ")
+    """The form whose edit similarity counts: small letters, runs of blanks as one space, none at the ends."""
+    out = pc.utf8_lower(lines)
+    for blank in "\t\v\f\r":
+        out = pc.replace_substring(out, blank, " ")
+    while pc.any(pc.match_substring(out, "  ")).as_py():
+        out = pc.replace_substring(out, "  ", " ")
+    return pc.utf8_trim(out, " ")
 
 
-def normal(lines: pa.Array) -> pa.Array:
-    """The form by which candidates are found; rows of numbers keep their digits, as they would all be alike."""
-    kept = pc.utf8_trim(pc.replace_substring_regex(pc.utf8_lower(lines), r"[^\p{L}\p{N}]+", " "), " ")
-    numbers = pc.greater(pc.multiply(pc.count_substring_regex(kept, "[0-9]"), 2), pc.utf8_length(kept))
-    return pc.if_else(numbers, kept, pc.replace_substring_regex(kept, "[0-9]+", "0"))
+def normal(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes by which candidates are found, and where each text's begin.
+
+    Of ASCII, punctuation counts as a space and a digit as 0; lines of mostly digits keep theirs, as they would all be alike.
+    """
+    data, at = bytes_of(texts)
+    digits = np.concatenate([[0], np.cumsum(_DIGIT[data])])[at]
+    numbers = 2 * np.diff(digits) > np.diff(at)
+    return np.where(_DIGIT[data] & np.repeat(numbers, np.diff(at)), data, _FORM[data]), at
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -66,16 +77,14 @@ def lines(docs: DataFrame) -> DataFrame:
             for piece in text_slices(batch, limit=1 << 20):
                 split = pc.split_pattern(piece.column("text").cast(pa.large_string()), "\n")
                 text, row = compared(pc.list_flatten(split)), pc.list_parent_indices(split).to_numpy()
-                hashes, at = word_hashes(text)
-                takes = np.diff(at) > 0
-                where = np.flatnonzero(takes)
-                begin = np.searchsorted(row, np.arange(piece.num_rows))
-                hashes, at = hashes[np.repeat(takes, np.diff(at))], np.concatenate([[0], np.cumsum(np.diff(at)[takes])])
-                of = row[where]
+                where = np.flatnonzero(pc.binary_length(text).to_numpy() > 0)
+                begin, of = np.searchsorted(row, np.arange(piece.num_rows)), row[where]
+                text = text.take(pa.array(where))
                 columns = {c: piece.column(c).take(pa.array(of)) for c in ("doc", "mark")} | {"place": pa.array((where - begin[of]).astype(np.int32))}
-                columns |= {c: pa.array(positional(hashes, at, k).view(np.int64)) for k, c in enumerate(("h1", "h2"))}
-                length = pc.utf8_length(text.take(pa.array(where))).cast(pa.int32())
-                fuzzy = (length.to_numpy() >= MIN_CHARS) | (np.diff(at) >= MIN_WORDS)
+                digest = np.frombuffer(b"".join([blake2b(x, digest_size=16).digest() for x in text.cast(pa.large_binary()).to_pylist()]), np.int64).reshape(-1, 2)
+                columns |= {"h1": pa.array(digest[:, 0].copy()), "h2": pa.array(digest[:, 1].copy())}
+                length = pc.utf8_length(text).cast(pa.int32())
+                fuzzy = (length.to_numpy() >= MIN_CHARS) | (pc.count_substring(text, " ").to_numpy() + 1 >= MIN_WORDS)
                 yield pa.RecordBatch.from_pydict(columns | {"length": length, "fuzzy": pa.array(fuzzy)})
 
     rows = docs.where("text IS NOT NULL").select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("mark"), "text")
@@ -84,8 +93,7 @@ def lines(docs: DataFrame) -> DataFrame:
 
 def minhashes(texts: pa.Array) -> np.ndarray:
     """A row of MinHashes over the pieces of each text."""
-    hashes, at = pieces(texts, GRAM)
-    low = (hashes >> U64(32)).astype(np.uint32)
+    low, at = pieces(*normal(texts))
     out = np.empty((len(texts), _HASHES), np.uint32)
     for k in range(_HASHES if len(texts) else 0):
         out[:, k] = np.minimum.reduceat((low ^ _FLIP[k]) * _ODD[k], at[:-1])
@@ -97,10 +105,6 @@ def sketches(found: np.ndarray) -> np.ndarray:
     return np.packbits((found >> np.uint32(16)).astype(np.uint8) & 1, axis=1, bitorder="little").view(U64)
 
 
-def simhash(texts: pa.Array) -> np.ndarray:
-    return sketches(minhashes(texts))
-
-
 def block_keys(found: np.ndarray) -> np.ndarray:
     """A row of 32-bit keys for each row of MinHashes, one for each band."""
     out = np.empty((len(found), BANDS), np.uint32)
@@ -188,14 +192,14 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in text_slices(batch, limit=1 << 20):
+            for piece in text_slices(batch, limit=1 << 18):
                 split = pc.split_pattern(piece.column("text").cast(pa.large_string()), "\n")
                 begin = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy())])
                 asked = piece.column("lines")
                 of, inner = pc.list_parent_indices(asked).to_numpy(), pc.list_flatten(asked)
                 at = begin[of] + inner.field("place").to_numpy()
                 text = compared(pc.list_flatten(split).take(pa.array(at)))
-                found = minhashes(normal(text))
+                found = minhashes(text)
                 signs, keys = sketches(found).view(np.int64), block_keys(found)
                 columns = {c: inner.field(c) for c in ("h1", "h2")} | {"line": text.cast(pa.string()), "length": pc.utf8_length(text).cast(pa.int32())}
                 columns |= {"s1": pa.array(signs[:, 0].copy()), "s2": pa.array(signs[:, 1].copy()), "keys": pa.array([k.tobytes() for k in keys], pa.binary())}
@@ -213,7 +217,7 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def groups(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The different lines (h1, h2, first, n), and h1, h2 and component of those that are linked with another."""
+    """The different lines (h1, h2, first, n), and h1, h2 and component of those that are linked with another; work tables."""
     occurrence = F.struct("doc", "mark", "place")
     distinct = found.groupBy("h1", "h2", "length", "fuzzy").agg(F.min(occurrence).alias("first"), F.count(F.lit(1)).alias("n"))
     distinct = saved(distinct, "lines")
@@ -223,6 +227,7 @@ def groups(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
     text = saved(_texts(docs, wanted).withColumn("id", F.monotonically_increasing_id()), "lines-text")
     members = saved(_members(text, parts), "lines-members")
     small = saved(text.select("id", "s1", "s2", "length").join(members.select("id").distinct(), "id", "left_semi"), "lines-busy")
+    scratch = [text, members, small]
 
     def may(a: str, b: str) -> Column:
         apart = F.bit_count(F.col(f"{a}.s1").bitwiseXOR(F.col(f"{b}.s1"))) + F.bit_count(F.col(f"{a}.s2").bitwiseXOR(F.col(f"{b}.s2")))
@@ -234,6 +239,7 @@ def groups(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
         near = pairs.join(a, "a").join(b, "b").where(may("_x", "_y")).select("a", "b", F.greatest("_x.length", "_y.length").alias("longer"))
         # few pairs are left: written first, they can go to the text where it lies
         near = saved(near, "lines-near")
+        scratch.append(near)
         both = near.join(text.select(F.col("id").alias("a"), F.col("line").alias("la")), "a").join(text.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b")
         # the distance within a narrow band costs little, and most pairs need no wider one
         most = f"cast(floor(longer * {1 - MIN_SIMILARITY:.10g} + 1e-9) as int)"
@@ -241,11 +247,13 @@ def groups(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
         return both.where(F.expr(f"{' OR '.join(steps)} OR levenshtein(la, lb, {most}) >= 0")).select("a", "b")
 
     linked = linked_groups(members, similar, small, may)
-    return distinct, text.select("id", "h1", "h2").join(linked, "id").drop("id")
+    linked = saved(text.select("id", "h1", "h2").join(linked, "id").drop("id"), "lines-linked")
+    dropped(*scratch)
+    return distinct, linked
 
 
 def removals(docs: DataFrame) -> DataFrame:
-    """doc, mark and gone (places of the lines to remove) of the rows that lose lines."""
+    """doc, mark and gone (places of the lines to remove) of the rows that lose lines; a work table."""
     found = saved(lines(docs), "lines-all")
     distinct, linked = groups(docs, found)
     named = distinct.select("h1", "h2", "first", "n").join(linked, ["h1", "h2"], "left")
@@ -253,18 +261,20 @@ def removals(docs: DataFrame) -> DataFrame:
     several = named.join(kept, "component", "left").where("component IS NOT NULL OR n > 1").select("h1", "h2", F.coalesce("kept", "first").alias("kept"))
     gone = found.select("doc", "mark", "place", "h1", "h2").join(several, ["h1", "h2"]).where(~F.struct("doc", "mark", "place").eqNullSafe(F.col("kept")))
     # an array of the lines of one text
-    return gone.groupBy("doc", "mark").agg(F.array_sort(F.collect_set("place")).alias("gone"))
+    gone = saved(gone.groupBy("doc", "mark").agg(F.array_sort(F.collect_set("place")).alias("gone")), "lines-gone")
+    dropped(found, distinct, linked)
+    return gone
 
 
 def deduplicated(docs: DataFrame, counts: bool = False) -> DataFrame:
     """The documents without their repeated lines; with counts also n_lines and removed (the places removed)."""
-    gone = saved(removals(docs), "lines-gone").alias("g")
-    marked = docs.withColumn("_mark", F.xxhash64("text")).alias("d")
-    joined = marked.join(gone, F.col("d.doc_id").eqNullSafe(F.col("g.doc")) & (F.col("d._mark") == F.col("g.mark")), "left")
-    split = F.split(F.col("d.text"), "\n")
+    gone = removals(docs).select(F.col("doc").alias("_doc"), F.col("mark").alias("_gone_mark"), "gone").alias("g")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.xxhash64("text").alias("mark")).alias("d")
+    joined = whole.join(gone, F.col("d.doc.doc_id").eqNullSafe(F.col("g._doc")) & (F.col("d.mark") == F.col("g._gone_mark")), "left")
+    split = F.split(F.col("d.doc.text"), "\n")
     rest = F.array_join(F.filter(split, lambda x, i: ~F.array_contains(F.col("g.gone"), i)), "\n")
-    text = F.when(F.col("g.gone").isNull(), F.col("d.text")).otherwise(rest)
-    out = [text.alias("text") if c == "text" else F.col(f"d.`{c}`") for c in docs.columns]
+    text = F.when(F.col("g.gone").isNull(), F.col("d.doc.text")).otherwise(rest)
+    out = [text.alias("text") if c == "text" else F.col(f"d.doc.`{c}`") for c in docs.columns]
     if counts:
-        out += [F.when(F.col("d.text").isNull(), 0).otherwise(F.size(split)).alias("n_lines"), F.coalesce("g.gone", F.array().cast("array<int>")).alias("removed")]
+        out += [F.when(F.col("d.doc.text").isNull(), 0).otherwise(F.size(split)).alias("n_lines"), F.coalesce("g.gone", F.array().cast("array<int>")).alias("removed")]
     return joined.select(*out)

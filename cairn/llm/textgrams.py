@@ -74,16 +74,21 @@ def word_hashes(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.nd
     return mix(hashes + (ends - starts).astype(U64)), np.searchsorted(starts, at)
 
 
-def pieces(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of each n bytes in a row, and where each text's begin; a text of fewer bytes is one piece."""
-    data, at = bytes_of(texts)
-    total = np.zeros(len(data) + 1, U64)
-    np.cumsum(_BYTE[data] * _power(_BASE, len(data)), out=total[1:])
-    counts = np.maximum(np.diff(at) - n + 1, 1)
-    first = np.concatenate([np.zeros(1, np.int64), np.cumsum(counts)])
-    starts = np.repeat(at[:-1] - first[:-1], counts) + np.arange(first[-1])
-    ends = np.minimum(starts + n, np.repeat(at[1:], counts))
-    return mix((total[ends] - total[starts]) * _power(_BACK, len(data) + 1)[starts]), first
+def pieces(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 32-bit hash of each eight bytes in a row, and where each text's begin; a text of fewer bytes is one piece.
+
+    data, at: the bytes of all texts and where each begins, as from `bytes_of`. No text may be empty.
+    """
+    size = np.diff(at)
+    found = np.ndarray(len(data), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,)).copy()
+    short = np.flatnonzero(size < 8)
+    found[at[:-1][short]] &= (U64(1) << (8 * size[short]).astype(U64)) - U64(1)
+    found ^= found >> U64(29)
+    found *= U64(_BASE)
+    begins = np.ones(len(data), bool)
+    over = at[1:, None] - np.arange(1, 8)
+    begins[over[over > at[:-1, None]]] = False
+    return (found >> U64(32)).astype(np.uint32)[begins], np.concatenate([[0], np.cumsum(np.maximum(size - 7, 1))])
 
 
 def windows(hashes: np.ndarray, at: np.ndarray, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -101,16 +106,6 @@ def windows(hashes: np.ndarray, at: np.ndarray, n: int = 5) -> tuple[np.ndarray,
     return mix(out[whole]), text[whole]
 
 
-def positional(hashes: np.ndarray, at: np.ndarray, which: int = 0) -> np.ndarray:
-    """A 64-bit hash of the sequence of words of each text; which: one of several independent ones. Without words, 0."""
-    counts = np.diff(at)
-    place = np.arange(len(hashes)) - np.repeat(at[:-1], counts)
-    base = _BASE if which == 0 else _BACK
-    terms = mix(hashes + U64(which)) * _power(base, int(counts.max(initial=0)))[place]
-    total = np.concatenate([np.zeros(1, U64), np.cumsum(terms)])
-    return mix(total[at[1:]] - total[at[:-1]])
-
-
 def distinct(hashes: np.ndarray, text: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
     """The different hashes of each text, cut to 52 bits, in order, and where each text's begin. At most 4096 texts."""
     if texts > 4096:
