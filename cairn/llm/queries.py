@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, langid, line_dedup, mixing, pairwise_quality, parity_join, quality_rules, resharding, rp_forest, wavelet
-from .common import table, work_path
+from .common import table
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,27 +20,15 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, _ = mixing.mix(table(spark, sf_dir, "documents"))
-    return documents.select("doc_id", "size", "source_size", "target", "taken")
+    return documents.select("doc_id", "size", "source_size", "target", "taken", "first_turn", "n_pieces")
 
 
 def op2_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Six shards by hash become eight of near-equal bytes; the rows come from the rewritten files."""
+    """Six shards by hash become eight of near-equal bytes; rows come from the blocks that stayed and the rewritten ones."""
     docs = table(spark, sf_dir, "documents")
     old = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 6
-    # all shards are written, as the documents come without files of old shards that could stay
-    planned, _ = resharding.plan(docs, old, 6, shards=8)
-    path = work_path(spark, "shards")
-    resharding.rewrite(docs, planned, path)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return spark.read.schema("doc_id long, text string, slot long, shard int").parquet(path).select(
-        "doc_id",
-        (F.octet_length(text) + 1).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.lit("bytes").alias("law"),
-        "shard",
-        "slot",
-        F.lit(None).cast("int").alias("grown_shard"),
-    )
+    found = resharding.reshard(spark, resharding.lay_out(docs, old, 6), shards=8).rows(spark)
+    return found.select("doc.doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op1_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,13 +127,20 @@ s3 AS (SELECT *, (sum(ss) OVER () - coalesce(sum(cap) OVER t, 0))::DOUBLE / (sum
        FROM s2 WINDOW t AS (ORDER BY cap::DOUBLE / w, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 s4 AS (SELECT *, cap::DOUBLE / w > level AS free FROM s3),
 s5 AS (SELECT *, CASE WHEN free THEN (SELECT arg_min(level, o) FROM s4 WHERE free) * w ELSE cap::DOUBLE END AS target FROM s4),
-s6 AS (SELECT *, sum(round(target)::BIGINT) OVER (ORDER BY pos) AS upto, round(target)::BIGINT AS len,
-             least(1048576, greatest(64, (sum(ss) OVER ()) // 131072)) AS b FROM s5),
-s7 AS (SELECT *, ((upto + b - 1) // b - (upto - len + b - 1) // b) * b AS words FROM s6),
-p AS (SELECT doc_id, source, size, sum(size) OVER (PARTITION BY source ORDER BY place, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS start FROM d)
-SELECT doc_id, size, ss::BIGINT AS source_size, target,
-       (greatest(0, least(words, start + size) - start) + greatest(0, least(words, start + ss + size) - start - ss)
-        + greatest(0, least(words, start + 2 * ss + size) - start - 2 * ss))::BIGINT AS taken
-FROM p JOIN s7 ON p.source IS NOT DISTINCT FROM s7.source
+s6 AS (SELECT *, round(target)::BIGINT AS len, least(1048576, greatest(64, (sum(ss) OVER ()) // 131072))::BIGINT AS b FROM s5),
+s7 AS (SELECT *, (len + b - 1) // b AS k, (sum((len + b - 1) // b) OVER (ORDER BY pos))::BIGINT AS hi FROM s6),
+s8 AS (SELECT *, length(bin(greatest(1, (SELECT max(hi) FROM s7) - 1))) AS bits FROM s7),
+v AS (SELECT pos, list_sum(list_transform(range(bits), lambda i: ((id >> i) & 1) << (bits - 1 - i)))::BIGINT AS turn
+      FROM (SELECT pos, bits, unnest(range(hi - k, hi)) AS id FROM s8)),
+turns AS (SELECT pos, turn, row_number() OVER (PARTITION BY pos ORDER BY turn) - 1 AS block FROM v),
+p AS (SELECT doc_id, source, size, sum(size) OVER (PARTITION BY source ORDER BY place, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS start FROM d),
+q AS (SELECT row_number() OVER () AS i, doc_id, size, ss, target, pos, b, len, start FROM p JOIN s8 ON p.source IS NOT DISTINCT FROM s8.source),
+c AS (SELECT i, pos, b, unnest([0, 1, 2]) * ss + start AS lo, size, len FROM q WHERE size > 0),
+e AS (SELECT i, pos, b, lo, least(lo + size, len) AS hi FROM c WHERE lo < len),
+f AS (SELECT i, pos, b, lo, hi, unnest(range((lo // b)::BIGINT, ((hi - 1) // b)::BIGINT + 1)) AS block FROM e),
+g AS (SELECT i, sum(least(hi, (f.block + 1) * b) - greatest(lo, f.block * b)) AS taken, min(turn) AS first_turn, count(*) AS n_pieces
+      FROM f JOIN turns USING (pos, block) GROUP BY i)
+SELECT doc_id, size, ss::BIGINT AS source_size, target, coalesce(taken, 0)::BIGINT AS taken, first_turn, coalesce(n_pieces, 0) AS n_pieces
+FROM q LEFT JOIN g USING (i)
 """,
 }
