@@ -3,8 +3,8 @@ each query, and exact reranking of the rows in the leaves it reaches.
 
 The trees are fitted on a bounded sample (`SAMPLE_ROWS` vectors with the smallest hashes); every vector is put in its leaf
 of each tree. A tree splits a node's sample at the median of its projection on the difference of two of its members, so
-dense regions get more leaves. A query takes leaves from all trees in the order of the sum of the squared margins by which
-it misses splits on the way. The trees hold the vectors with one more coordinate that makes all lengths equal, by which the
+dense regions get more leaves. One queue for each query holds the leaves of all trees in the order of the sum of the squared
+margins by which it misses splits on the way; how many it takes is measured on the sample, for a recall of TARGET. The trees hold the vectors with one more coordinate that makes all lengths equal, by which the
 largest inner product is the smallest angle; scores are inner products of the vectors as given, in double precision.
 
 Results for odd input: vectors that are null, zero, or hold nulls or non-finite numbers take no part, as rows or as
@@ -14,7 +14,6 @@ their ids; with fewer candidates than k all are returned; ties go to the smaller
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,6 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -29,12 +29,14 @@ from pyspark.sql.window import Window
 from .common import saved
 
 SAMPLE_ROWS = 16_384
-TREES = 5
-#: Rows that a leaf is meant to hold, and the share of all leaves (of all trees) that a query may open. The share is
-#: what evenly spread vectors of 64 numbers, the hardest case, need for a recall over 0.95.
-LEAF_ROWS = 1024
-LEAF_SHARE = 0.28
-LEAST_LEAVES = 16
+TREES = 3
+#: Rows that a leaf is meant to hold.
+LEAF_ROWS = 128
+#: The share of the nearest that a query is to reach, as measured on TRIALS rows of the sample; it sets how many leaves are
+#: opened. Evenly spread vectors need most of them, clustered ones few.
+TARGET, TRIALS = 0.95, 256
+#: Rows that one task holds at a time, and the least number of such groups, so that small indexes keep all cores busy.
+GROUP_ROWS, LEAST_GROUPS = 65_536, 24
 K = 20
 
 
@@ -78,22 +80,50 @@ def grow(sample: np.ndarray, depth: int, seed: int) -> Tree:
     return Tree(normals, offsets)
 
 
-def reached(forest: list[Tree], x: np.ndarray, leaves: int) -> list[tuple[int, int]]:
-    """The first (tree, leaf) pairs that the shared queue yields for one query."""
-    queue = [(0.0, t, 0) for t in range(len(forest))]
-    margins = [t.normals @ x - t.offsets for t in forest]
-    heapq.heapify(queue)
-    found: list[tuple[int, int]] = []
-    while queue and len(found) < leaves:
-        missed, t, node = heapq.heappop(queue)
-        splits = len(forest[t].offsets)
-        while node < splits:
-            margin = margins[t][node]
-            near, far = (2 * node + 2, 2 * node + 1) if margin > 0 else (2 * node + 1, 2 * node + 2)
-            heapq.heappush(queue, (missed + margin * margin, t, far))
-            node = near
-        found.append((t, node - splits))
-    return found
+def missed(forest: list[Tree], x: np.ndarray) -> np.ndarray:
+    """What each query misses each leaf of all trees by: the sum of the squared margins of the splits that it lies beyond."""
+    out = []
+    for tree in forest:
+        margins = x @ tree.normals.T - tree.offsets
+        cost = np.zeros((len(x), 1))
+        at = 0
+        while at < len(tree.offsets):
+            level = margins[:, at : at + cost.shape[1]]
+            far = level * level
+            left, right = cost + np.where(level > 0, far, 0), cost + np.where(level > 0, 0, far)
+            at += cost.shape[1]
+            cost = np.stack([left, right], axis=2).reshape(len(x), -1)
+        out.append(cost)
+    return np.hstack(out)
+
+
+def reached(forest: list[Tree], x: np.ndarray, leaves: int) -> np.ndarray:
+    """The leaves (numbered through all trees) that each query's queue yields first, in that order.
+
+    One queue holds the leaves of all trees; its order is what a query misses them by, ties in the order of their numbers.
+    """
+    cost = missed(forest, x)
+    return np.argsort(cost, axis=1, kind="stable")[:, :leaves]
+
+
+def calibrated(forest: list[Tree], sample: np.ndarray, vectors: np.ndarray, k: int, target: float) -> int:
+    """How many leaves a query has to open so that a share `target` of the k nearest is reached, measured on the sample.
+
+    sample: as the trees see it; vectors: as given. Up to TRIALS rows of the sample are the queries.
+    """
+    n = len(sample)
+    if n < 2:
+        return 1
+    trial = np.linspace(0, n - 1, min(n, TRIALS)).astype(int)
+    near = vectors[trial] @ vectors.T
+    near[np.arange(len(trial)), trial] = -np.inf
+    best = np.argsort(-near, axis=1, kind="stable")[:, : min(k, n - 1)]
+    asked = np.hstack([vectors[trial] / np.linalg.norm(vectors[trial], axis=1, keepdims=True), np.zeros((len(trial), 1))])
+    order = np.argsort(np.argsort(missed(forest, asked), axis=1, kind="stable"), axis=1)
+    count = len(forest[0].offsets) + 1
+    homes = np.stack([t * count + tree.leaves(sample) for t, tree in enumerate(forest)])
+    first = np.min([np.take_along_axis(order, home[best], axis=1) for home in homes], axis=0)
+    return int(np.quantile(first, target, method="higher")) + 1
 
 
 def usable(rows: DataFrame, vector: str) -> DataFrame:
@@ -115,7 +145,55 @@ def _matrix(column: pa.Array | pd.Series) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def search(rows: DataFrame, queries: DataFrame, k: int = K, trees: int = TREES, leaf_share: float = LEAF_SHARE) -> DataFrame:
+class Group:
+    """The rows of some leaves, leaf after leaf."""
+
+    def __init__(self, held: list[pa.RecordBatch]) -> None:
+        leaf = np.concatenate([h.column("leaves").flatten().to_numpy() for h in held])
+        order = np.argsort(leaf, kind="stable")
+        self.matrix = np.concatenate([_matrix(h.column("x")) for h in held])[order]
+        ids = [i for h in held for i in h.column("ids").to_pylist()]
+        sizes = np.array([len(i) for i in ids])[order]
+        self.first = np.concatenate([[0], np.cumsum(sizes)])
+        self.ids = np.concatenate([np.asarray(ids[i], np.int64) for i in order])
+        self.leaf, self.begin = np.unique(leaf[order], return_index=True)
+        self.end = np.append(self.begin[1:], len(leaf))
+
+    def best(self, who: np.ndarray, q: np.ndarray, opened: pa.Array, k: int) -> pa.RecordBatch:
+        """The k best ids of the group for each query, of the leaves that it opens; ties to smaller ids."""
+        leaf, owner = opened.flatten().to_numpy(), pc.list_parent_indices(opened).to_numpy()
+        order = np.argsort(leaf, kind="stable")
+        leaf, owner = leaf[order], owner[order]
+        pairs = []
+        for number, lo, hi in zip(self.leaf, self.begin, self.end):
+            asking = owner[np.searchsorted(leaf, number) : np.searchsorted(leaf, number, side="right")]
+            if not len(asking):
+                continue
+            near = q[asking] @ self.matrix[lo:hi].T
+            if hi - lo > k + 1:
+                least = np.partition(near, -(k + 1), axis=1)[:, -(k + 1)]
+                rounding = 1e-9 * np.abs(near).max(axis=1)
+                query, entry = np.nonzero(near >= (least - rounding)[:, None])
+            else:
+                query, entry = (i.ravel() for i in np.indices(near.shape))
+            pairs.append((asking[query], lo + entry))
+        if not pairs:
+            return pa.RecordBatch.from_arrays([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64())], names=["query_id", "vec_id", "score"])
+        query, entry = (np.concatenate(x) for x in zip(*pairs))
+        # the score proper, in one order of summation wherever the pair meets
+        score = (q[query] * self.matrix[entry]).sum(axis=1)
+        many = self.first[entry + 1] - self.first[entry]
+        pair = np.repeat(np.arange(len(entry)), many)
+        ids = self.ids[self.first[entry][pair] + np.arange(len(pair)) - np.repeat(np.cumsum(many) - many, many)]
+        query, score = query[pair], score[pair]
+        other = np.flatnonzero(ids != who[query])
+        order = other[np.lexsort([ids[other], -score[other], query[other]])]
+        place = np.arange(len(order)) - np.searchsorted(query[order], query[order])
+        order = order[place < k]
+        return pa.RecordBatch.from_arrays([pa.array(who[query[order]]), pa.array(ids[order]), pa.array(score[order])], names=["query_id", "vec_id", "score"])
+
+
+def search(rows: DataFrame, queries: DataFrame, k: int = K, trees: int = TREES, target: float = TARGET) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found rows of each query, itself left out.
 
     rows and queries: columns vec_id and embedding. Each is read once; rows go through one shuffle for all trees.
@@ -137,91 +215,75 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K, trees: int = TREES,
     sample = _matrix(entries.orderBy("_h").limit(SAMPLE_ROWS).select("x").toPandas()["x"].pipe(lambda s: s[s.map(len) == s.map(len).mode().iloc[0]]))
     width, longest = sample.shape[1], float(stats["longest"])
     depth = max(0, min(int(math.log2(max(1, len(sample) // 16))), math.ceil(math.log2(max(1, n / LEAF_ROWS)))))
-    lifted = _lifted(sample, longest)
+    lifted, leaves = _lifted(sample, longest), 1 << depth
     forest = [grow(lifted, depth, seed) for seed in range(trees)]
-    opened = min(trees << depth, max(LEAST_LEAVES, round(leaf_share * (trees << depth))))
-    # a leaf that outgrows what a task should hold is cut into parts, and queries visit all of them
-    parts = max(1, round(n / (1 << depth) / (16 * LEAF_ROWS)))
-    model = spark.sparkContext.broadcast(forest)
+    opened = calibrated(forest, lifted, sample, k, target)
+    # leaves in a row share a task; one that outgrows what a task should hold is cut into parts, which queries all visit
+    parts = max(1, round(n / leaves / GROUP_ROWS))
+    per_group = max(1, trees * leaves // max(LEAST_GROUPS, math.ceil(trees * n / GROUP_ROWS)))
+    model = spark.sparkContext.broadcast(forest)  # bounded by the sample
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = _matrix(b.column("x"))
+            x = _lifted(_matrix(b.column("x")), longest)
+            part = b.column("_h").to_numpy() % parts
             for t, tree in enumerate(model.value):
-                leaf = tree.leaves(_lifted(x, longest))
-                part = b.column("_h").to_numpy() % parts
+                leaf = t * leaves + tree.leaves(x)
+                group = leaf // per_group * parts + part
                 none = pa.nulls(len(x), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array((t << 40) + leaf * parts + part), none, b.column("ids"), b.column("x")], names=["leaf", "query_id", "ids", "x"])
+                yield pa.RecordBatch.from_arrays([pa.array(group), none, pa.array(leaf[:, None].tolist(), pa.list_(pa.int64())), b.column("ids"), b.column("x")], names=names)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A query goes once to each group that holds leaves that it opens, with their numbers."""
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 piece = b.slice(at, 256)
                 x = _matrix(piece.column("x"))
                 unit = np.hstack([x / np.linalg.norm(x, axis=1, keepdims=True), np.zeros((len(x), 1))])
-                found = [reached(model.value, u, opened) for u in unit]
-                who = np.repeat(np.arange(len(found)), [len(f) * parts for f in found])
-                leaf = np.array([(t << 40) + i * parts + p for f in found for t, i in f for p in range(parts)], np.int64)
+                found = np.sort(reached(model.value, unit, opened), axis=1)
+                who, group, lists = [], [], []
+                for q, own in enumerate(found):
+                    cuts = np.flatnonzero(np.diff(own // per_group)) + 1
+                    for some in np.split(own, cuts):
+                        who += [q] * parts
+                        group += [int(some[0]) // per_group * parts + p for p in range(parts)]
+                        lists += [some.tolist()] * parts
                 ids = pa.nulls(len(who), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(leaf), piece.column("query_id").take(pa.array(who)), ids, piece.column("x").take(pa.array(who))], names=["leaf", "query_id", "ids", "x"])
+                taken = pa.array(who, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(group, pa.int64()), piece.column("query_id").take(taken), pa.array(lists, pa.list_(pa.int64())), ids, piece.column("x").take(taken)], names=names)
 
-    laid = "leaf long, query_id long, ids array<long>, x array<double>"
+    names = ["group", "query_id", "leaves", "ids", "x"]
+    laid = "group long, query_id long, leaves array<long>, ids array<long>, x array<double>"
     asked = usable(queries.select(F.col("vec_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("x")), "x").where(F.size("x") == width)
     fit_entries = entries.where(F.size("x") == width).select("_h", F.col("ids").cast("array<long>").alias("ids"), "x")
     both = fit_entries.mapInArrow(put, laid).unionByName(asked.mapInArrow(probe, laid))
 
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Leaf after leaf, its rows before its queries; a leaf may reach over several batches."""
-        now, rows_x, rows_id, matrix, owner, names = None, [], [], None, None, None
+        """Group after group, its rows before its queries; a group may reach over several batches."""
+        now, held, group = None, [], None
         for b in batches:
-            leaf = b.column("leaf").to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(leaf)) + 1), len(leaf)]
+            number = b.column("group").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(number)) + 1), len(number)]
             for lo, hi in zip(cuts, cuts[1:]):
                 if lo == hi:
                     continue
-                if leaf[lo] != now:
-                    now, rows_x, rows_id, matrix = leaf[lo], [], [], None
+                if number[lo] != now:
+                    now, held, group = number[lo], [], None
                 piece = b.slice(lo, hi - lo)
-                isrow = int(piece.column("query_id").null_count)
-                if isrow:
-                    head = piece.slice(0, isrow)
-                    rows_x.append(_matrix(head.column("x")))
-                    rows_id += head.column("ids").to_pylist()
-                    matrix = None
-                tail = piece.slice(isrow)
-                if not tail.num_rows or not rows_x:
+                rows_here = int(piece.column("query_id").null_count)
+                if rows_here:
+                    held.append(piece.slice(0, rows_here))
+                    group = None
+                tail = piece.slice(rows_here)
+                if not tail.num_rows or not held:
                     continue
-                if matrix is None:
-                    matrix = np.concatenate(rows_x)
-                    owner = np.repeat(np.arange(len(rows_id)), [len(i) for i in rows_id])
-                    names = np.concatenate([np.asarray(i, np.int64) for i in rows_id])
-                who = tail.column("query_id").to_numpy()
-                for at in range(0, len(who), 512):
-                    yield best(who[at : at + 512], _matrix(tail.column("x").slice(at, 512)), matrix, owner, names)
-
-    def best(who: np.ndarray, q: np.ndarray, matrix: np.ndarray, owner: np.ndarray, names: np.ndarray) -> pa.RecordBatch:
-        """The k best ids of a leaf for each query, ties to smaller ids."""
-        near = q @ matrix.T
-        if near.shape[1] > k + 1:
-            least = np.partition(near, -(k + 1), axis=1)[:, -(k + 1)]
-            rounding = 1e-9 * np.abs(near).max(axis=1)
-            query, entry = np.nonzero(near >= (least - rounding)[:, None])
-        else:
-            query, entry = (i.ravel() for i in np.indices(near.shape))
-        # the score proper, in one order of summation wherever the pair meets
-        score = (q[query] * matrix[entry]).sum(axis=1)
-        first = np.searchsorted(owner, np.arange(len(matrix) + 1))
-        many = first[entry + 1] - first[entry]
-        pair = np.repeat(np.arange(len(entry)), many)
-        ids = names[first[entry][pair] + np.arange(len(pair)) - np.repeat(np.cumsum(many) - many, many)]
-        query, score = query[pair], score[pair]
-        other = np.flatnonzero(ids != who[query])
-        order = other[np.lexsort([ids[other], -score[other], query[other]])]
-        place = np.arange(len(order)) - np.searchsorted(query[order], query[order])
-        order = order[place < k]
-        return pa.RecordBatch.from_arrays([pa.array(who[query[order]]), pa.array(ids[order]), pa.array(score[order])], names=["query_id", "vec_id", "score"])
+                if group is None:
+                    group = Group(held)
+                for at in range(0, tail.num_rows, 256):
+                    some = tail.slice(at, 256)
+                    yield group.best(some.column("query_id").to_numpy(), _matrix(some.column("x")), some.column("leaves"), k)
 
-    met = both.repartition("leaf").sortWithinPartitions("leaf", F.col("query_id").asc_nulls_first())
+    met = both.repartition("group").sortWithinPartitions("group", F.col("query_id").asc_nulls_first())
     found = met.mapInArrow(rerank, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

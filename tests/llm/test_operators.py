@@ -368,6 +368,31 @@ def test_nearest_odd(spark):
     assert rp_forest.search(two, two).count() == 2
 
 
+def test_nearest_with_closed_leaves(spark):
+    """Clustered vectors: most leaves stay closed, and a larger table opens a smaller share."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(120, 24))
+    x = centres[rng.integers(0, 120, 8000)] + 0.4 * rng.normal(size=(8000, 24))
+    x[:40] = x[40]
+    shares = []
+    for n in (2000, 8000):
+        sample = rp_forest._lifted(x[:n] / np.linalg.norm(x[:n], axis=1).max(), 1.0)
+        forest = [rp_forest.grow(sample, int(np.log2(n / rp_forest.LEAF_ROWS)), t) for t in range(rp_forest.TREES)]
+        shares.append(rp_forest.calibrated(forest, sample, x[:n], 20, rp_forest.TARGET) / (rp_forest.TREES * (len(forest[0].offsets) + 1)))
+        first = rp_forest.reached(forest, sample[:3], 5)
+        assert all((np.diff(rp_forest.missed(forest, sample[i : i + 1])[0][first[i]]) >= 0).all() for i in range(3))
+    assert shares[1] < shares[0] < 1 and shares[1] < 0.3
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x[:4000].tolist())], "vec_id long, embedding array<double>")
+    got = rp_forest.search(df, df.where("vec_id % 50 = 0")).toPandas()
+    hits = []
+    for q, mine in got.groupby("query_id"):
+        s = x[:4000] @ x[q]
+        order = [j for j in np.lexsort([np.arange(4000), -s]) if j != q][:20]
+        hits.append(len(set(mine["vec_id"]) & set(order)) / 20)
+        assert len(mine) == 20
+    assert len(hits) == 80 and np.mean(hits) >= 0.9
+
+
 @pytest.fixture(scope="module")
 def byte_encoder():
     return bpe.Encoder(bpe.load(None, queries.tokenizer("byte_bpe_50k.json")))
