@@ -18,6 +18,7 @@ from collections.abc import Iterator
 from hashlib import blake2b
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -32,6 +33,10 @@ from .textgrams import U64, bytes_of, mix, pieces
 MIN_WORDS = 5
 MIN_CHARS = 16
 MIN_SIMILARITY = 0.8
+#: Lines of more characters are compared whole rows at a time.
+LONG = 2048
+#: Ids that are broadcast, at most; more are joined by a shuffle.
+MOST_SENT = 1_000_000
 ROWS, BANDS = 3, 42
 MOST_BITS = 50
 _HASHES = 128
@@ -105,6 +110,41 @@ def sketches(found: np.ndarray) -> np.ndarray:
     return np.packbits((found >> np.uint32(16)).astype(np.uint8) & 1, axis=1, bitorder="little").view(U64)
 
 
+def distance(a: str, b: str, most: int) -> int | None:
+    """The Levenshtein distance, or None if it is over `most`.
+
+    Bit by bit for a whole row of the table at once (Myers, in Hyyro's form): the work for each letter of `b` is a few
+    operations on integers of as many bits as `a` has letters.
+    """
+    begin = 0
+    while begin < min(len(a), len(b)) and a[begin] == b[begin]:
+        begin += 1
+    end = 0
+    while end < min(len(a), len(b)) - begin and a[-1 - end] == b[-1 - end]:
+        end += 1
+    a, b = a[begin : len(a) - end], b[begin : len(b) - end]
+    if not a or not b:
+        size = max(len(a), len(b))
+        return size if size <= most else None
+    where = {c: int.from_bytes(np.packbits(np.frombuffer(a.encode("utf-32-le"), "<u4") == ord(c), bitorder="little").tobytes(), "little") for c in set(a)}
+    full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, score = full, 0, len(a)
+    for left, c in zip(range(len(b) - 1, -1, -1), b):
+        same = where.get(c, 0)
+        diagonal = (((same & up) + up) ^ up) | same | down
+        more, less = down | (full & ~(diagonal | up)), up & diagonal
+        score += bool(more & top) - bool(less & top)
+        if score - left > most:
+            return None
+        more, less = (more << 1 | 1) & full, less << 1 & full
+        up, down = less | (full & ~(diagonal | more)), more & diagonal
+    return score if score <= most else None
+
+
+def _within(a: pd.Series, b: pd.Series, most: pd.Series) -> pd.Series:
+    return pd.Series([distance(x, y, m) is not None for x, y, m in zip(a, b, most)], dtype=bool)
+
+
 def block_keys(found: np.ndarray) -> np.ndarray:
     """A row of 32-bit keys for each row of MinHashes, one for each band."""
     out = np.empty((len(found), BANDS), np.uint32)
@@ -237,14 +277,18 @@ def groups(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
         mark = F.struct("s1", "s2", "length")
         a, b = small.select(F.col("id").alias("a"), mark.alias("_x")), small.select(F.col("id").alias("b"), mark.alias("_y"))
         near = pairs.join(a, "a").join(b, "b").where(may("_x", "_y")).select("a", "b", F.greatest("_x.length", "_y.length").alias("longer"))
-        # few pairs are left: written first, they can go to the text where it lies
+        # few pairs are left: written first, their ids can go to the text where it lies, if they are few enough to be sent
         near = saved(near, "lines-near")
         scratch.append(near)
-        both = near.join(text.select(F.col("id").alias("a"), F.col("line").alias("la")), "a").join(text.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b")
+        ids = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct()
+        ids = F.broadcast(ids) if 2 * near.count() <= MOST_SENT else ids
+        wanted = text.select("id", "line").join(ids, "id", "left_semi")
+        both = near.join(wanted.toDF("a", "la"), "a").join(wanted.toDF("b", "lb"), "b")
         # the distance within a narrow band costs little, and most pairs need no wider one
         most = f"cast(floor(longer * {1 - MIN_SIMILARITY:.10g} + 1e-9) as int)"
-        steps = [f"levenshtein(la, lb, least({most}, {k})) >= 0" for k in (16, 256)]
-        return both.where(F.expr(f"{' OR '.join(steps)} OR levenshtein(la, lb, {most}) >= 0")).select("a", "b")
+        short = both.where(f"longer <= {LONG}").where(f"levenshtein(la, lb, least({most}, 16)) >= 0 OR levenshtein(la, lb, {most}) >= 0")
+        long = both.where(f"longer > {LONG}").withColumn("most", F.expr(most)).repartition("a", "b")
+        return short.select("a", "b").unionByName(long.where(F.pandas_udf(_within, "boolean")("la", "lb", "most")).select("a", "b"))
 
     linked = linked_groups(members, similar, small, may)
     linked = saved(text.select("id", "h1", "h2").join(linked, "id").drop("id"), "lines-linked")

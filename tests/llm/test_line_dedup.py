@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import random
 
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
 from cairn.llm import line_dedup
 
 
@@ -16,6 +19,27 @@ def similarity(a: str, b: str) -> float:
     return 1 - row[-1] / max(len(a), len(b), 1)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text("abé😀 ", max_size=40), st.text("abé😀 ", max_size=40), st.integers(0, 45))
+def test_distance(a, b, most):
+    want = round((1 - similarity(a, b)) * max(len(a), len(b), 1))
+    assert line_dedup.distance(a, b, most) == (want if want <= most else None)
+
+
+def test_long_lines(spark):
+    """Lines of many thousand characters, near and not near."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(900)]
+    near, far = list(words), list(words)
+    for i in rng.sample(range(900), 150):
+        near[i] = "zz" + words[i][::-1]
+    for i in rng.sample(range(900), 500):
+        far[i] = "yyyyyy"
+    texts = [" ".join(words), " ".join(near), " ".join(far)]
+    assert line_dedup.distance(texts[0], texts[1], len(texts[1]) // 5) is not None and line_dedup.distance(texts[0], texts[2], len(texts[0]) // 5) is None
+    assert [t == "" for t in texts_after(spark, texts)] == [False, True, False]
+
+
 def texts_after(spark, texts: list[str]) -> list[str]:
     rows = line_dedup.deduplicated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     return [r.text for r in sorted(rows, key=lambda r: r.doc_id)]
