@@ -35,6 +35,8 @@ _APART = rf"(?: {_MIXED_SPACE}|{_MIXED_SPACE} )"
 MOST_PIECES = 600_000
 #: Pieces longer than this are encoded one by one.
 LONG = 64
+#: Chunks of text, and pieces, that are encoded at a time.
+TABLE_ROWS = 1 << 15
 _NONE = -1
 
 
@@ -238,13 +240,21 @@ class Encoder:
 
     def _remember(self, chunks: list[str]) -> None:
         """Encode chunks of text that were not seen before."""
+        for first in range(0, len(chunks), TABLE_ROWS):
+            self._remember_some(chunks[first : first + TABLE_ROWS])
+
+    def _remember_some(self, chunks: list[str]) -> None:
         pieces = [PIECES.findall(c) for c in chunks]
         flat = sorted({p for ps in pieces for p in ps})
         raw = [p.encode() for p in flat]
-        short = [i for i, r in enumerate(raw) if len(r) <= LONG]
-        ids, counts = self.encode([raw[i] for i in short])
-        cuts = np.concatenate([[0], np.cumsum(counts)])
-        by_piece = {flat[i]: ids[cuts[k] : cuts[k + 1]] for k, i in enumerate(short)}
+        # pieces of about one length share a table of prefixes, which is as wide as its longest piece
+        short = sorted((i for i, r in enumerate(raw) if len(r) <= LONG), key=lambda i: len(raw[i]))
+        by_piece = {}
+        for first in range(0, len(short), TABLE_ROWS):
+            part = short[first : first + TABLE_ROWS]
+            ids, counts = self.encode([raw[i] for i in part])
+            cuts = np.concatenate([[0], np.cumsum(counts)]).tolist()
+            by_piece |= {flat[i]: ids[cuts[k] : cuts[k + 1]] for k, i in enumerate(part)}
         by_piece |= {flat[i]: self.encode_long(r) for i, r in enumerate(raw) if len(r) > LONG}
         new = [by_piece[p] for ps in pieces for p in ps]
         sizes = np.fromiter(map(len, new), np.int64, len(new))
@@ -340,7 +350,7 @@ def encode(docs: DataFrame, path: str, with_ids: bool = True) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, held.value)
         for batch in batches:
-            for part in text_slices(batch, limit=16 << 20):
+            for part in text_slices(batch, limit=4 << 20):
                 ids, at = own.encode_texts(part.column("text"))
                 each = [ids[a:b] for a, b in zip(at, at[1:])]
                 columns = {
