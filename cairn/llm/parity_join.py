@@ -249,5 +249,5 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The documents that are the first of their group, with their own columns; rows without a doc_id stay."""
-    found = near_duplicates(docs).where("doc_id != component_id").select(F.col("doc_id").alias("_drop")).distinct()
-    return docs.join(found, docs["doc_id"] == F.col("_drop"), "left_anti")
+    found = near_duplicates(docs).where("doc_id != component_id").select("doc_id").distinct()
+    return docs.alias("d").join(found.alias("f"), F.col("d.doc_id") == F.col("f.doc_id"), "left_anti")

@@ -1,7 +1,7 @@
 """Quality rules: a table of thresholds compiled into one Spark projection, without user functions.
 
 Results for odd input: a null or blank text has no words, every count is 0, and it fails (`base_failed`). Only the
-columns doc_id and text are read; others pass through `accepted` untouched, whatever their names.
+column text is read; others pass through `accepted` untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -49,8 +49,8 @@ METRICS = {
     "repeat_ratio": "_qr.n_repeat_words / _qr.n_words",
     "mean_word_length": "_qr.word_chars / _qr.n_words",
     "symbol_ratio": "_qr.n_symbols / _qr.n_words",
-    # a short text may do without any function word
-    "stop_word_ratio": "if(_qr.n_words >= 50, _qr.n_stop_words, null) / _qr.n_words",
+    # a short text may do without any function word, and one of mostly other letters than a to z has none of the list
+    "stop_word_ratio": "if(_qr.n_words >= 50 and 2 * _qr.n_latin_words >= _qr.n_words, _qr.n_stop_words, null) / _qr.n_words",
     "duplicate_line_ratio": "_qr.n_dup_lines / _qr.n_lines",
 }
 
@@ -105,6 +105,7 @@ def measured(docs: DataFrame) -> DataFrame:
         F.size("_ql").cast("long").alias("n_lines"),
         F.when(F.col("_qp").isNotNull(), covered).otherwise(F.lit(0)).cast("long").alias("n_repeat_words"),
         F.size(F.filter("_qw", lambda w: F.lower(w).isin(*STOP_WORDS))).cast("long").alias("n_stop_words"),
+        F.size(F.filter("_qw", lambda w: w.rlike("[A-Za-z]"))).cast("long").alias("n_latin_words"),
     )
     return step.withColumn("_qr", counts).drop("_qw", "_qh", "_qp", "_ql")
 
@@ -124,18 +125,19 @@ def _failed(rules: tuple[Rule, ...]) -> Column:
 
 
 def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Add `_qr` (counts, base_failed, failed_rules, kept)."""
+    """The documents with `_qr` (counts, base_failed, failed_rules, kept), which takes the place of a column of that name."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "_qr"]
     base = (F.col("_qr.n_words") < 10) | (100 * F.col("_qr.n_repeat_words") > 20 * F.col("_qr.n_words"))
-    step = measured(docs).withColumn("_qf", _failed(rules))
-    return step.withColumn(
-        "_qr",
-        F.struct("_qr.*", base.alias("base_failed"), F.col("_qf").alias("failed_rules"), (~base & (F.size("_qf") == 0)).alias("kept")),
-    ).drop("_qf")
+    # columns of any name are set aside in a struct
+    step = measured(docs.select(F.struct(*others).alias("_doc"), "text")).withColumn("_qf", _failed(rules))
+    found = F.struct("_qr.*", base.alias("base_failed"), F.col("_qf").alias("failed_rules"), (~base & (F.size("_qf") == 0)).alias("kept"))
+    return step.select("_doc", found.alias("_qr")).select("_doc.*", "_qr")
 
 
 def accepted(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The documents that pass, with their own columns."""
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "text")
     # a filter on a generated column stays where it is; on a plain one the optimiser would copy the whole projection into
     # the filter, and evaluate it once for each mention, inside loops over words too
-    flagged = judged(docs, rules).withColumn("_qk", F.explode(F.array("_qr.kept")))
-    return flagged.where("_qk").select(*[F.col(f"`{c}`") for c in docs.columns])
+    flagged = judged(whole, rules).withColumn("keep", F.explode(F.array("_qr.kept")))
+    return flagged.where("keep").select("doc.*")

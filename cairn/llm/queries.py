@@ -107,13 +107,13 @@ m AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::
              len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
              (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, len(l) AS n_lines,
              coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
-             len(list_filter(w, lambda x: lower(x) IN ({_STOP}))) AS n_stop
+             len(list_filter(w, lambda x: lower(x) IN ({_STOP}))) AS n_stop, len(list_filter(w, lambda x: regexp_matches(x, '[A-Za-z]'))) AS n_latin
       FROM w LEFT JOIN rep USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
        NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words
             OR word_chars / n_words < 2 OR word_chars / n_words > 30 OR n_symbols / n_words > 0.3
-            OR (n_words >= 50 AND n_stop / n_words < 0.005) OR (n_lines > 0 AND n_dup_lines / n_lines > 0.6)) AS kept
+            OR (n_words >= 50 AND 2 * n_latin >= n_words AND n_stop / n_words < 0.005) OR (n_lines > 0 AND n_dup_lines / n_lines > 0.6)) AS kept
 FROM m
 """,
     "op7_mixing": r"""
