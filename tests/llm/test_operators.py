@@ -104,6 +104,11 @@ def test_quality_rules(spark, odd, empty):
     assert kept.columns == odd.columns
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in got if r.kept}
     assert quality_rules.judged(empty).count() == 0
+    names = ("_qr", "_qw", "_qh", "_doc", "doc", "keep")
+    clash = odd.withColumns({c: F.lit(1) for c in names})
+    assert quality_rules.accepted(clash).columns == clash.columns and quality_rules.accepted(clash).count() == kept.count()
+    greek = spark.createDataFrame([(1, " ".join(f"λόγος{chr(945 + i % 20)}{chr(945 + i // 20)}" for i in range(90)))], "doc_id long, text string")
+    assert quality_rules.accepted(greek).count() == 1
 
 
 def test_parity_join(spark, odd, empty):
@@ -338,6 +343,39 @@ def test_quality_scores(spark, sf, odd, empty):
     assert pairwise_quality.scored(empty, blank).count() == 0
 
 
+def test_preferences():
+    """The fit against its definition: scores of built vectors, gradient by differences, and nearly none at the end."""
+    rng = random.Random(12)
+    good = [" ".join(rng.choice(["river", "stone", "walked", "quiet", "evening", "the", "a"]) for _ in range(30)) + "." for _ in range(30)]
+    bad = [" ".join(rng.choice(["BUY", "click", "$$$", "now!!!", "###"]) for _ in range(rng.randint(1, 30))) for _ in range(30)]
+    odd = [None, "", " ", "x", "é", "日本語のテキスト", "a\nb\na\nb"]
+    texts = pa.array([*good, *bad, *odd], pa.string())
+    column, value, at = pairwise_quality.sparse(texts)
+    g = np.random.default_rng(1)
+    pairs = pairwise_quality.Preferences(column, value, at, g.integers(0, 30, 200), g.integers(30, 60, 200))
+    w = g.normal(size=pairwise_quality.SIZE)
+    assert np.allclose(pairwise_quality.raw_scores(texts, w), pairs.raw(w), atol=1e-4)
+    for i in [*g.choice(column, 5), pairwise_quality.SIZE - 1]:
+        step = np.zeros(pairwise_quality.SIZE)
+        step[i] = 1e-5
+        assert pairs.gradient(w)[i] == pytest.approx((pairs.loss(w + step) - pairs.loss(w - step)) / 2e-5, abs=1e-6)
+    found = pairs.fit()
+    assert np.abs(pairs.gradient(found)).max() < 1e-3 and pairs.loss(found) < 0.2
+    raw = pairs.raw(found)
+    assert raw[:30].min() > raw[30:60].max()
+
+
+def test_quality_threshold(spark):
+    """Of texts that the fit did not see, as large a share scores under the threshold as is labelled 0."""
+    rng = random.Random(13)
+    rows = [(i, " ".join(rng.choice(["river", "stone", "quiet"] if i % 3 else ["BUY", "click", "!!"]) for _ in range(20)), int(i % 3 > 0)) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    model = pairwise_quality.fit(df)
+    got = {r.doc_id: r.score for r in pairwise_quality.scored(df, model).collect()}
+    assert all((got[i] >= pairwise_quality.THRESHOLD) == bool(q) for i, _, q in rows)
+    assert pairwise_quality.fit(df.repartition(5)).weights.tolist() == model.weights.tolist()
+
+
 def test_nearest(spark, sf):
     emb = spark.read.parquet(f"{sf}/embeddings.parquet").toPandas()
     x, ids = np.stack(emb["embedding"]).astype(float), emb["vec_id"].to_numpy()
