@@ -2,6 +2,11 @@
 
 Each stage is a function of (spark, docs, sf_dir) that returns a DataFrame; it is written as Parquet and read again as the
 next stage's docs. All but the last return the columns of documents.
+
+Results for odd input, stage by stage: a null or blank text fails the rules; rows without a doc_id pass lines and near
+duplicates as rows of their own; a null source is a source; wholly equal rows share one fate, and near duplicates keep one
+document for each doc_id's group, so rows that repeat a doc_id stay together; columns of any further names are kept; an
+empty table stays empty through all stages.
 """
 
 from __future__ import annotations
@@ -9,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cairn.llm import bpe, line_dedup, mixing, parity_join, quality_rules
-from cairn.llm.common import saved, table
+from cairn.llm.common import dropped, saved, table
 from cairn.llm.queries import tokenizer
 
 
@@ -30,7 +35,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, as often as it takes them."""
+    """The documents that the mix takes, as often as it takes them, in the order of its schedule."""
     return mixing.mixed(docs)
 
 
@@ -52,7 +57,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, used = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = saved(stage(spark, docs, sf_dir), f"stage-{name}")
+        if used is not None:
+            dropped(used)
+        used = docs
     return STAGES[-1][1](spark, docs, sf_dir)
