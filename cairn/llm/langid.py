@@ -74,6 +74,9 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str],
     """
     named = labelled.where("lang IS NOT NULL AND text IS NOT NULL")
     sample = sampled(named, sample_rows).select("text", "lang")
+    several = len(sample.select("lang").distinct().limit(MOST_LANGS + 1).collect())
+    if several > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} languages, which is what the model holds at most")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,8 +92,6 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str],
     counts = sample.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     found = counts.toPandas()
     langs = sorted(found["lang"].unique())
-    if len(langs) > MOST_LANGS:
-        raise ValueError(f"{len(langs)} languages; the model holds at most {MOST_LANGS}")
     table = np.full((BUCKETS, len(langs)), SMOOTHING)
     if langs:
         np.add.at(table, (found["bucket"].to_numpy(), np.searchsorted(langs, found["lang"])), found["n"].to_numpy())
