@@ -34,7 +34,7 @@ MIN_WORDS = 5
 MIN_CHARS = 16
 MIN_SIMILARITY = 0.8
 #: Lines of more characters are compared whole rows at a time.
-LONG = 2048
+LONG = 512
 #: Ids that are broadcast, at most; more are joined by a shuffle.
 MOST_SENT = 1_000_000
 ROWS, BANDS = 3, 42
@@ -284,11 +284,12 @@ def groups(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
         ids = F.broadcast(ids) if 2 * near.count() <= MOST_SENT else ids
         wanted = text.select("id", "line").join(ids, "id", "left_semi")
         both = near.join(wanted.toDF("a", "la"), "a").join(wanted.toDF("b", "lb"), "b")
-        # the distance within a narrow band costs little, and most pairs need no wider one
+        # the distance within a narrow band costs little, and most near pairs need no wider one
         most = f"cast(floor(longer * {1 - MIN_SIMILARITY:.10g} + 1e-9) as int)"
-        short = both.where(f"longer <= {LONG}").where(f"levenshtein(la, lb, least({most}, 16)) >= 0 OR levenshtein(la, lb, {most}) >= 0")
-        long = both.where(f"longer > {LONG}").withColumn("most", F.expr(most)).repartition("a", "b")
-        return short.select("a", "b").unionByName(long.where(F.pandas_udf(_within, "boolean")("la", "lb", "most")).select("a", "b"))
+        narrow = F.expr(f"levenshtein(la, lb, least({most}, 16)) >= 0")
+        quick = both.where(narrow | F.expr(f"longer <= {LONG} AND levenshtein(la, lb, {most}) >= 0"))
+        long = both.where(F.col("longer") > LONG).where(~narrow).withColumn("most", F.expr(most)).repartition("a", "b")
+        return quick.select("a", "b").unionByName(long.where(F.pandas_udf(_within, "boolean")("la", "lb", "most")).select("a", "b"))
 
     linked = linked_groups(members, similar, small, may)
     linked = saved(text.select("id", "h1", "h2").join(linked, "id").drop("id"), "lines-linked")
