@@ -104,7 +104,7 @@ def html_links(html: Column) -> Column:
 
 
 #: Name by first bytes (hexadecimal) of a file.
-MAGIC = {"255044462D": "PDF", "89504E470D0A1A0A": "PNG", "FFD8FF": "JPEG", "47494638": "GIF", "49492A00": "TIFF", "4D4D002A": "TIFF", "424D": "BMP", "4F7264": "ORC", "50415231": "PARQUET", "4F626A01": "AVRO", "D0CF11E0A1B11AE1": "XLS", "504B0304": "ZIP", "1F8B": "GZIP"}
+MAGIC = {"255044462D": "PDF", "89504E470D0A1A0A": "PNG", "FFD8FF": "JPEG", "47494638": "GIF", "49492A00": "TIFF", "4D4D002A": "TIFF", "424D": "BMP", "4F5243": "ORC", "50415231": "PARQUET", "4F626A01": "AVRO", "D0CF11E0A1B11AE1": "XLS", "504B0304": "ZIP", "1F8B": "GZIP"}
 
 
 def file_type_of_bytes(data: Column) -> Column:

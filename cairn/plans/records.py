@@ -9,9 +9,9 @@ from pyspark.sql.window import Window
 
 from cairn.functions import mail, markup, repair, signal
 from cairn.functions import text as X
-from cairn.operators import compliance
+from cairn.operators import compliance, quality
 from cairn.plans.queries import query, t
-from cairn.sources.catalog import Catalog
+from cairn.sources.catalog import Catalog, matches
 from cairn.streaming import segments
 
 # mail: each turn of a conversation as a message
@@ -77,6 +77,14 @@ def mail_servers(spark, sf):
     return hosts.groupBy("conv_id").agg(F.array_join(F.array_sort(F.collect_set("host")), ",").alias("servers"), F.count(F.lit(1)).alias("messages"))
 
 
+@query("""SELECT conv_id, turn, role || '@example.org' AS sender, 'Talk ' || conv_id AS subject, '2026-09-04 15:' || lpad((turn % 60)::VARCHAR, 2, '0') || ':00' AS sent FROM conversations WHERE role <> 'system'""")
+def mail_printed(spark, sf):
+    """Messages as a mail program prints them; those of one label are none."""
+    block = F.concat(F.lit("From: "), "role", F.lit("@example.org\nSent: Friday, September 4, 2026 3:"), F.lpad((F.col("turn") % 60).cast("string"), 2, "0"), F.lit(" PM\nTo: a@x.org\nSubject: Talk "), "conv_id", F.lit("\n\n"))
+    pages = t(spark, sf, "conversations").select("conv_id", "turn", mail.printed_block(F.concat(F.when(F.col("role") != "system", block).otherwise("From: system@x.org\n"), F.coalesce("text", F.lit("")))).alias("p"))
+    return pages.where("p IS NOT NULL").select("conv_id", "turn", F.col("p.from").alias("sender"), "p.subject", F.date_format(mail.printed(F.col("p.sent")), "yyyy-MM-dd HH:mm:ss").alias("sent"))
+
+
 @query()
 def annotate_envelope(spark, sf):
     found = parsed_messages(spark, sf)
@@ -221,6 +229,27 @@ def profile_groups(spark, sf):
     return compliance.groups_of(kept).select(F.array_join("path", "/").alias("path"), "controls")
 
 
+@query("""SELECT n_nationkey, CASE n_nationkey % 5 WHEN 0 THEN 'PDF' WHEN 1 THEN 'PNG' WHEN 2 THEN 'ORC' WHEN 3 THEN 'GZIP' ELSE 'UNKNOWN' END AS kind FROM nation""")
+def file_type_bytes(spark, sf):
+    heads = F.array(*[F.lit(h) for h in ("255044462D312E37", "89504E470D0A1A0A", "4F52430A", "1F8B0800", "0011")])
+    return t(spark, sf, "nation").select("n_nationkey", X.file_type_of_bytes(F.unhex(F.get(heads, F.col("n_nationkey") % 5))).alias("kind"))
+
+
+@query("SELECT n_name FROM nation WHERE lower(n_name) GLOB 'nation_1[0-5]' OR lower(n_name) GLOB '*_2?' OR contains(lower(n_name), 'n_7')")
+def search_names(spark, sf):
+    """Names by glob or by part, in any case."""
+    name = F.col("n_name")
+    return t(spark, sf, "nation").select("n_name").where(matches(name, "NATION_1[0-5]") | matches(name, "*_2?") | matches(name, "N_7"))
+
+
+@query("""SELECT l_orderkey * 10 + l_linenumber AS record_id, round(((CASE WHEN l_returnflag IN ('A', 'N') THEN 1 ELSE 0 END) + (CASE WHEN l_discount BETWEEN 0 AND 0.05 THEN 1 ELSE 0 END)
++ (CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END)) / 3.0::DOUBLE, 4) AS validity FROM lineitem""")
+def dqi_lineitem_validity(spark, sf):
+    rows = t(spark, sf, "lineitem").withColumn("line", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    rules = quality.QualityRules("line", patterns={"l_returnflag": "[AN]"}, ranges={"l_discount": (0, 0.05)}, enumerations={"l_linestatus": ("O",)})
+    return quality.report(quality.measure(rows, rules)).select("record_id", "validity")
+
+
 # the rest of the relational surface
 
 
