@@ -32,7 +32,7 @@ PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p
 #: White space next to a space, where cutting a text at its spaces would change its pieces.
 _MIXED_SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _APART = rf"(?: {_MIXED_SPACE}|{_MIXED_SPACE} )"
-MOST_PIECES = 600_000
+MOST_PIECES = 300_000
 #: Pieces longer than this are encoded one by one.
 LONG = 64
 #: Chunks of text, and pieces, that are encoded at a time.
@@ -127,9 +127,12 @@ class Encoder:
         self.pair_keys, self.pair_ids = keys[order], merged[order].astype(np.int32)
         self.seen_keys = np.full(1 << 20, -1, np.int64)
         self.seen_fit = np.zeros(1 << 20, bool)
-        self.pieces: dict[str, int] = {}
         self.ids = np.zeros(1 << 20, np.int32)
-        self.at = [0]
+        self._forget()
+
+    def _forget(self) -> None:
+        # the ids of chunk k are ids[at[k] : at[k + 1]]
+        self.pieces, self.at, self.used = {}, np.zeros(1 << 16, np.int64), 0
 
     def _merged(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The token that the pair merges to, or a number above all ids."""
@@ -260,13 +263,16 @@ class Encoder:
         sizes = np.fromiter(map(len, new), np.int64, len(new))
         ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([len(ps) for ps in pieces])]
         total = int(sizes.sum())
-        base = self.at[-1]
+        base = int(self.at[self.used])
         if base + total > len(self.ids):
             self.ids = np.concatenate([self.ids[:base], np.zeros(base + 2 * total, np.int32)])
         if new:
             self.ids[base : base + total] = np.concatenate(new)
-        self.pieces.update(zip(chunks, range(len(self.at) - 1, len(self.at) - 1 + len(chunks))))
-        self.at += (base + ends).tolist()
+        self.pieces.update(zip(chunks, range(self.used, self.used + len(chunks))))
+        if self.used + len(chunks) >= len(self.at):
+            self.at = np.concatenate([self.at, np.zeros(len(self.at) + len(chunks), np.int64)])
+        self.at[self.used + 1 : self.used + 1 + len(chunks)] = base + ends
+        self.used += len(chunks)
 
     def encode_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and where each text's begin (one more entry than texts).
@@ -293,14 +299,14 @@ class Encoder:
         special = {k: v for k, v in zip(range(len(texts)), whole.to_pylist()) if v}
         odd = {i: self._parts(texts[i].as_py()) for i in special}
         if len(self.pieces) > MOST_PIECES:
-            self.pieces, self.at = {}, [0]
+            self._forget()
         wanted = dict.fromkeys(keys) | {c: None for parts in odd.values() for c in parts if isinstance(c, str)}
         fresh = [k for k in wanted if k not in self.pieces]
         if fresh:
             self._remember(fresh)
         entry = np.zeros(2 * len(names), np.int64)
         entry[used] = [self.pieces[k] for k in keys]
-        at = np.array(self.at)
+        at = self.at
         lo, n = at[entry[pair]], at[entry[pair] + 1] - at[entry[pair]]
         per_text = np.bincount(np.repeat(np.arange(len(texts)), counts), weights=n, minlength=len(texts)).astype(np.int64)
         ids = self.ids[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
@@ -350,7 +356,7 @@ def encode(docs: DataFrame, path: str, with_ids: bool = True) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, held.value)
         for batch in batches:
-            for part in text_slices(batch, limit=4 << 20):
+            for part in text_slices(batch, limit=1 << 20):
                 ids, at = own.encode_texts(part.column("text"))
                 each = [ids[a:b] for a, b in zip(at, at[1:])]
                 columns = {

@@ -112,7 +112,7 @@ def running(df: DataFrame, group: list[str], place: str, value: str, ties: list[
     )
 
 
-def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = 2 << 20, rows: int = 4096) -> Iterator[pa.RecordBatch]:
+def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 19, rows: int = 4096) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each slice has at most `rows` rows and `limit` bytes of text, or one row."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     first, held = 0, 0
