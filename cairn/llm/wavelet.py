@@ -226,37 +226,23 @@ class Words:
         return np.fromiter(chain.from_iterable(each), np.uint32, int(sizes.sum())), sizes
 
     def _add(self, words: pa.Array) -> None:
-        """Encode words that are not remembered.
-
-        A word of plain letters and a dot or comma after it are encoded apart, as punctuation never joins letters; small and
-        large letters are one to the tokenizer, so it is the small form that the library encodes and that is shared.
-        """
-        ended = pc.match_substring_regex(words, f"^[{_LETTERS}]+[.,]$")
-        head = pc.if_else(ended, pc.utf8_slice_codeunits(words, 0, -1), words)
-        letters = pc.match_substring_regex(head, f"^[{_LETTERS}]+$")
-        head = pc.if_else(letters, pc.utf8_lower(head), head).dictionary_encode()
-        names, code = head.dictionary.to_pylist(), head.indices.to_numpy()
-        plain = np.zeros(len(names), bool)
-        plain[code] = letters.to_numpy(zero_copy_only=False)
-        # the library tells words of plain letters in one text apart; others may be cut, and stand alone
-        some = [n for n, p in zip(names, plain) if p and n not in self.entry]
-        for first in range(0, len(some), 5000):
-            self._keep(some[first : first + 5000], *self._encode(some[first : first + 5000]))
-        other = ["", ".", ",", *(n for n, p in zip(names, plain) if not p)]
-        other = [n for n in dict.fromkeys(other) if n not in self.entry]
-        for first in range(0, len(other), 5000):
-            self._keep(other[first : first + 5000], *self._encode(other[first : first + 5000], joined=False))
-        known = np.fromiter(map(self.entry.__getitem__, names), np.int64, len(names))[code]
-        dotted = pc.ends_with(words, ".").to_numpy(zero_copy_only=False)
-        tail = np.where(ended.to_numpy(zero_copy_only=False), np.where(dotted, self.entry["."], self.entry[","]), self.entry[""])
-        raw = words.to_pylist()
-        rest = np.fromiter((w not in self.entry for w in raw), bool, len(raw))
-        ids, n = self._gather(np.stack([known[rest], tail[rest]], axis=1).ravel())
-        self._keep([w for w, r in zip(raw, rest) if r], ids, n.reshape(-1, 2).sum(axis=1))
+        """Encode words that are not remembered: those of small letters many in one text, the others alone."""
+        letters = pc.match_substring_regex(words, f"^[{_LETTERS}]+$")
+        for some, joined in ((words.filter(letters), True), (words.filter(pc.invert(letters)), False)):
+            names = some.to_pylist()
+            for first in range(0, len(names), 5000):
+                self._keep(names[first : first + 5000], *self._encode(names[first : first + 5000], joined))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, one after the other, and how many each has."""
-        cut = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        """The ids of all texts, one after the other, and how many each has.
+
+        Texts of ASCII and _LETTERS alone are made small first, as the tokenizer does, and a dot or comma that ends a word
+        of letters is cut off, as punctuation never joins letters; so fewer words differ. Other texts are taken as they are.
+        """
+        texts = pc.fill_null(texts, "")
+        small = pc.replace_substring_regex(pc.utf8_lower(texts), f"([{_LETTERS}])([.,])([ \\n])", r"\1 \2\3")
+        texts = pc.if_else(pc.match_substring_regex(texts, f"[^\\x00-\\x7f{_LETTERS}]"), texts, small)
+        cut = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         words = cut.flatten().dictionary_encode()
         names = words.dictionary.to_pylist()
         if len(self.entry) > MOST_WORDS:
@@ -317,7 +303,7 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int, partit
             return out
 
         for batch in batches:
-            for piece in text_slices(batch, limit=8 << 20):
+            for piece in text_slices(batch, limit=2 << 20):
                 ids, n = words.encode(piece.column("text"))
                 ends = np.cumsum(n + 1)
                 out = np.full(len(ids) + len(n), end_id, np.uint32)
