@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import bpe, langid, line_dedup, mixing, pairwise_quality, parity_join, quality_rules, resharding, rp_forest, wavelet
+from . import bpe, langid, line_dedup, mixing, pairwise_quality, parity_join, quality_rules, resharding, rp_forest, suffix_dedup, wavelet
 from .common import table
 
 
@@ -80,6 +80,12 @@ def op8_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= pairwise_quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["first"])
+    return found.select("doc.doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_rp_forest": op1_rp_forest,
     "op2_resharding": op2_resharding,
@@ -91,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pairwise_quality": op8_pairwise_quality,
     "op9_line_dedup": op9_line_dedup,
     "op10_quality_rules": op10_quality_rules,
+    "op11_suffix_dedup": op11_suffix_dedup,
 }
 
 _STOP = ", ".join(f"'{w}'" for w in quality_rules.STOP_WORDS)

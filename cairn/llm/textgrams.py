@@ -118,3 +118,11 @@ def distinct(hashes: np.ndarray, text: np.ndarray, texts: int) -> tuple[np.ndarr
         keys = keys[keep]
     at = np.searchsorted(keys, np.arange(texts, dtype=U64) << U64(52))
     return keys & U64((1 << 52) - 1), np.append(at, len(keys))
+
+
+def byte_window_hashes(data: np.ndarray, n: int) -> np.ndarray:
+    """A 64-bit hash of each n bytes in a row of the data, whatever text they are in."""
+    total = np.zeros(len(data) + 1, U64)
+    np.cumsum(_BYTE[data] * _power(_BASE, len(data)), out=total[1:])
+    count = max(0, len(data) - n + 1)
+    return mix((total[n:] - total[:count]) * _power(_BACK, len(data))[:count])
