@@ -48,10 +48,10 @@ def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, at - at[0]
 
 
-def word_hashes(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: pa.Array, lower: bool = False, gaps: np.ndarray = _IS_GAP) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of each word, and where each text's words begin (one more entry than texts).
 
-    Words are separated by space, \\t, \\n, \\v, \\f and \\r; lower: A to Z count as a to z.
+    Words are separated by the bytes marked in `gaps`: space, \\t, \\n, \\v, \\f and \\r; lower: A to Z count as a to z.
     """
     data, at = bytes_of(texts)
     if lower:
@@ -59,7 +59,7 @@ def word_hashes(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.nd
     n = len(data)
     if not n:
         return np.zeros(0, U64), np.zeros(len(at), np.int64)
-    gap = _IS_GAP[data]
+    gap = gaps[data]
     edge = np.zeros(n + 1, bool)
     edge[at] = True
     before = np.empty(n, bool)
