@@ -10,8 +10,9 @@ judged on the texts as given; they may overlap; documents are UTF-8 bytes, and s
 3. Each shard sorts the suffixes of its windows that may repeat within it (Larsson-Sadakane refinement, to `length` bytes),
    takes common prefixes (Kasai), and so knows the first document of each window. What it cannot settle itself, one document for each
    different window, is sent on as runs of windows with one anchor.
-4. Runs with one anchor meet in one part. There each pack of runs becomes a suffix array of its own, and the arrays are
-   merged by binary search; a window's smallest doc_id decides.
+4. Runs with one anchor meet in one part. Equal runs are one there, with their smallest doc_id. Runs that differ but share their
+   anchor are packed; each pack becomes a suffix array of its own, and the arrays are merged by binary search; a window's
+   smallest doc_id decides.
 
 An anchor that very many shards have (HOT_SHARDS) is dealt out by the hash of each whole window instead, so that one common
 phrase in different surroundings is spread over all tasks; a window that is common itself is sent once by each shard.
@@ -29,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -376,54 +378,71 @@ def _settled(shards: DataFrame, flags: DataFrame, length: int, parts: int) -> Da
 
 
 def _judged(asked: DataFrame, length: int, parts: int) -> DataFrame:
-    """doc_id, mark, places and ends of what a smaller document has too, of runs that meet by their key."""
+    """doc_id, mark, places and ends of what a smaller document has too, of runs that meet by their key.
+
+    Equal runs are one, which belongs to their smallest document; the others go whole. Runs that share their key with different ones
+    are sorted and merged, and what is left of each is looked up.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merged, packs = Merged(length), []
-
-        def windows(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            raw = column.to_pylist()
-            data = np.frombuffer(b"".join(raw), np.uint8)
-            size = np.array([len(r) for r in raw])
-            n = size - length + 1
-            of = np.repeat(np.arange(len(raw)), n)
-            return data, (np.cumsum(size) - size)[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n), of
-
-        def pack(held: list[pa.RecordBatch]) -> None:
-            table = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            data, start, of = windows(table.column("bytes"))
-            merged.add(data, start, table.column("doc_id").to_numpy()[of])
-            packs.append(table)
-
-        held, size = [], 0
-        for batch in batches:
-            held.append(batch)
-            size += batch.column("bytes").nbytes
-            if size > PACK_BYTES:
-                pack(held)
-                held, size = [], 0
-        if held and sum(b.num_rows for b in held):
-            pack(held)
-        for table in packs:
-            data, start, of = windows(table.column("bytes"))
-            doc = table.column("doc_id").to_numpy()
-            gone = np.flatnonzero(merged.smallest(data, start) < doc[of])
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held).combine_chunks()
+        coded = table.column("bytes").combine_chunks().dictionary_encode()
+        code, texts = coded.indices.to_numpy(), coded.dictionary
+        doc, key = (table.column(c).to_numpy() for c in ("doc_id", "key"))
+        least = np.full(len(texts), np.iinfo(np.int64).max)
+        np.minimum.at(least, code, doc)
+        key_of = np.empty(len(texts), np.int64)
+        key_of[code] = key
+        _, at, many = np.unique(key_of, return_inverse=True, return_counts=True)
+        several = np.flatnonzero(many[at] > 1)
+        size = pc.binary_length(texts).to_numpy().astype(np.int64)
+
+        def windows(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            data = np.frombuffer(b"".join(texts.take(pa.array(codes)).to_pylist()), np.uint8)
+            n = size[codes] - length + 1
+            of = np.repeat(np.arange(len(codes)), n)
+            return data, (np.cumsum(size[codes]) - size[codes])[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n), of
+
+        packs = np.split(several, np.flatnonzero(np.diff(np.cumsum(size[several]) // PACK_BYTES)) + 1)
+        merged = Merged(length)
+        for codes in packs:
+            if len(codes):
+                data, start, of = windows(codes)
+                merged.add(data, start, least[codes[of]])
+        # what each different run loses at its smallest document: code, first byte, end
+        losses = []
+        for codes in packs:
+            if not len(codes):
+                continue
+            data, start, of = windows(codes)
+            gone = np.flatnonzero(merged.smallest(data, start) < least[codes[of]])
             if not len(gone):
                 continue
-            n = np.bincount(of, minlength=table.num_rows)
+            n = np.bincount(of, minlength=len(codes))
             within = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-            # runs of removed windows in one row
             cut = np.flatnonzero(np.concatenate([[True], (np.diff(gone) != 1) | (of[gone][1:] != of[gone][:-1])]))
             last = np.append(cut[1:], len(gone)) - 1
-            row, a, b = of[gone[cut]], within[gone[cut]], within[gone[last]] + length
-            places = table.column("places").take(pa.array(row))
-            offsets, base = places.offsets.to_numpy(), places.flatten().to_numpy()
-            many = np.diff(offsets)
-            taken = pa.array(row)
-            yield pa.RecordBatch.from_arrays(
-                [table.column("doc_id").take(taken), table.column("mark").take(taken), *(pa.ListArray.from_arrays(pa.array((offsets - offsets[0]).astype(np.int32)), pa.array(base + np.repeat(x, many))) for x in (a, b))],
-                names=["doc_id", "mark", "places", "ends"],
-            )
+            losses.append((codes[of[gone[cut]]], within[gone[cut]], within[gone[last]] + length))
+        lost, first, end = (np.concatenate(x) for x in zip(*losses)) if losses else (np.zeros(0, np.int64),) * 3
+        begin, number = np.searchsorted(lost, np.arange(len(texts))), np.bincount(lost, minlength=len(texts))
+        whole = np.flatnonzero(doc > least[code])
+        some = np.flatnonzero((doc == least[code]) & (number[code] > 0))
+        share = number[code[some]]
+        loss = np.repeat(begin[code[some]], share) + np.arange(int(share.sum())) - np.repeat(np.cumsum(share) - share, share)
+        row = np.concatenate([whole, np.repeat(some, share)])
+        a = np.concatenate([np.zeros(len(whole), np.int64), first[loss]])
+        b = np.concatenate([size[code[whole]], end[loss]])
+        for lo in range(0, len(row), 1 << 16):
+            cut = slice(lo, lo + (1 << 16))
+            taken = table.select(["doc_id", "mark", "places"]).take(pa.array(row[cut])).combine_chunks()
+            places = taken.column("places").chunk(0)
+            many_places, base = np.diff(places.offsets.to_numpy()), places.flatten().to_numpy()
+            offsets = pa.array(np.concatenate([[0], np.cumsum(many_places)]).astype(np.int32))
+            moved = [pa.ListArray.from_arrays(offsets, pa.array(base + np.repeat(x[cut], many_places))) for x in (a, b)]
+            yield pa.RecordBatch.from_arrays([taken.column("doc_id").chunk(0), taken.column("mark").chunk(0), *moved], names=["doc_id", "mark", "places", "ends"])
 
     return asked.select("key", "doc_id", "mark", "bytes", "places").repartition(parts, "key").mapInArrow(run, "doc_id long, mark long, places array<long>, ends array<long>")
 
