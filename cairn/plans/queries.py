@@ -401,4 +401,4 @@ def range_within_hour(spark, sf):
 
 
 # the queries of the other modules register themselves here too
-from cairn.plans import records  # noqa: E402, F401
+from cairn.plans import records, structures  # noqa: E402, F401

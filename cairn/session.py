@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -20,3 +22,15 @@ def session(name: str = "cairn", **settings: str) -> SparkSession:
     for key, value in {**SETTINGS, **settings}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def work_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, a temporary one, which only a local
+    master can share (tests)."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("cairn.work.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="cairn-")
+        spark.conf.set("cairn.work.dir", found)
+    return found.rstrip("/")

@@ -6,6 +6,9 @@ import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+from py4j.java_gateway import JavaObject
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import ParseException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,20 +30,32 @@ def is_sql(uri: str) -> bool:
     return uri.lower().startswith("sql:") or bool(_SQL.match(uri))
 
 
-_QUOTED = re.compile(r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|`[^`]*`|--[^\n]*|/\*.*?\*/""", re.DOTALL)
+_NODES = "org.apache.spark.sql.catalyst.plans.logical."
+#: Commands that only show something.
+_SHOWING = ("Show", "Describe")
 
 
-def is_plain_query(text: str) -> bool:
-    """Whether a statement only reads: one statement that begins with a query word, and outside of brackets, quotes and
-    comments no word that writes (a WITH can stand before INSERT, UPDATE, DELETE or MERGE)."""
-    bare = _QUOTED.sub(" ", text)
-    if ";" in bare or not _SQL.match(bare + " "):
+def is_plain_query(spark: SparkSession, text: str) -> bool:
+    """Whether a statement only reads, as Spark's own parser has it: one statement whose plan holds no command, insert or script.
+
+    What shows or describes things is plain, and so is an EXPLAIN of what is plain. A text that cannot be parsed is not.
+    """
+    jvm = spark._jvm
+    kinds = [jvm.java.lang.Class.forName(_NODES + name) for name in ("Command", "ParsedStatement", "InsertIntoDir", "CompoundPlanStatement")]
+
+    def plain(plan: JavaObject) -> bool:
+        name = plan.getClass().getSimpleName()
+        if name == "ExplainCommand":
+            return plain(plan.logicalPlan())
+        if any(kind.isInstance(plan) for kind in kinds):
+            return name.startswith(_SHOWING)
+        inner = plan.children()
+        return all(plain(inner.apply(i)) for i in range(inner.size()))
+
+    try:
+        return plain(spark._jsparkSession.sessionState().sqlParser().parsePlan(text))
+    except (ParseException, Py4JJavaError):
         return False
-    depth, outer = 0, []
-    for c in bare:
-        depth += (c == "(") - (c == ")")
-        outer.append(c if depth <= 0 else " ")
-    return not re.search(r"(?i)\b(insert|update|delete|merge)\b", "".join(outer))
 
 
 def sql_text(uri: str) -> str:
@@ -72,7 +87,7 @@ class Catalog:
             if not (self.allow_raw_sql if allow_sql is None else allow_sql):
                 raise NotAllowed("raw SQL is not allowed")
             text = sql_text(uri)
-            if self.safe_mode and not is_plain_query(text):
+            if self.safe_mode and not is_plain_query(self.spark, text):
                 raise NotAllowed("only one query statement is allowed in safe mode")
             df = self.spark.sql(text)
         elif format is None and is_table(uri):

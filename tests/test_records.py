@@ -119,7 +119,11 @@ def test_files(spark, tmp_path):
 def test_plain_queries(spark, tmp_path):
     good = ["select 1", "WITH a AS (SELECT 1 AS x) SELECT * FROM a", "select ';' AS s", "select 'insert into' AS s -- delete", "VALUES (1)"]
     bad = ["WITH c AS (SELECT 1) INSERT OVERWRITE DIRECTORY '/x' SELECT * FROM c", "with a as (select 1) delete from t", "select 1; select 2", "insert into t values (1)", "drop table t", "set a=b", "WITH c AS (SELECT 1) /* x */ MERGE INTO t USING c ON true WHEN MATCHED THEN DELETE"]
-    assert all(map(is_plain_query, good)) and not any(map(is_plain_query, bad))
+    # comments that end at a carriage return, raw strings, nested comments, commands that are explained, scripts
+    good += ["WITH a AS (SELECT 1 AS x) --\rSELECT x FROM a", r"SELECT r'\' AS x", "/* a /* b */ c */ TABLE t", "SHOW TABLES", "DESCRIBE TABLE t", "EXPLAIN SELECT 1", "explain extended with a as (select 1) select * from a"]
+    bad += ["WITH a AS (SELECT 1 AS x) --\rINSERT INTO t SELECT x FROM a", r"WITH a AS (SELECT r'\' AS x) INSERT INTO t SELECT x FROM a WHERE x <> ')'", "/* a /* b */ */ DROP TABLE t", "EXPLAIN INSERT INTO t VALUES (1)"]
+    bad += ["FROM a INSERT INTO t SELECT x INSERT INTO u SELECT x", "BEGIN SELECT 1; DROP TABLE t; END", "CREATE TABLE t AS SELECT 1", "select (1", "", "CACHE TABLE t", "ADD JAR 'x'", "UPDATE t SET a = 1"]
+    assert [q for q in good if not is_plain_query(spark, q)] == [] and [q for q in bad if is_plain_query(spark, q)] == []
     cat = Catalog(spark, allow_raw_sql=True)
     assert cat.read("sql: select ';' AS s").first().s == ";"
     with pytest.raises(NotAllowed):
