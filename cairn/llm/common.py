@@ -13,6 +13,7 @@ import weakref
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -125,6 +126,12 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 1
         yield batch.slice(first)
 
 
+def sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The sum of each text's values, added up in their order, so that equal texts have equal sums wherever they stand; at: where
+    each text's begin (one more entry than texts)."""
+    return np.bincount(np.repeat(np.arange(len(at) - 1), np.diff(at)), values, len(at) - 1)
+
+
 def sampled(labelled: DataFrame, rows: int) -> DataFrame:
     """About `rows` of the rows, or all if there are fewer, chosen by a hash of doc_id: the same on every run."""
     n = labelled.count()

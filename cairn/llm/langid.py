@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sampled, text_slices
+from .common import sampled, sums, text_slices
 
 BUCKETS = 1 << 15
 ORDERS = (2, 3)
@@ -115,8 +115,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
                 for bucket, owner in found:
                     at = np.searchsorted(owner, np.arange(n + 1))
                     for k in range(len(langs)):
-                        upto = np.concatenate([[0.0], np.cumsum(held.value[k][bucket])])
-                        total[:, k] += upto[at[1:]] - upto[at[:-1]]
+                        total[:, k] += sums(held.value[k][bucket], at)
                 best = total.argmax(axis=1)
                 spread = np.exp(total - total.max(axis=1, keepdims=True))
                 sure = spread.max(axis=1) / spread.sum(axis=1)

@@ -313,11 +313,19 @@ def removals(docs: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame, counts: bool = False) -> DataFrame:
     """The documents without their repeated lines; with counts also n_lines and removed (the places removed)."""
-    gone = removals(docs).select(F.col("doc").alias("_doc"), F.col("mark").alias("_gone_mark"), "gone").alias("g")
+    return without(docs, removals(docs), counts)
+
+
+def without(docs: DataFrame, gone: DataFrame, counts: bool = False) -> DataFrame:
+    """The documents without the lines at the places `gone` (in order) of each doc and mark."""
+    gone = gone.select(F.col("doc").alias("_doc"), F.col("mark").alias("_gone_mark"), "gone").alias("g")
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.xxhash64("text").alias("mark")).alias("d")
     joined = whole.join(gone, F.col("d.doc.doc_id").eqNullSafe(F.col("g._doc")) & (F.col("d.mark") == F.col("g._gone_mark")), "left")
     split = F.split(F.col("d.doc.text"), "\n")
-    rest = F.array_join(F.filter(split, lambda x, i: ~F.array_contains(F.col("g.gone"), i)), "\n")
+    # what stands between removed lines, piece by piece: each line is touched once. The inner function has the lines as a variable, so
+    # the text is split once
+    between = lambda lines: F.zip_with(F.concat(F.array(F.lit(-1)), "g.gone"), F.concat("g.gone", F.array(F.size(lines))), lambda a, b: F.slice(lines, a + 2, b - a - 1))
+    rest = F.get(F.transform(F.array(split), lambda lines: F.array_join(F.flatten(between(lines)), "\n")), F.lit(0))
     text = F.when(F.col("g.gone").isNull(), F.col("d.doc.text")).otherwise(rest)
     out = [text.alias("text") if c == "text" else F.col(f"d.doc.`{c}`") for c in docs.columns]
     if counts:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sampled, text_slices
+from .common import sampled, sums, text_slices
 from .textgrams import U64, bytes_of, windows, word_hashes
 
 SAMPLE_ROWS = 4_000
@@ -118,8 +118,7 @@ class Preferences:
         self.column, self.value, self.at, self.better, self.worse, self.ridge = column, value.astype(np.float64), at, better, worse, ridge
 
     def raw(self, w: np.ndarray) -> np.ndarray:
-        total = np.concatenate([[0.0], np.cumsum(w[self.column] * self.value)])
-        return total[self.at[1:]] - total[self.at[:-1]]
+        return sums(w[self.column] * self.value, self.at)
 
     def _back(self, by_pair: np.ndarray) -> np.ndarray:
         rows = len(self.at) - 1
@@ -197,10 +196,9 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, pairs: int = PAIRS)
 
 def raw_scores(texts: pa.Array, w: np.ndarray) -> np.ndarray:
     """What `sparse` and the weights give, without building the vectors."""
-    out = ratios(texts) @ w[_HASHED:]
+    out = (ratios(texts) * w[_HASHED:]).sum(axis=1)
     for bucket, at in families(texts):
-        total = np.concatenate([[0.0], np.cumsum(w[bucket])])
-        out += SCALE * (total[at[1:]] - total[at[:-1]]) / np.maximum(np.diff(at), 1)
+        out += SCALE * sums(w[bucket], at) / np.maximum(np.diff(at), 1)
     return out
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -82,3 +83,13 @@ def test_short_and_unspaced_lines(spark):
     other = clause[:20] + "".join(chr(rng.randint(0x4E00, 0x9F00)) for _ in range(2)) + clause[22:]
     texts = ["Share this\nfirst own", "one\n\nshare this\n\ntwo", clause, clause, other, "Share that"]
     assert texts_after(spark, texts) == [texts[0], "one\n\n\ntwo", clause, "", "", "Share that"]
+
+
+def test_many_removed_lines(spark):
+    """A text that loses two hundred thousand lines, in time that grows with their number."""
+    lines = [f"entry {i:07d} {i * 7919 % 1000003:07d}" for i in range(200_000)]
+    docs = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(["kept line one", *lines, "kept line two"]))], "doc_id long, text string")
+    gone = spark.createDataFrame([(2, list(range(1, 200_001)))], "doc long, gone array<int>").join(docs.selectExpr("doc_id AS doc", "xxhash64(text) AS mark"), "doc")
+    began = time.time()
+    left = {r.doc_id: r.text for r in line_dedup.without(docs, gone).collect()}
+    assert left[2] == "kept line one\nkept line two" and left[1].count("\n") == 199_999 and time.time() - began < 30
