@@ -53,8 +53,26 @@ def slug(text: Column, most: int = 60) -> Column:
     return F.regexp_replace(F.when(whole, head).otherwise(F.regexp_replace(head, "-[^-]*$", "")), "-+$", "")
 
 
+#: Markings in brackets, and what mail programs put before a subject.
+_MARKING = r"(?i)\[\s*(?:SEC|DLM|ACCESS|CAVEAT)\s*=[^\]]*\]"
+_REPLY = r"(?i)^(?:\s*(?:re|fw|fwd|aw|sv|vs|antw)\s*(?:\[\d+\])?\s*:)+"
+
+
+def file_subject(text: Column, most: int = 120) -> Column:
+    """A subject as a file name may carry it: no markings and reply signs, ASCII letters and digits, hyphens between."""
+    bare = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), _MARKING, " "), _REPLY, " ")
+    joined = F.trim(F.regexp_replace(F.pandas_udf(_plain_letters, T.StringType())(bare), "[^0-9A-Za-z]+", "-"), F.lit("-"))
+    return F.trim(F.substring(joined, 1, most), F.lit("-"))
+
+
+def name_rest(name: Column) -> Column:
+    """A file name in small letters without the letters and digits that it begins with."""
+    return F.lower(F.regexp_replace(name, "^[a-zA-Z0-9]+", ""))
+
+
 def first_line(text: Column, least: int = 12, most: int = 120) -> Column:
     """The first line that reads like a title: long enough, no page number or contents, not of numbers; else the start."""
+    # fixed value: lines that are no titles
     stop = r"(?i)^(page \d+ of \d+|contents|table of contents|official[: ].*)$"
     lines = F.filter(F.transform(F.split(text, "\r\n|[\n\r\f]"), stripped), lambda x: (F.length(x) >= least) & ~x.rlike(stop) & ~x.rlike(r"^[\d\s.\-–]+$"))
     return F.coalesce(F.get(lines, F.lit(0)), F.substring(stripped(F.regexp_replace(text, r"\s+", " ")), 1, most))
@@ -62,6 +80,7 @@ def first_line(text: Column, least: int = 12, most: int = 120) -> Column:
 
 def year_of(text: Column) -> Column:
     """The first year from 1990 to 2099 in the first 600 characters, null without one."""
+    # fixed values: the years and how far they are sought
     return F.nullif(F.regexp_extract(F.substring(text, 1, 600), r"\b(199[0-9]|20[0-9]{2})\b", 1), F.lit(""))
 
 
@@ -115,6 +134,25 @@ def file_type_of_bytes(data: Column) -> Column:
     return out
 
 
+#: The type that a suffix names.
+SUFFIXES = {
+    ".avro": "AVRO", ".bmp": "BMP", ".csv": "CSV", ".doc": "DOC", ".docx": "DOCX", ".gif": "GIF", ".graph": "GRAPH", ".htm": "HTML", ".html": "HTML", ".jpeg": "JPEG", ".jpg": "JPEG",
+    ".json": "JSON", ".jsonl": "JSON", ".jsonld": "GRAPH", ".log": "LOG", ".markdown": "MARKDOWN", ".md": "MARKDOWN", ".nt": "GRAPH", ".orc": "ORC", ".pb": "PROTOBUF", ".pdf": "PDF", ".pickle": "PICKLE",
+    ".pkl": "PICKLE", ".png": "PNG", ".protobuf": "PROTOBUF", ".rdf": "GRAPH", ".rss": "RSS", ".tif": "TIFF", ".tiff": "TIFF", ".tsv": "CSV", ".ttl": "GRAPH", ".txt": "TXT", ".xls": "XLS", ".xlsx": "XLS",
+}
+
+
+def file_type_of_name(uri: Column) -> Column:
+    """The type that a path's or URI's suffix names, in any case; UNKNOWN without one. What follows ? or # is no part of it."""
+    suffix = F.lower(F.regexp_extract(uri, r"^[^?#]*?(\.[^./\\?#]+)(?:[?#].*)?$", 1))
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in SUFFIXES.items() for x in kv]), suffix), F.lit("UNKNOWN"))
+
+
+def accepts(suffix: Column, *types: str) -> Column:
+    """Whether a suffix names one of the types (of any, if none is given)."""
+    return F.lower(F.coalesce(suffix, F.lit(""))).isin(*[s for s, kind in SUFFIXES.items() if not types or kind in types])
+
+
 def file_type_of_text(text: Column) -> Column:
     """XML, HTML, JSON, log, delimited, Markdown or plain text, by what the first lines look like."""
     head = F.ltrim(F.substring(text, 1, 4000))
@@ -140,7 +178,7 @@ def file_type_of_text(text: Column) -> Column:
     )
 
 
-#: Where a sentence or a paragraph ends.
+#: Fixed value: where a sentence or a paragraph ends.
 SENTENCE_END = r"(?<=[.!?])\s+|\n{2,}"
 
 
@@ -203,7 +241,7 @@ def split_words(tokens: DataFrame, known: DataFrame, least: int = 12, longest: i
     return tokens.select("token").distinct().mapInPandas(run, "token string, pieces array<string>")
 
 
-#: Identifiers of British and Australian letters: label, pattern, and the group that is the span. Case does not count.
+#: Identifiers of British and Australian letters: label, pattern, and the group that is the span. Case does not count.
 PII = (
     ("EMAIL", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", 0),
     ("PHONE", r"(?:\+61[\s-]?|0)[2-478][\s-]?\d{4}[\s-]?\d{4}", 0),

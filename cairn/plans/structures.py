@@ -5,11 +5,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
 from pyspark.sql import functions as F
 
-from cairn.functions import fernet, layouts, schemas
-from cairn.operators import phrases, running, trees, triples
+from cairn.functions import fernet, layouts, mail, schemas
+from cairn.functions import text as X
+from cairn.operators import phrases, running, sketches, trees, triples, written
 from cairn.operators.store import Results
 from cairn.plans.queries import query, t
 from cairn.session import work_dir
@@ -211,3 +212,134 @@ def live_segments_of_users(spark, sf):
         out = live_segments.segmented(stream, "user_id", "ts", "event_id", "event_type", 3, "1 hour", "400 days")
         out.writeStream.format("parquet").option("checkpointLocation", f"{base}/progress").option("path", f"{base}/out").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{base}/out").where("user_id >= 0").withColumn("first_ts", F.col("first_ts").cast("timestamp_ntz")).withColumn("last_ts", F.col("last_ts").cast("timestamp_ntz"))
+
+
+# records and annotations as files
+
+_FIELDS = """SELECT o_custkey, o_orderkey, o_orderstatus AS status, o_orderpriority || ', "' || o_orderstatus || '" | x' AS note, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderkey::VARCHAR END AS ref FROM orders"""
+
+
+@query(f"""WITH o AS ({_FIELDS}), k AS (SELECT o_custkey, '' AS slot, o_orderkey, ['CSV', 'JSON', 'MARKDOWN', 'TXT', 'LOG', 'XML'][o_custkey % 6 + 1] AS format, status, note, ref FROM o UNION ALL SELECT o_custkey, 'quality', o_orderkey, 'CSV', status, note, ref FROM o WHERE o_orderkey % 2 = 0),
+l AS (SELECT o_custkey, slot, format, o_orderkey, CASE format WHEN 'CSV' THEN status || ',"' || replace(note, '"', '""') || '",' || coalesce(ref, '')
+WHEN 'JSON' THEN '{{"status":"' || status || '","note":"' || replace(note, '"', chr(92) || '"') || '","ref":' || coalesce('"' || ref || '"', 'null') || '}}'
+WHEN 'MARKDOWN' THEN '| ' || status || ' | ' || replace(note, '|', chr(92) || '|') || ' | ' || coalesce(ref, '') || ' |'
+WHEN 'TXT' THEN 'status: ' || status || chr(10) || 'note: ' || note || chr(10) || 'ref: ' || coalesce(ref, '')
+WHEN 'LOG' THEN 'status=' || status || ' note=' || note || ' ref=' || coalesce(ref, '')
+ELSE '<record><status>' || status || '</status><note>' || note || '</note>' || coalesce('<ref>' || ref || '</ref>', '') || '</record>' END AS line FROM k),
+f AS (SELECT o_custkey, slot, format, CASE format WHEN 'JSON' THEN string_agg(line, ',' ORDER BY o_orderkey) WHEN 'XML' THEN string_agg(line, '' ORDER BY o_orderkey) WHEN 'TXT' THEN string_agg(line, chr(10) || chr(10) ORDER BY o_orderkey) ELSE string_agg(line, chr(10) ORDER BY o_orderkey) END AS body FROM l GROUP BY o_custkey, slot, format),
+t AS (SELECT o_custkey || CASE WHEN slot = '' THEN '' ELSE '-' || slot END || CASE format WHEN 'MARKDOWN' THEN '.md' ELSE '.' || lower(format) END AS name,
+CASE format WHEN 'JSON' THEN '[' || body || ']' WHEN 'XML' THEN '<records>' || body || '</records>' WHEN 'CSV' THEN 'status,note,ref' || chr(10) || body || chr(10) WHEN 'MARKDOWN' THEN '| status | note | ref |' || chr(10) || '| --- | --- | --- |' || chr(10) || body || chr(10) ELSE body || chr(10) END AS text FROM f)
+SELECT name, strlen(text) AS size, sha256(text) AS sha256 FROM t""")
+def records_written(spark, sf):
+    """Each customer's orders as a file in one of six formats, and some of them again as a report in a slot of its own; read back."""
+    orders = t(spark, sf, "orders").select(
+        "o_custkey", "o_orderkey", F.col("o_orderstatus").alias("status"), F.concat("o_orderpriority", F.lit(', "'), "o_orderstatus", F.lit('" | x')).alias("note"),
+        F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderkey").cast("string")).alias("ref"),
+    )
+    kinds = F.element_at(F.array(*[F.lit(f) for f in ("CSV", "JSON", "MARKDOWN", "TXT", "LOG", "XML")]), (F.col("o_custkey") % 6 + 1).cast("int"))
+    rows = orders.withColumns({"kind": kinds, "slot": F.lit("")}).unionByName(orders.where("o_orderkey % 2 = 0").withColumns({"kind": F.lit("CSV"), "slot": F.lit("quality")}))
+    folder = f"{work_dir(spark)}/records-{uuid.uuid4().hex}"
+    written.written(rows, folder, "o_custkey", "o_orderkey", ["status", "note", "ref"], format=F.col("kind"), slot=F.col("slot")).count()
+    return files.read_each(spark, folder).select("name", "size", F.sha2("content", 256).alias("sha256"))
+
+
+@query(r"""WITH s AS (SELECT doc_id, source, text, k, (list_sum(list_transform(parts[1:k], lambda x: length(x))) + list_sum(list_transform([''] || hits[1:k - 1], lambda x: length(x))))::BIGINT AS start, hits[k] AS hit
+FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS k FROM (SELECT doc_id, source, text, regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}') AS hits, regexp_split_to_array(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}') AS parts FROM documents)))
+SELECT doc_id, count(*) AS spans, md5(string_agg(start || ':' || hit, ';' ORDER BY start)) AS spans_md5, any_value(source) AS source, md5(any_value(text)) AS text_md5 FROM s GROUP BY doc_id""")
+def annotations_written(spark, sf):
+    """Each text with its addresses as a training record in a file of its own, read back as JSON."""
+    docs = t(spark, sf, "documents").select("doc_id", "text", "source", F.concat("doc_id", F.lit(".txt")).alias("filename"))
+    found = docs.join(X.spans(docs, [X.PII[0]]), "doc_id").where(F.size("annotations") > 0)
+    folder = f"{work_dir(spark)}/annotations-{uuid.uuid4().hex}"
+    written.annotations(found, folder, meta=("source",)).count()
+    kind = "struct<id:string,filename:string,text:string,spans:array<struct<start:long,end:long,label:string,text:string>>,meta:struct<source:string>>"
+    r = files.read_each(spark, folder, "*.json").select(F.from_json(F.col("content").cast("string"), kind).alias("r"))
+    marks = F.array_join(F.transform("r.spans", lambda s: F.concat(s["start"], F.lit(":"), s["text"])), ";")
+    return r.select(F.col("r.id").cast("long").alias("doc_id"), F.size("r.spans").cast("long").alias("spans"), F.md5(marks).alias("spans_md5"), "r.meta.source", F.md5("r.text").alias("text_md5"))
+
+
+# names and clocks
+
+
+@query(r"""SELECT doc_id, left(trim(regexp_replace(regexp_replace('Re: FW[2]: ' || source || ' [SEC=OFFICIAL] ' || doc_id || '/' || lang, '\[SEC=OFFICIAL\]|^Re: FW\[2\]:', ' ', 'g'), '[^0-9A-Za-z]+', '-', 'g'), '-'), 20) AS subject,
+lower(regexp_replace(source || '.Doc', '^[a-zA-Z0-9]+', '')) AS rest, CASE doc_id % 4 WHEN 0 THEN 'PDF' WHEN 1 THEN 'CSV' WHEN 2 THEN 'UNKNOWN' ELSE 'JPEG' END AS kind, doc_id % 4 IN (0, 3) AS accepted,
+strftime(TIMESTAMP '2024-01-15 23:30:00' + to_minutes((doc_id % 60)::INTEGER) - to_hours(CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 0 END) + to_hours(11), '%Y-%m-%d %H:%M') AS sydney FROM documents""")
+def names_and_clocks(spark, sf):
+    """Subjects as file names, suffixes as types, and times as a clock in Sydney shows them, with and without a zone of their own."""
+    suffix = F.element_at(F.array(*[F.lit(x) for x in (".PDF", ".tsv", "", ".jpeg")]), (F.col("doc_id") % 4 + 1).cast("int"))
+    subject = X.file_subject(F.concat(F.lit("Re: FW[2]: "), "source", F.lit(" [SEC=OFFICIAL] "), "doc_id", F.lit("/"), "lang"), 20)
+    day = F.concat(F.lit("Mon, 15 Jan 2024 23:30:00"), F.when(F.col("doc_id") % 2 == 0, " +0200").otherwise(" -0000"))
+    clock = F.timestamp_add("MINUTE", (F.col("doc_id") % 60).cast("int"), mail.in_zone(mail.moment(day), "Australia/Sydney"))
+    kind = X.file_type_of_name(F.concat(F.lit("https://x.org/a.b/"), "doc_id", suffix, F.lit("?q=.doc")))
+    return t(spark, sf, "documents").select("doc_id", subject.alias("subject"), X.name_rest(F.concat("source", F.lit(".Doc"))).alias("rest"), kind.alias("kind"), X.accepts(suffix, "PDF", "JPEG").alias("accepted"), F.date_format(clock, "yyyy-MM-dd HH:mm").alias("sydney"))
+
+
+# sketches
+
+
+@query("""WITH h AS (SELECT DISTINCT event_type, ('0x' || substr(md5(user_id::VARCHAR), 1, 15))::BIGINT AS h FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY h) AS n FROM h)
+SELECT event_type, CASE WHEN count(*) < 64 THEN count(*) ELSE round(63 * 1152921504606846976.0::DOUBLE / max(h))::BIGINT END AS about FROM r WHERE n <= 64 GROUP BY event_type""")
+def sketch_distinct(spark, sf):
+    """The number of users of each event type, estimated from sketches of eight parts that are merged."""
+    parts = sketches.kmv(t(spark, sf, "events").withColumn("part", F.col("event_id") % 8), ["event_type", "part"], "user_id", 64)
+    return sketches.merged(parts.drop("part"), ["event_type"], 64).select("event_type", sketches.distinct(F.col("sketch"), 64).alias("about"))
+
+
+# mail with parts
+
+_BLANK_SIGNS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160)"
+
+
+@query(f"""WITH m AS (SELECT conv_id, turn, role, 'Über ' || conv_id AS subject, trim(coalesce(text, ''), {_BLANK_SIGNS}) AS body FROM conversations),
+a AS (SELECT conv_id, turn, subject, md5(CASE WHEN body = '' THEN 'html' ELSE body END) AS body_md5, unnest([
+{{'i': 1, 'name': 'täble-' || turn || '.csv', 'kind': 'text/csv', 'data': 'a,b' || chr(13) || chr(10) || '1,' || turn, 'why': NULL}},
+{{'i': 2, 'name': 'pic.png', 'kind': 'application/octet-stream', 'data': role, 'why': CASE WHEN length(role) < 6 THEN 'image/png below 6 bytes' END}},
+{{'i': 3, 'name': 'Inner a b ' || conv_id || '.eml', 'kind': 'message/rfc822', 'data': 'Subject: Inner: a/b ' || conv_id || chr(13) || chr(10) || chr(13) || chr(10) || 'inner', 'why': NULL}},
+{{'i': 4, 'name': 'attachment-4', 'kind': 'image/gif', 'data': 'GIF89a', 'why': 'inline'}}]) AS x FROM m)
+SELECT conv_id, turn, subject, 'Jörg' AS author, 'Doe, Jane <jane@x.org>; <b@y.org>' AS "to", body_md5, x.i AS index, x.name AS name, x.kind AS content_type, strlen(x.data) AS size, 'sha256:' || sha256(x.data) AS content_digest, x.why AS rejected, turn % 3 = 0 AS broken FROM a""")
+def mail_parts(spark, sf):
+    """Each turn as a message of nested parts: encoded words, alternatives, a quoted name, attachments with encoded and missing names, an
+    embedded message, a picture shown in the text, and every third time a part that cannot be decoded."""
+    b64 = lambda c: F.base64(F.encode(c, "utf-8"))
+    lines = [
+        F.concat(F.lit("From: =?utf-8?q?J=C3=B6rg?= <"), "role", F.lit("@Example.ORG>")), F.lit('To: "Doe, Jane" <jane@x.org>, b@y.org'),
+        F.concat(F.lit("Subject: =?utf-8?b?"), b64(F.concat(F.lit("Über "), "conv_id")), F.lit("?=")), F.lit("MIME-Version: 1.0\r\nContent-Type: multipart/mixed; boundary=OUT\r\n\r\npreamble"),
+        F.lit("--OUT\r\nContent-Type: multipart/alternative; boundary=IN\r\n\r\n--IN\r\nContent-Type: text/plain; charset=utf-8\r\nContent-Transfer-Encoding: base64\r\n"), b64(F.coalesce("text", F.lit(""))),
+        F.lit("--IN\r\nContent-Type: text/html\r\n\r\n<p>html</p>\r\n--IN--"),
+        F.concat(F.lit("--OUT\r\nContent-Type: text/csv; charset=utf-8\r\nContent-Disposition: attachment; filename*=utf-8''t%C3%A4ble-"), "turn", F.lit(".csv\r\n\r\na,b\r\n1,"), "turn"),
+        F.lit('--OUT\r\nContent-Type: application/octet-stream; name="pic.png"\r\nContent-Transfer-Encoding: base64\r\n'), b64(F.col("role")),
+        F.concat(F.lit("--OUT\r\nContent-Type: message/rfc822\r\n\r\nSubject: Inner: a/b "), "conv_id", F.lit("\r\n\r\ninner")),
+        F.lit("--OUT\r\nContent-Type: image/gif\r\nContent-Disposition: inline\r\nContent-Transfer-Encoding: base64\r\n\r\nR0lGODlh"),
+        F.when(F.col("turn") % 3 == 0, "--OUT\r\nContent-Type: application/pdf\r\nContent-Transfer-Encoding: base64\r\n\r\n!!!"), F.lit("--OUT--\r\n"),
+    ]
+    read = mail.parsed(t(spark, sf, "conversations").select("conv_id", "turn", F.concat_ws("\r\n", *lines).alias("content"))).drop("content")
+    shown = F.array_join(F.transform("to", lambda a: F.concat_ws(" ", F.when(a["name"] != "", a["name"]), F.concat(F.lit("<"), mail.spec(a), F.lit(">")))), "; ")
+    whole = F.struct("conv_id", "turn", "subject", F.get("authors", F.lit(0))["name"].alias("author"), shown.alias("to"), F.md5("body").alias("body_md5"), (F.size("defects") > 0).alias("broken"))
+    parts = mail.attachment_children(read.withColumn("_whole", whole), "_whole", skip_types=("image/*",), skip_below=6)
+    return parts.select("parent.*", "index", "name", "content_type", "size", "content_digest", "rejected")
+
+
+# functions in Python
+
+
+@query("""SELECT o_orderpriority, round(sum(o_totalprice * o_custkey) / sum(o_custkey), 2) AS weighted, sum(len(regexp_extract_all(o_orderpriority, '[A-Z]'))) AS letters, max(len(regexp_extract_all(o_orderpriority, '[A-Z]'))) AS last FROM orders GROUP BY o_orderpriority""")
+def python_functions(spark, sf):
+    """An aggregate in Python whose partial sums are made by Spark first, so that a group of any size stays small, and a table function
+    that yields a row for each letter of a value."""
+
+    @F.pandas_udf("double")
+    def ratio(weighted: pd.Series, weights: pd.Series) -> float:
+        return float(weighted.sum() / weights.sum())
+
+    @F.udtf(returnType="place: int, letter: string")
+    class Letters:
+        def eval(self, text: str):
+            for place, letter in enumerate((c for c in text or "" if c.isascii() and c.isupper()), 1):
+                yield place, letter
+
+    orders = t(spark, sf, "orders")
+    sums = orders.groupBy("o_orderpriority", (F.col("o_orderkey") % 64).alias("part")).agg(F.sum(F.col("o_totalprice") * F.col("o_custkey")).alias("w"), F.sum("o_custkey").cast("double").alias("n"), F.count(F.lit(1)).alias("rows"))
+    averages = sums.groupBy("o_orderpriority").agg(ratio(F.col("w"), F.col("n")).alias("weighted"))
+    rows = sums.groupBy("o_orderpriority").agg(F.sum("rows").alias("rows")).lateralJoin(Letters(F.col("o_orderpriority").outer()))
+    letters = rows.groupBy("o_orderpriority").agg(F.sum("rows").alias("letters"), F.max("place").cast("long").alias("last"))
+    return averages.join(letters, "o_orderpriority").select("o_orderpriority", F.round("weighted", 2).alias("weighted"), "letters", "last")

@@ -10,8 +10,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cairn.functions import layouts, schemas
-from cairn.operators import triples
+from cairn.functions import layouts, mail, schemas
+from cairn.functions import text as X
+from cairn.operators import sketches, triples, written
 from cairn.operators.store import Results
 from cairn.sources import recordings
 from cairn.streaming import live_segments, segments
@@ -181,3 +182,35 @@ def test_live_segments(spark, tmp_path):
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
     got = [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).where("k != 9").select("k", "segment", "value", "rows", "first_ts", "last_ts").collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_records_as_files(spark, tmp_path):
+    rows = spark.createDataFrame([("d1", 2, 'x,"y"\n', None), ("d1", 1, "a|b", 1), ("d2", 1, None, 2)], "doc string, n int, text string, value int")
+    one = lambda kind: {r.doc: r.text for r in written.texts(rows, "doc", "n", ["text", "value"], format=kind).collect()}
+    assert one("csv") == {"d1": 'text,value\na|b,1\n"x,""y""\n",\n', "d2": "text,value\n,2\n"}
+    assert [json.loads(v) for v in one("JSON").values()] == [[{"text": "a|b", "value": 1}, {"text": 'x,"y"\n', "value": None}], [{"text": None, "value": 2}]]
+    assert one("markdown")["d1"] == '| text | value |\n| --- | --- |\n| a\\|b | 1 |\n| x,"y"<br> |  |\n' and one("TXT")["d2"] == "text: \nvalue: 2\n" and one("LOG")["d2"] == "text= value=2\n"
+    assert one("XML")["d2"] == "<records><record><value>2</value></record></records>"
+    with pytest.raises(ValueError, match="unknown record format"):
+        written.texts(rows, "doc", "n", ["text"], format="yaml")
+    found = written.written(rows, f"file://{tmp_path}/out", "doc", "n", ["value"], slot=F.when(F.col("n") == 2, "quality")).collect()
+    assert sorted(r.name for r in found) == ["d1-quality.json", "d1.json", "d2.json"]
+
+
+def test_names(spark):
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    assert one(X.file_subject(F.lit("RE: Fwd: aw [2]: Café – [sec = OFFICIAL] naïve/plan?"))) == "Cafe-naive-plan" and one(X.file_subject(F.lit(None).cast("string"))) == ""
+    assert [one(X.file_type_of_name(F.lit(n))) for n in ("a.PDF", "s3://b/c.d/e", "x.tar.json?y=.pdf", "f.nt#z", ".csv", "")] == ["PDF", "UNKNOWN", "JSON", "GRAPH", "CSV", "UNKNOWN"]
+    assert one(X.accepts(F.lit(".JPG"), "JPEG")) and not one(X.accepts(F.lit(".jpg"), "PDF")) and one(X.accepts(F.lit(".ttl"))) and not one(X.accepts(F.lit(None).cast("string")))
+    assert str(one(mail.in_zone(mail.moment(F.lit("Mon, 15 Jul 2024 12:00:00 +0100")), "America/New_York"))) == "2024-07-15 07:00:00"
+    assert str(one(mail.in_zone(mail.moment(F.lit("Mon, 15 Jul 2024 12:00:00 -0000")), "Asia/Tokyo", assume="Asia/Tokyo"))) == "2024-07-15 12:00:00" and one(mail.in_zone(mail.moment(F.lit("x")), "UTC")) is None
+
+
+def test_sketches(spark):
+    rows = spark.range(60_000).selectExpr("id % 3 AS k", "id % 20011 AS v", "id % 7 AS part").unionByName(spark.createDataFrame([(9, None, 0), (None, 5, 0), (None, 6, 1)], "k long, v long, part long"))
+    whole = {r.k: r.sketch for r in sketches.kmv(rows, ["k"], "v", 512).collect()}
+    parts = sketches.merged(sketches.kmv(rows, ["k", "part"], "v", 512).drop("part"), ["k"], 512)
+    assert {r.k: r.sketch for r in parts.collect()} == whole
+    got = {r.k: r.n for r in parts.select("k", sketches.distinct(F.col("sketch"), 512).alias("n")).collect()}
+    exact = {r.k: r.n for r in rows.groupBy("k").agg(F.count_distinct("v").alias("n")).collect()}
+    assert got[9] == 0 and got[None] == 2 and all(abs(got[k] - exact[k]) < 0.15 * exact[k] for k in (0, 1, 2))
