@@ -262,12 +262,17 @@ PII = (
 )
 
 
-def spans(docs: DataFrame, patterns: Sequence[tuple[str, str, int]], priority: int = 20, source: str = "catalogue") -> DataFrame:
+#: What a text must hold for any of PII to match.
+PII_CUE = r"[\p{Nd}@]"
+
+
+def spans(docs: DataFrame, patterns: Sequence[tuple[str, str, int]], priority: int = 20, source: str = "catalogue", cue: str | None = None) -> DataFrame:
     """doc_id and annotations: start, end, label, text, source and priority of all that the patterns find, overlaps settled.
 
     patterns: label, pattern and the group that is the span (0: all); case does not count. Blanks at a span's end are cut.
     Higher priority wins, then the longer, then the earlier; what stays is sorted by start. Offsets count code points. A
-    pattern that does not compile is left out with a warning.
+    pattern that does not compile is left out with a warning. cue: a pattern without which none of the others can match; texts
+    without it do not go to Python.
     """
     compiled(patterns, warn=True)
     doc_kind = docs.schema["doc_id"].dataType.simpleString()
@@ -283,7 +288,11 @@ def spans(docs: DataFrame, patterns: Sequence[tuple[str, str, int]], priority: i
                 out.append([dict(zip(("start", "end", "label", "text", "source", "priority"), s)) for s in settled(found)])
             yield pd.DataFrame({"doc_id": b["doc_id"], "annotations": out})
 
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {doc_kind}, annotations {kind}")
+    if cue is None:
+        return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {doc_kind}, annotations {kind}")
+    may = F.coalesce(F.col("text").rlike(cue), F.lit(False))
+    found = docs.where(may).select("doc_id", "text").mapInPandas(run, f"doc_id {doc_kind}, annotations {kind}")
+    return found.unionByName(docs.where(~may).select("doc_id", F.array().cast(kind).alias("annotations")))
 
 
 def name_terms(names: Column, least: int = 4) -> Column:

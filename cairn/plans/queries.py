@@ -203,7 +203,7 @@ def pii_email_counts(spark, sf):
 
 @query()
 def pii_resolved(spark, sf):
-    return X.spans(t(spark, sf, "documents"), X.PII)
+    return X.spans(t(spark, sf, "documents"), X.PII, cue=X.PII_CUE)
 
 
 @query()

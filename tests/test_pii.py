@@ -21,3 +21,10 @@ def test_catalogue(spark, tmp_path):
         text, want = cases[r.doc_id]
         assert [(a["label"], a["text"]) for a in r.annotations] == want, text
         assert all(text[a["start"] : a["end"]] == a["text"] for a in r.annotations)
+
+
+def test_texts_without_cues(spark, sf):
+    """Leaving out texts that hold neither a digit nor an @ changes nothing."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(-1, None), (-2, ""), (-3, "call 0412 3456 78 or a@b.org"), (-4, "DOB ٣/٤/١٩٩٩")], "doc_id long, text string"))
+    rows = lambda **how: sorted(map(repr, X.spans(docs, X.PII, **how).collect()))
+    assert rows() == rows(cue=X.PII_CUE)
