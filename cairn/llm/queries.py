@@ -120,7 +120,8 @@ _TERMS = r"unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ
 ORACLE_SQL: dict[str, str] = {
     "op11_suffix_dedup": r"""
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-w AS (SELECT doc_id, i, md5(h[2 * i + 1:2 * i + 100]) AS w FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 49)) AS i FROM d)),
+c AS (SELECT doc_id, 500 * j AS base, h[1000 * j + 1:1000 * j + 1098] AS c FROM (SELECT doc_id, h, unnest(range(0, (len(h) // 2 + 450) // 500)) AS j FROM d)),
+w AS (SELECT doc_id, base + i AS i, md5(c[2 * i + 1:2 * i + 100]) AS w FROM (SELECT doc_id, base, c, unnest(range(0, len(c) // 2 - 49)) AS i FROM c)),
 f AS (SELECT w, min(doc_id) AS doc_id FROM w GROUP BY w),
 g AS (SELECT w.doc_id, w.i, lag(w.i) OVER (PARTITION BY w.doc_id ORDER BY w.i) AS before FROM w JOIN f ON w.w = f.w AND f.doc_id < w.doc_id),
 r AS (SELECT doc_id, i, sum(CASE WHEN before IS NULL OR i > before + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g),

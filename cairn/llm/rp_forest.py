@@ -8,7 +8,7 @@ margins by which it misses splits on the way; how many it takes is measured on t
 largest inner product is the smallest angle; scores are inner products of the vectors as given, in double precision.
 
 Results for odd input: vectors that are null, zero, or hold nulls or non-finite numbers take no part, as rows or as
-queries; a vector of another length than the most common one of the sample takes no part; equal vectors stay apart by
+queries; vectors of one length are compared with each other only; equal vectors stay apart by
 their ids; with fewer candidates than k all are returned; ties go to the smaller id.
 """
 
@@ -196,8 +196,22 @@ class Group:
 def search(rows: DataFrame, queries: DataFrame, k: int = K, trees: int = TREES, target: float = TARGET) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found rows of each query, itself left out.
 
-    rows and queries: columns vec_id and embedding. Each is read once; rows go through one shuffle for all trees.
+    rows and queries: columns vec_id and embedding. Vectors of each length have a forest of their own, and meet no others; there
+    are taken to be few different lengths.
     """
+    size = F.size("embedding")
+    lengths = sorted(r[0] for r in usable(rows.select(F.col("embedding").cast("array<double>").alias("embedding")), "embedding").select(size).distinct().collect())
+    if len(lengths) < 2:
+        return _of_one_length(rows, queries.where(size == lengths[0]) if lengths else queries, k, trees, target)
+    found = [_of_one_length(rows.where(size == n), queries.where(size == n), k, trees, target) for n in lengths]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _of_one_length(rows: DataFrame, queries: DataFrame, k: int, trees: int, target: float) -> DataFrame:
+    """The search among vectors of one length. Rows are read once and go through one shuffle for all trees."""
     spark = rows.sparkSession
     kind = rows.schema["vec_id"].dataType.simpleString()
     good = usable(rows.select("vec_id", F.col("embedding").cast("array<double>").alias("x")), "x").withColumn("_h", F.xxhash64("x"))
@@ -212,7 +226,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K, trees: int = TREES,
     entries = least.groupBy("_h", "x").agg(F.slice(F.sort_array(F.collect_list("vec_id")), 1, k + 1).alias("ids"))
     entries = saved(entries, "ann-entries")
     n = entries.count()
-    sample = _matrix(entries.orderBy("_h").limit(SAMPLE_ROWS).select("x").toPandas()["x"].pipe(lambda s: s[s.map(len) == s.map(len).mode().iloc[0]]))
+    sample = _matrix(entries.orderBy("_h").limit(SAMPLE_ROWS).select("x").toPandas()["x"])
     width, longest = sample.shape[1], float(stats["longest"])
     depth = max(0, min(int(math.log2(max(1, len(sample) // 16))), math.ceil(math.log2(max(1, n / LEAF_ROWS)))))
     lifted, leaves = _lifted(sample, longest), 1 << depth
@@ -254,8 +268,8 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K, trees: int = TREES,
 
     names = ["group", "query_id", "leaves", "ids", "x"]
     laid = "group long, query_id long, leaves array<long>, ids array<long>, x array<double>"
-    asked = usable(queries.select(F.col("vec_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("x")), "x").where(F.size("x") == width)
-    fit_entries = entries.where(F.size("x") == width).select("_h", F.col("ids").cast("array<long>").alias("ids"), "x")
+    asked = usable(queries.select(F.col("vec_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("x")), "x")
+    fit_entries = entries.select("_h", F.col("ids").cast("array<long>").alias("ids"), "x")
     both = fit_entries.mapInArrow(put, laid).unionByName(asked.mapInArrow(probe, laid))
 
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

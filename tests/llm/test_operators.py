@@ -404,6 +404,13 @@ def test_nearest_odd(spark):
     assert rp_forest.search(df.limit(0), df.limit(0)).count() == 0
     two = df.where("vec_id < 2")
     assert rp_forest.search(two, two).count() == 2
+    # vectors of another length meet each other only
+    mixed = df.unionByName(spark.createDataFrame([(100 + i, [1.0, float(i)]) for i in range(30)] + [(200, [])], df.schema))
+    both = rp_forest.search(mixed, mixed.where("vec_id % 10 = 0"), k=5).collect()
+    assert {tuple(r) for r in both if r.query_id < 100} == {tuple(r) for r in got}
+    assert {r.query_id: [x.vec_id for x in sorted(both, key=lambda x: x["rank"]) if x.query_id == r.query_id] for r in both if r.query_id >= 100} == {
+        100: [101, 102, 103, 104, 105], 110: [129, 128, 127, 126, 125], 120: [129, 128, 127, 126, 125],
+    }
 
 
 def test_nearest_with_closed_leaves(spark):
