@@ -70,10 +70,9 @@ def resolve(catalogue: DataFrame, include: DataFrame, exclude: DataFrame | None
         wanted = wanted.join(exclude.select(F.lower("id").alias("_id")), "_id", "left_anti")
     out = catalogue.withColumn("_id", F.lower("id"))
     if strict:
-        missing = wanted.join(out.select("_id"), "_id", "left_anti").agg(F.array_sort(F.collect_list("_id")).alias("ids"))
-        lost = missing.first()["ids"]
+        lost = [r["_id"] for r in wanted.join(out.select("_id"), "_id", "left_anti").orderBy("_id").limit(20).collect()]
         if lost:
-            raise LookupError(f"the catalogue lacks {', '.join(lost[:20])}")
+            raise LookupError(f"the catalogue lacks {', '.join(lost)}")
     return out.join(wanted, "_id", "left_semi").drop("_id")
 
 

@@ -107,7 +107,16 @@ def nested(one: DataFrame, many: DataFrame, one_key: str, many_key: str, name: s
 
 
 def distinct_union(*lists: Column, key=lambda x: x) -> Column:
-    """One list of all elements, in order, without later ones of an equal key."""
-    every = F.concat(*lists)
-    keys = F.transform(every, key)
-    return F.filter(every, lambda x, i: F.array_position(keys, key(x)) == i + 1)
+    """One list of all elements, in order, without later ones of an equal key; elements without a key are left out.
+
+    Keys are sorted with their places, and the first of each stays, so a long list costs no more than its sorting.
+    """
+
+    def of(every: Column) -> Column:
+        keyed = F.filter(F.transform(every, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"))), lambda p: p["k"].isNotNull())
+        firsts = lambda pairs: F.filter(pairs, lambda p, j: (j == 0) | (F.get(pairs, j - 1)["k"] != p["k"]))
+        # the inner functions have the list and the pairs as variables, so both are computed once
+        left = F.get(F.transform(F.array(F.array_sort(keyed)), firsts), F.lit(0))
+        return F.transform(F.array_sort(F.transform(left, lambda p: p["i"])), lambda i: F.get(every, i))
+
+    return F.get(F.transform(F.array(F.concat(*lists)), of), F.lit(0))
