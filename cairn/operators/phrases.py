@@ -70,30 +70,37 @@ class Phrases:
 
 def located(docs: DataFrame, tokens: str, targets: str, name: str = "redact_spans") -> DataFrame:
     """Add the places of the targets (column of TARGET arrays) among the tokens (column of TOKEN arrays): the phrase, its replacement,
-    first and last token (from 0) and the box around them; in the order of the targets, then of the places."""
+    first and last token (from 0) and the box around them; in the order of the targets, then of the places.
+
+    Only words go to Python; boxes are put together in columns.
+    """
 
     def run(seq: pd.Series, wanted: pd.Series) -> pd.Series:
-        known: dict[tuple[str, ...], Phrases] = {}
+        known: tuple[tuple[str, ...], Phrases] = ((), Phrases(()))
         out = []
         for own, goals in zip(seq, wanted):
-            own = list(own) if own is not None else []
-            table: dict[str, str | None] = {}
-            for g in goals if goals is not None else ():
-                if g is not None and (g["text"] or "").strip():
-                    table.setdefault(g["text"].strip(), g["replacement"])
+            table: dict[str, int] = {}
+            for number, text in enumerate(goals if goals is not None else ()):
+                if text and text.strip():
+                    table.setdefault(text.strip(), number)
             key = tuple(table)
-            if key not in known:
-                known.clear()
-                known[key] = Phrases(key)
-            spans = []
-            for number, first, last in sorted(known[key].find([(t["text"] if t is not None else None) or "" for t in own])):
-                boxes = own[first : last + 1]
-                box = [f((b[c] for b in boxes if b[c] is not None), default=None) for f, c in ((min, "x0"), (min, "y0"), (max, "x1"), (max, "y1"))]
-                spans.append(dict(zip(("text", "replacement", "first", "last", "x0", "y0", "x1", "y1"), (key[number], table[key[number]], first, last, *box))))
-            out.append(spans)
+            if key != known[0]:
+                known = (key, Phrases(key))
+            found = sorted(known[1].find([t or "" for t in own] if own is not None else []))
+            out.append([{"text": key[n], "target": table[key[n]], "first": first, "last": last} for n, first, last in found])
         return pd.Series(out, dtype=object)
 
-    return docs.withColumn(name, F.pandas_udf(run, _SPAN)(F.col(tokens).cast(f"array<{TOKEN}>"), F.col(targets).cast(f"array<{TARGET}>")))
+    seq, goals = F.col(tokens).cast(f"array<{TOKEN}>"), F.col(targets).cast(f"array<{TARGET}>")
+    places = F.pandas_udf(run, "array<struct<text:string,target:int,first:int,last:int>>")(F.transform(seq, lambda t: t["text"]), F.transform(goals, lambda g: g["text"]))
+
+    def boxed(h: Column, all_tokens: Column) -> Column:
+        own = F.slice(all_tokens, h["first"] + 1, h["last"] - h["first"] + 1)
+        side = lambda f, c: f(F.transform(own, lambda t: t[c])).alias(c)
+        return F.struct(h["text"].alias("text"), F.get(goals, h["target"])["replacement"].alias("replacement"), h["first"].alias("first"), h["last"].alias("last"), side(F.array_min, "x0"), side(F.array_min, "y0"), side(F.array_max, "x1"), side(F.array_max, "y1"))
+
+    # the tokens are a variable of the inner function, so that they are cast once and not for each place
+    spans = F.get(F.transform(F.array(seq), lambda s: F.transform("_places", lambda h: boxed(h, s))), F.lit(0))
+    return docs.withColumn("_places", places).withColumn(name, F.coalesce(spans, F.array()).cast(_SPAN)).drop("_places")
 
 
 def covered(tokens: Column, spans: Column) -> Column:
