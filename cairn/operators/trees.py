@@ -2,25 +2,38 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairn.session import work_dir
+
 
 def above(nodes: DataFrame, selected: DataFrame, deepest: int = 1000) -> DataFrame:
     """start and id: each selected node with itself and every node above it.
 
-    A recursive query: each round joins the parents of what the last one found, so rows are shuffled by id, and a tree's depth, not
-    its size, sets the number of rounds.
+    Each round joins the parents of what the last one found and adds them to a work table (in `work_dir`), so a tree's depth, not its
+    size, sets the number of rounds, and any number of rows may be found. Near the root many rows share a few parents: these few
+    nodes are cut out first, and Spark sends them to the rows.
     """
+    spark = nodes.sparkSession
+    folder = f"{work_dir(spark)}/tree-{uuid.uuid4().hex}"
     wanted = selected.select(F.lower("id").alias("_low")).where("_low IS NOT NULL").distinct()
-    edges = nodes.select("id", "parent").where("id IS NOT NULL").distinct()
-    seeds = edges.withColumn("_low", F.lower("id")).join(wanted, "_low", "left_semi").select("id", "parent")
-    return nodes.sparkSession.sql(
-        f"""WITH RECURSIVE up(start, id, parent) MAX RECURSION LEVEL {deepest} AS (
-            SELECT id, id, parent FROM {{seeds}} UNION ALL SELECT up.start, e.id, e.parent FROM up JOIN {{edges}} AS e ON up.parent = e.id)
-        SELECT DISTINCT start, id FROM up LIMIT ALL""",
-        seeds=seeds, edges=edges,
-    )
+    nodes.select("id", "parent").where("id IS NOT NULL").distinct().write.parquet(f"{folder}/edges")
+    edges = spark.read.parquet(f"{folder}/edges")
+    seeds = edges.withColumn("_low", F.lower("id")).join(wanted, "_low", "left_semi")
+    seeds.select(F.col("id").alias("start"), "id", "parent").write.parquet(f"{folder}/up/round=0")
+    schema = spark.read.parquet(f"{folder}/up/round=0").schema
+    for number in range(1, deepest + 2):
+        last = spark.read.schema(schema).parquet(f"{folder}/up/round={number - 1}").where("parent IS NOT NULL").select("start", F.col("parent").alias("_at"))
+        if last.isEmpty():
+            break
+        if number > deepest:
+            raise ValueError(f"recursion has not ended after {deepest} rounds: a cycle, or a deeper tree")
+        few = edges.join(last.select("_at").distinct(), F.col("id") == F.col("_at"), "left_semi")
+        last.join(few, F.col("id") == F.col("_at")).select("start", "id", "parent").write.parquet(f"{folder}/up/round={number}")
+    return spark.read.schema(schema).parquet(f"{folder}/up/*").select("start", "id").distinct()
 
 
 def kept(nodes: DataFrame, selected: DataFrame, deepest: int = 1000) -> DataFrame:

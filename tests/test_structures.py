@@ -62,6 +62,14 @@ def test_trees(spark):
         trees.kept(spark.createDataFrame([("a", "b"), ("b", "a")], "id string, parent string"), spark.createDataFrame([("a",)], "id string"), deepest=4).count()
 
 
+def test_trees_of_many_rows(spark):
+    """More than a million rows on the way up, where Spark's recursion stops, and two ways to one node."""
+    nodes = spark.range(300_000).select(F.concat(F.lit("l"), "id").alias("id"), F.concat(F.lit("m"), F.col("id") % 3).alias("parent"))
+    top = spark.createDataFrame([("m0", "r"), ("m1", "r"), ("m2", "s"), ("m2", "r"), ("s", "r"), ("r", "q"), ("q", None)], "id string, parent string")
+    got = {r.id: (r.chosen, r.below) for r in trees.pruned(nodes.union(top).dropDuplicates(["id", "parent"]), nodes.select(F.upper("id").alias("id"))).where("NOT id LIKE 'l%'").distinct().collect()}
+    assert got == {"m0": (False, 100_000), "m1": (False, 100_000), "m2": (False, 100_000), "s": (False, 100_000), "r": (False, 300_000), "q": (False, 300_000)}
+
+
 def test_running_aggregates(spark, tmp_path):
     rng = random.Random(4)
     rows = [(i, rng.choice(["a", "b", None]), 1e9 + rng.random(), rng.choice([None, rng.random()])) for i in range(400)] + [(400, "c", None, None), (401, "d", 5.0, None)]
