@@ -79,9 +79,9 @@ def texts(records: DataFrame, document: str, order: str, columns: Sequence[str],
     return one.select(document, "slot", "format", name.alias("name"), text.alias("text"))
 
 
-def written(records: DataFrame, folder: str, document: str, order: str, columns: Sequence[str], **how: object) -> DataFrame:
-    """Write the files of `texts` to a folder, and return name, path, size and sha256 of each."""
-    return files.write_each(texts(records, document, order, columns, **how), folder, "name", "text")
+def written(records: DataFrame, folder: str, document: str, order: str, columns: Sequence[str], spread: bool = False, **how: object) -> DataFrame:
+    """Write the files of `texts` to a folder, and return name, path, size and sha256 of each. spread: as in `files.write_each`."""
+    return files.write_each(texts(records, document, order, columns, **how), folder, "name", "text", spread)
 
 
 def training_record(doc_id: Column, filename: Column, text: Column, spans: Column, **meta: Column) -> Column:
@@ -90,8 +90,8 @@ def training_record(doc_id: Column, filename: Column, text: Column, spans: Colum
     return F.to_json(F.struct(doc_id.cast("string").alias("id"), F.coalesce(filename, F.lit("")).alias("filename"), F.coalesce(text, F.lit("")).alias("text"), spans.alias("spans"), kept.alias("meta")))
 
 
-def annotations(docs: DataFrame, folder: str, filename: str = "filename", meta: Sequence[str] = ()) -> DataFrame:
+def annotations(docs: DataFrame, folder: str, filename: str = "filename", meta: Sequence[str] = (), spread: bool = False) -> DataFrame:
     """Write one training record for each document (doc_id, text, annotations and the columns named), so that an interrupted write
     spoils no other; name, path, size and sha256 of each file."""
     record = training_record(F.col("doc_id"), F.col(filename), F.col("text"), F.col("annotations"), **{m: F.col(m) for m in meta})
-    return files.write_each(docs.select(F.concat(F.col("doc_id").cast("string"), F.lit(".json")).alias("name"), record.alias("text")), folder, "name", "text")
+    return files.write_each(docs.select(F.concat(F.col("doc_id").cast("string"), F.lit(".json")).alias("name"), record.alias("text")), folder, "name", "text", spread)

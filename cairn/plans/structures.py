@@ -239,8 +239,8 @@ def records_written(spark, sf):
     kinds = F.element_at(F.array(*[F.lit(f) for f in ("CSV", "JSON", "MARKDOWN", "TXT", "LOG", "XML")]), (F.col("o_custkey") % 6 + 1).cast("int"))
     rows = orders.withColumns({"kind": kinds, "slot": F.lit("")}).unionByName(orders.where("o_orderkey % 2 = 0").withColumns({"kind": F.lit("CSV"), "slot": F.lit("quality")}))
     folder = f"{work_dir(spark)}/records-{uuid.uuid4().hex}"
-    written.written(rows, folder, "o_custkey", "o_orderkey", ["status", "note", "ref"], format=F.col("kind"), slot=F.col("slot")).count()
-    return files.read_each(spark, folder).select("name", "size", F.sha2("content", 256).alias("sha256"))
+    written.written(rows, folder, "o_custkey", "o_orderkey", ["status", "note", "ref"], spread=True, format=F.col("kind"), slot=F.col("slot")).count()
+    return files.read_spread(spark, folder).select("name", "size", F.sha2("content", 256).alias("sha256"))
 
 
 @query(r"""WITH s AS (SELECT doc_id, source, text, k, (list_sum(list_transform(parts[1:k], lambda x: length(x))) + list_sum(list_transform([''] || hits[1:k - 1], lambda x: length(x))))::BIGINT AS start, hits[k] AS hit
@@ -251,9 +251,9 @@ def annotations_written(spark, sf):
     docs = t(spark, sf, "documents").select("doc_id", "text", "source", F.concat("doc_id", F.lit(".txt")).alias("filename"))
     found = docs.join(X.spans(docs, [X.PII[0]]), "doc_id").where(F.size("annotations") > 0)
     folder = f"{work_dir(spark)}/annotations-{uuid.uuid4().hex}"
-    written.annotations(found, folder, meta=("source",)).count()
+    written.annotations(found, folder, meta=("source",), spread=True).count()
     kind = "struct<id:string,filename:string,text:string,spans:array<struct<start:long,end:long,label:string,text:string>>,meta:struct<source:string>>"
-    r = files.read_each(spark, folder, "*.json").select(F.from_json(F.col("content").cast("string"), kind).alias("r"))
+    r = files.read_spread(spark, folder, "*.json").select(F.from_json(F.col("content").cast("string"), kind).alias("r"))
     marks = F.array_join(F.transform("r.spans", lambda s: F.concat(s["start"], F.lit(":"), s["text"])), ";")
     return r.select(F.col("r.id").cast("long").alias("doc_id"), F.size("r.spans").cast("long").alias("spans"), F.md5(marks).alias("spans_md5"), "r.meta.source", F.md5("r.text").alias("text_md5"))
 

@@ -116,6 +116,18 @@ def test_files(spark, tmp_path):
     assert {(r.name, bytes(r.content)) for r in files.read_each(spark, f"file://{tmp_path}/out").collect()} == {("a_b", b"x"), ("c", b"three")}
 
 
+def test_spread_files(spark, tmp_path):
+    """Files spread over folders come back whole, also by a pattern, without those that a broken task left; many names, one listing each."""
+    docs = spark.range(3000).select(F.concat(F.lit("f-"), "id", F.when(F.col("id") % 2 == 0, ".json").otherwise(".txt")).alias("n"), F.repeat(F.lit("é"), (F.col("id") % 5).cast("int")).alias("t"))
+    folder = f"file://{tmp_path}/out"
+    manifest = {(r.name, r.path, r.size, r.sha256) for r in files.write_each(docs, folder, "n", "t", spread=True).collect()}
+    (tmp_path / "out" / sorted(p.name for p in (tmp_path / "out").iterdir())[0] / ".f-1.txt.7").write_bytes(b"half")
+    got = files.read_spread(spark, folder)
+    assert {(r.name, r.path, r.size, r.sha) for r in got.withColumn("sha", F.sha2("content", 256)).collect()} == manifest and len(manifest) == 3000
+    assert files.read_spread(spark, folder, "*.json").count() == 1500 and got.where("modified IS NULL OR path NOT LIKE 'file://%'").count() == 0
+    assert len(list((tmp_path / "out").iterdir())) > 500 and max(len(list(p.iterdir())) for p in (tmp_path / "out").iterdir()) < 30
+
+
 def test_plain_queries(spark, tmp_path):
     good = ["select 1", "WITH a AS (SELECT 1 AS x) SELECT * FROM a", "select ';' AS s", "select 'insert into' AS s -- delete", "VALUES (1)"]
     bad = ["WITH c AS (SELECT 1) INSERT OVERWRITE DIRECTORY '/x' SELECT * FROM c", "with a as (select 1) delete from t", "select 1; select 2", "insert into t values (1)", "drop table t", "set a=b", "WITH c AS (SELECT 1) /* x */ MERGE INTO t USING c ON true WHEN MATCHED THEN DELETE"]
