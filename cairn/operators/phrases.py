@@ -11,10 +11,11 @@ first with its replacement; a token without text holds no word.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 TOKEN = "struct<text:string,x0:double,y0:double,x1:double,y1:double>"
 #: What a target is: the phrase and what stands in its place.
 TARGET = "struct<text:string,replacement:string>"
+#: Fixed value: how many tokens are Python objects at once, unless one row has more.
+_TOKENS = 1 << 16
 _SPAN = "array<struct<text:string,replacement:string,first:int,last:int,x0:double,y0:double,x1:double,y1:double>>"
 
 
@@ -68,39 +71,61 @@ class Phrases:
                     yield number, first, i
 
 
-def located(docs: DataFrame, tokens: str, targets: str, name: str = "redact_spans") -> DataFrame:
-    """Add the places of the targets (column of TARGET arrays) among the tokens (column of TOKEN arrays): the phrase, its replacement,
-    first and last token (from 0) and the box around them; in the order of the targets, then of the places.
-
-    Only words go to Python; boxes are put together in columns.
-    """
-
-    def run(seq: pd.Series, wanted: pd.Series) -> pd.Series:
-        known: tuple[tuple[str, ...], Phrases] = ((), Phrases(()))
-        out = []
-        for own, goals in zip(seq, wanted):
-            table: dict[str, int] = {}
-            for number, text in enumerate(goals if goals is not None else ()):
-                if text and text.strip():
-                    table.setdefault(text.strip(), number)
+def _side(best: Callable, values: list[float | None]) -> float | None:
+    """The least or greatest that is not null; NaN is above all, as Spark has it."""
+    some = [v for v in values if v is not None]
+    return best(some, key=lambda v: (v != v, v)) if some else None
+
+
+def _places(seq: pa.Array, wanted: pa.Array) -> Iterator[list[tuple]]:
+    """The places of each row, the tokens of some rows at a time."""
+    counts = pc.fill_null(pc.list_value_length(seq), 0).to_pylist()
+    known: tuple[tuple[str, ...], Phrases] = ((), Phrases(()))
+    a = 0
+    while a < len(counts):
+        b, held = a + 1, counts[a]
+        while b < len(counts) and held + counts[b] <= _TOKENS:
+            b, held = b + 1, held + counts[b]
+        texts, *box = (c.to_pylist() for c in seq.slice(a, b - a).flatten().flatten())
+        texts, at = [x or "" for x in texts], 0
+        for row, goals in zip(range(a, b), wanted.slice(a, b - a).to_pylist()):
+            table: dict[str, str | None] = {}
+            for goal in goals or ():
+                if goal and goal["text"] and goal["text"].strip():
+                    table.setdefault(goal["text"].strip(), goal["replacement"])
             key = tuple(table)
             if key != known[0]:
                 known = (key, Phrases(key))
-            found = sorted(known[1].find([t or "" for t in own] if own is not None else []))
-            out.append([{"text": key[n], "target": table[key[n]], "first": first, "last": last} for n, first, last in found])
-        return pd.Series(out, dtype=object)
+            out = []
+            for n, first, last in sorted(known[1].find(texts[at : at + counts[row]])):
+                sides = (_side(best, c[at + first : at + last + 1]) for best, c in zip((min, min, max, max), box))
+                out.append((key[n], table[key[n]], first, last, *sides))
+            yield out
+            at += counts[row]
+        a = b
 
-    seq, goals = F.col(tokens).cast(f"array<{TOKEN}>"), F.col(targets).cast(f"array<{TARGET}>")
-    places = F.pandas_udf(run, "array<struct<text:string,target:int,first:int,last:int>>")(F.transform(seq, lambda t: t["text"]), F.transform(goals, lambda g: g["text"]))
 
-    def boxed(h: Column, all_tokens: Column) -> Column:
-        own = F.slice(all_tokens, h["first"] + 1, h["last"] - h["first"] + 1)
-        side = lambda f, c: f(F.transform(own, lambda t: t[c])).alias(c)
-        return F.struct(h["text"].alias("text"), F.get(goals, h["target"])["replacement"].alias("replacement"), h["first"].alias("first"), h["last"].alias("last"), side(F.array_min, "x0"), side(F.array_min, "y0"), side(F.array_max, "x1"), side(F.array_max, "y1"))
+def located(docs: DataFrame, tokens: str, targets: str, name: str = "redact_spans") -> DataFrame:
+    """Add the places of the targets (column of TARGET arrays) among the tokens (column of TOKEN arrays): the phrase, its replacement,
+    first and last token (from 0) and the box around them; in the order of the targets, then of the places.
+
+    Places and boxes come from one function over Arrow arrays: as columns, Spark would find all boxes anew for each use of the result,
+    such as the filters that it derives from an explode.
+    """
 
-    # the tokens are a variable of the inner function, so that they are cast once and not for each place
-    spans = F.get(F.transform(F.array(seq), lambda s: F.transform("_places", lambda h: boxed(h, s))), F.lit(0))
-    return docs.withColumn("_places", places).withColumn(name, F.coalesce(spans, F.array()).cast(_SPAN)).drop("_places")
+    @F.arrow_udf(_SPAN)
+    def found(seq: pa.Array, wanted: pa.Array) -> pa.Array:
+        kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), *[pa.float64()] * 4]
+        ends, columns = [0], [[] for _ in kinds]
+        for own in _places(seq, wanted):
+            for span in own:
+                for c, v in zip(columns, span):
+                    c.append(v)
+            ends.append(len(columns[0]))
+        names = ["text", "replacement", "first", "last", "x0", "y0", "x1", "y1"]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names))
+
+    return docs.withColumn(name, found(F.col(tokens).cast(f"array<{TOKEN}>"), F.col(targets).cast(f"array<{TARGET}>")))
 
 
 def covered(tokens: Column, spans: Column) -> Column:
