@@ -199,10 +199,17 @@ def sentence_chunks(text: Column, most: int = 1800) -> Column:
         n = F.when(new, F.length(s)).otherwise(a["n"] + F.length(s) + 1)
         return F.struct(at.alias("at"), n.alias("n"), (a["i"] + 1).alias("i"))
 
-    cuts = F.aggregate(sentences, start, step)
-    ends = F.concat(F.slice(cuts["at"], 2, F.greatest(F.size(cuts["at"]), F.lit(1))), F.array(cuts["i"]))
-    packed = F.transform(F.arrays_zip(cuts["at"].alias("a"), ends.alias("b")), lambda c: F.array_join(F.slice(sentences, c["a"] + 1, c["b"] - c["a"]), " "))
-    return F.when(F.length(text) <= most, F.array(text)).when(F.size(sentences) == 0, F.array().cast("array<string>")).when(text.isNotNull(), packed)
+    def packed(sentences: Column, cuts: Column) -> Column:
+        ends = F.concat(F.slice(cuts["at"], 2, F.greatest(F.size(cuts["at"]), F.lit(1))), F.array(cuts["i"]))
+        return F.transform(F.arrays_zip(cuts["at"].alias("a"), ends.alias("b")), lambda c: F.array_join(F.slice(sentences, c["a"] + 1, c["b"] - c["a"]), " "))
+
+    def chunks(sentences: Column) -> Column:
+        whole = F.get(F.transform(F.array(F.aggregate(sentences, start, step)), lambda cuts: packed(sentences, cuts)), F.lit(0))
+        return F.when(F.size(sentences) == 0, F.array().cast("array<string>")).otherwise(whole)
+
+    # the sentences and their cuts are variables of inner functions, so that they are found once and not for each chunk
+    found = F.get(F.transform(F.array(sentences), chunks), F.lit(0))
+    return F.when(F.length(text) <= most, F.array(text)).when(text.isNotNull(), found)
 
 
 def split_words(tokens: DataFrame, known: DataFrame, least: int = 12, longest: int = 24) -> DataFrame:

@@ -153,3 +153,18 @@ def test_text(spark):
     known = spark.createDataFrame([("quality", -3.0), ("of", -1.0), ("life", -2.0)], "word string, score double")
     tokens = spark.createDataFrame([("qualityoflife",), ("unknownstring",)], "token string")
     assert {r.token: r.pieces for r in X.split_words(tokens, known).collect()} == {"qualityoflife": ["quality", "of", "life"], "unknownstring": ["unknownstring"]}
+
+
+def test_chunks_are_cut_once(spark):
+    """A long text's sentences are split once, not for each chunk; the chunks are those of a plain packing."""
+    text = " ".join(f"Sentence {i} {'x' * (i % 90)}." for i in range(3000))
+    frame = spark.createDataFrame([(text,)], "t string").select(X.sentence_chunks(F.col("t"), 400).alias("c"))
+    assert frame._jdf.queryExecution().analyzed().toString().count("split(") == 1
+    want, n = [], 0
+    for s in text.replace(". ", ".\n").split("\n"):
+        if not want or n + len(s) + 1 > 400:
+            n = len(s) + (not want)
+            want.append(s)
+        else:
+            want[-1], n = want[-1] + " " + s, n + len(s) + 1
+    assert frame.first().c == want
