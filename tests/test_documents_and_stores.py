@@ -214,3 +214,17 @@ def test_sketches(spark):
     got = {r.k: r.n for r in parts.select("k", sketches.distinct(F.col("sketch"), 512).alias("n")).collect()}
     exact = {r.k: r.n for r in rows.groupBy("k").agg(F.count_distinct("v").alias("n")).collect()}
     assert got[9] == 0 and got[None] == 2 and all(abs(got[k] - exact[k]) < 0.15 * exact[k] for k in (0, 1, 2))
+
+
+def test_short_recordings_share_tasks():
+    """Very many short files make few tasks, and each sample is in one of them."""
+    runs = [(f"f{i}", 0, n) for i, n in enumerate([1024, 0, 1, 299, 300, 301] * 6000)]
+    tasks = recordings.dealt(runs, 300)
+    assert len(tasks) <= recordings.TASKS
+    seen = {}
+    for file, first, count in (r for t in tasks for r in t.runs):
+        assert first == seen.get(file, 0) and count > 0
+        seen[file] = first + count
+    assert seen == {f: n for f, _, n in runs if n}
+    assert [t.runs for t in recordings.dealt([("a", 0, 700), ("b", 0, 0), ("c", 0, 300)], 300)] == [[("a", 0, 300)], [("a", 300, 300)], [("a", 600, 100)], [("c", 0, 300)]]
+    assert len(recordings.dealt([("a", 0, 300 * recordings.SAMPLES)], recordings.SAMPLES)) == 300
