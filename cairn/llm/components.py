@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import dropped, saved
 
+#: Ids of one leader that are held in a task at a time, twice; pairs whose marks are compared at once.
+SPAN, _PAIRS = 1024, 1 << 16
+#: What tells of two lots of marks, by column, which pairs may be linked.
+May = Callable[[dict[str, np.ndarray], dict[str, np.ndarray]], np.ndarray]
+
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """id and component (the smallest id reachable) of every end of the edges (columns a and b).
@@ -38,16 +45,85 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-def linked_groups(members: DataFrame, similar: Callable[[DataFrame], DataFrame], marks: DataFrame | None = None, may: Callable[[str, str], Column] | None = None) -> DataFrame:
+def across(rest: DataFrame, marks: DataFrame | None = None, may: May | None = None) -> DataFrame:
+    """Pairs (a < b) of ids that share a bucket but no component, and that may be linked by their marks; hardly any comes twice.
+
+    rest: bucket, leader, id, component. Texts of one family share hundreds of buckets, most of them with the same leader, so all
+    buckets of a leader are looked at together and give each pair once. An id goes to a task with its buckets and its marks;
+    more than SPAN ids of a leader are cut into blocks, and each two blocks are a task's work.
+    """
+    held = rest.groupBy("leader", "id").agg(F.first("component").alias("component"), F.collect_list("bucket").alias("buckets"))
+    many = held.groupBy("leader").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").selectExpr("leader", f"(_n + {SPAN - 1}) div {SPAN} AS _k")
+    held = held.join(many, "leader").withColumn("_own", F.expr("pmod(xxhash64(id), _k)"))
+    others = [] if marks is None else [c for c in marks.columns if c != "id"]
+    if marks is not None:
+        held = held.join(marks, "id")
+    laid = held.withColumn("_with", F.explode(F.expr("sequence(0L, _k - 1)"))).withColumns({"_lo": F.least("_own", "_with"), "_hi": F.greatest("_own", "_with")})
+    kind = rest.schema["id"].dataType.simpleString()
+
+    def column(table: pa.Table, name: str) -> np.ndarray:
+        found = table.column(name).combine_chunks()
+        if pa.types.is_list(found.type):
+            return found.flatten().to_numpy().reshape(len(found), -1)
+        return found.to_numpy()
+
+    def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        ids, component, own = (column(table, c) for c in ("id", "component", "_own"))
+        low, high = table.column("_lo")[0].as_py(), table.column("_hi")[0].as_py()
+        left, right = np.flatnonzero(own == low), np.flatnonzero(own == high)
+        place = np.zeros(len(ids), np.int64)
+        place[left] = np.arange(len(left))
+        place[right] = np.arange(len(right))
+        buckets = table.column("buckets").combine_chunks()
+        flat, owner = buckets.flatten().to_numpy(), np.repeat(np.arange(len(ids)), buckets.value_lengths().to_numpy())
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        cuts = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1], [True]]))
+        meet = np.zeros((len(left), len(right)), bool)
+        for begin, end in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            if end - begin > 1:
+                some = owner[begin:end]
+                meet[np.ix_(place[some[own[some] == low]], place[some[own[some] == high]])] = True
+        meet &= component[left][:, None] != component[right][None, :]
+        x, y = np.nonzero(np.triu(meet, 1) if low == high else meet)
+        x, y = left[x], right[y]
+        lots = {c: column(table, c) for c in others}
+        for at in range(0, len(x), _PAIRS):
+            i, j = x[at : at + _PAIRS], y[at : at + _PAIRS]
+            if may is not None:
+                near = may({c: v[i] for c, v in lots.items()}, {c: v[j] for c, v in lots.items()})
+                i, j = i[near], j[near]
+            yield pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(ids[i], ids[j])), "b": pa.array(np.maximum(ids[i], ids[j]))})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts = None, []
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy() for c in ("leader", "_lo", "_hi")])
+            cuts = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(axis=0), [True]])) if batch.num_rows else np.zeros(1, np.int64)
+            for begin, end in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                key = tuple(keys[:, begin].tolist())
+                if key != now and parts:
+                    yield from pairs(pa.Table.from_batches(parts))
+                    parts = []
+                now = key
+                parts.append(batch.slice(begin, end - begin))
+        if parts:
+            yield from pairs(pa.Table.from_batches(parts))
+
+    laid = laid.select("leader", "_lo", "_hi", "_own", "id", "component", "buckets", *others).repartition("leader", "_lo", "_hi")
+    return laid.sortWithinPartitions("leader", "_lo", "_hi").mapInArrow(run, f"a {kind}, b {kind}")
+
+
+def linked_groups(members: DataFrame, similar: Callable[[DataFrame, bool], DataFrame], marks: DataFrame | None = None, may: May | None = None) -> DataFrame:
     """id and component of all ids that are linked with another.
 
     members: bucket and id; two ids can only be linked if they share a bucket. Where linked ids share several, members also
     has role and spare: of the buckets of each (id, role), the `spare` most common ones are left out, which is right if
     linked ids share more than `spare` buckets of the role (of what both have in common, the rarest stays with both).
-    similar: keeps of pairs (a, b) those that are linked. The groups are exact, yet pairs within a group are not all looked
+    similar: keeps of pairs (a, b) those that are linked; it is also told if `may` has passed them all already. The groups are exact, yet pairs within a group are not all looked
     at: first each id meets the one leader (smallest id of a bucket) with which it shares most buckets; then, where a bucket
     still holds different groups, its ids meet its leader; at last, in buckets that even then hold different groups, all
-    pairs across groups are looked at, each once.
+    pairs across groups are looked at, each once; by then a bucket's leader has met all others.
     """
     sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     busy = members.join(sizes, "bucket")
@@ -59,8 +135,8 @@ def linked_groups(members: DataFrame, similar: Callable[[DataFrame], DataFrame],
     busy = saved(rare.join(leaders, "bucket"), "lg-busy")
     dropped(rare)
 
-    def link(pairs: DataFrame, known: DataFrame | None) -> DataFrame:
-        found = similar(pairs).select("a", "b")
+    def link(pairs: DataFrame, known: DataFrame | None, checked: bool = False) -> DataFrame:
+        found = similar(pairs, checked).select("a", "b")
         links = saved(found if known is None else found.unionByName(known), "lg-links")
         if known is not None:
             dropped(known)
@@ -85,15 +161,10 @@ def linked_groups(members: DataFrame, similar: Callable[[DataFrame], DataFrame],
             chief = rest.where("id = leader").select("bucket", F.col("component").alias("_chief"))
             pairs = rest.join(chief, "bucket").where("component != _chief").select(F.col("leader").alias("a"), F.col("id").alias("b"))
         else:
-            side = rest.select("bucket", "id", "component")
-            if marks is not None:
-                side = side.join(marks.select("id", F.struct(*[c for c in marks.columns if c != "id"]).alias("_mark")), "id").select("bucket", "id", "component", "_mark")
-            left, right = (side.toDF("bucket", end, f"_c{end}", *[f"_m{end}"] * (marks is not None)) for end in "ab")
-            met = F.expr("a < b AND _ca != _cb")
-            pairs = left.join(right, "bucket").where(met if may is None else met & may("_ma", "_mb")).select("a", "b")
+            pairs = across(rest.where("id != leader"), marks, may)
         pairs = saved(pairs.distinct().join(seen, ["a", "b"], "left_anti"), "lg-pairs")
         if not pairs.isEmpty():
-            links = link(pairs, links)
+            links = link(pairs, links, step == "all" and may is not None)
             groups = connected_components(links)
         dropped(rest)
         done.append(pairs)

@@ -256,6 +256,12 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return met.select("text", "lines").mapInArrow(run, "h1 long, h2 long, line string, length int, s1 long, s2 long, keys binary")
 
 
+def may_link(x: dict[str, np.ndarray], y: dict[str, np.ndarray]) -> np.ndarray:
+    """Whether lines' sketches and lengths are close enough to be compared."""
+    apart = sum(np.bitwise_count((x[c] ^ y[c]).view(U64)).astype(np.int64) for c in ("s1", "s2"))
+    return (apart <= MOST_BITS) & (np.minimum(x["length"], y["length"]) >= MIN_SIMILARITY * np.maximum(x["length"], y["length"]))
+
+
 def groups(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The different lines (h1, h2, first, n), and h1, h2 and component of those that are linked with another; work tables."""
     occurrence = F.struct("doc", "mark", "place")
@@ -270,13 +276,14 @@ def groups(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
     scratch = [text, members, small]
 
     def may(a: str, b: str) -> Column:
+        """`may_link` in Spark's terms."""
         apart = F.bit_count(F.col(f"{a}.s1").bitwiseXOR(F.col(f"{b}.s1"))) + F.bit_count(F.col(f"{a}.s2").bitwiseXOR(F.col(f"{b}.s2")))
         return (apart <= MOST_BITS) & (F.least(f"{a}.length", f"{b}.length") >= MIN_SIMILARITY * F.greatest(f"{a}.length", f"{b}.length"))
 
-    def similar(pairs: DataFrame) -> DataFrame:
+    def similar(pairs: DataFrame, checked: bool) -> DataFrame:
         mark = F.struct("s1", "s2", "length")
         a, b = small.select(F.col("id").alias("a"), mark.alias("_x")), small.select(F.col("id").alias("b"), mark.alias("_y"))
-        near = pairs.join(a, "a").join(b, "b").where(may("_x", "_y")).select("a", "b", F.greatest("_x.length", "_y.length").alias("longer"))
+        near = pairs.join(a, "a").join(b, "b").where(F.lit(checked) | may("_x", "_y")).select("a", "b", F.greatest("_x.length", "_y.length").alias("longer"))
         # few pairs are left: written first, their ids can go to the text where it lies, if they are few enough to be sent
         near = saved(near, "lines-near")
         scratch.append(near)
@@ -291,7 +298,7 @@ def groups(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
         long = both.where(F.col("longer") > LONG).where(~narrow).withColumn("most", F.expr(most)).repartition("a", "b")
         return quick.select("a", "b").unionByName(long.where(F.pandas_udf(_within, "boolean")("la", "lb", "most")).select("a", "b"))
 
-    linked = linked_groups(members, similar, small, may)
+    linked = linked_groups(members, similar, small, may_link)
     linked = saved(text.select("id", "h1", "h2").join(linked, "id").drop("id"), "lines-linked")
     dropped(*scratch)
     return distinct, linked

@@ -211,6 +211,12 @@ def _members(sets: DataFrame) -> DataFrame:
     return sets.select("doc_id", "n", "set").mapInArrow(run, "bucket long, id long, role int, spare int")
 
 
+def may_link(x: dict[str, np.ndarray], y: dict[str, np.ndarray]) -> np.ndarray:
+    """Sizes and sketches of linked texts: no further apart than sets of a similarity of 3/4 can be."""
+    apart = np.bitwise_count((x["sketch"] ^ y["sketch"]).view(U64)).sum(axis=1, dtype=np.int64)
+    return (x["n"] * 4 >= y["n"] * 3) & (y["n"] * 4 >= x["n"] * 3) & (7 * apart <= x["n"] + y["n"])
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of each row."""
     spark = docs.sparkSession
@@ -227,19 +233,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     short = sets.select(F.col("doc_id").alias("id"), "n", "sketch")
 
     def may(a: str, b: str) -> Column:
-        """Sizes and sketches of linked texts: no further apart than sets of a similarity of 3/4 can be."""
+        """`may_link` in Spark's terms."""
         na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
         apart = sum((F.bit_count(F.col(f"{a}.sketch")[i].bitwiseXOR(F.col(f"{b}.sketch")[i])) for i in range(SHORT_SKETCH // 64)), F.lit(0))
         return (na * 4 >= nb * 3) & (nb * 4 >= na * 3) & (7 * apart <= na + nb)
 
-    def similar(pairs: DataFrame) -> DataFrame:
+    def similar(pairs: DataFrame, checked: bool) -> DataFrame:
         a, b = (short.select(F.col("id").alias(end), F.struct("n", "sketch").alias(f"_m{end}")) for end in "ab")
-        near = pairs.join(a, "a").join(b, "b").where(may("_ma", "_mb")).select("a", "b")
+        near = pairs if checked else pairs.join(a, "a").join(b, "b").where(may("_ma", "_mb")).select("a", "b")
         whole = sets.select("doc_id", "n", "set")
         met = near.join(whole.toDF("a", "na", "sa"), "a").join(whole.toDF("b", "nb", "sb"), "b")
         return met.where(7 * F.size(F.array_intersect("sa", "sb")) >= 3 * (F.col("na") + F.col("nb"))).select("a", "b")
 
-    groups = linked_groups(members, similar, short, may)
+    groups = linked_groups(members, similar, short, may_link)
     groups = saved(groups, "parity-groups")
     dropped(sets, members)
     named = classes.select("n", "fp1", "fp2", "first").join(groups, classes["first"] == groups["id"], "left").select("n", "fp1", "fp2", F.coalesce("component", "first").alias("component_id"))
