@@ -12,6 +12,7 @@ segment; a stream that ends leaves the last segment of each key open until the w
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,7 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 _PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_ROW = "us long, place long, value string"
+#: Rows that wait, as JSON: an entry for each batch of rows that came, as each entry costs a call of its own.
+_ROWS = "rows string"
 _OPEN = "segment long, value string, size long, first long, last long"
 
 
@@ -30,14 +32,15 @@ class _Segments(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", _ROW)
+        self.waiting = handle.getListState("waiting_rows", _ROWS)
         self.open = handle.getValueState("open", _OPEN)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         times = set()
         for batch in rows:
             came = [(int(t), int(p), v if isinstance(v, str) else None) for t, p, v in zip(batch["us"], batch["place"], batch["value"])]
-            self.waiting.appendList(came)
+            if came:
+                self.waiting.appendValue((json.dumps(came),))
             times |= {-(-t // 1000) for t, _, _ in came}
         # a timer for the last row is enough: when it goes off, all rows up to the watermark are taken
         for t in {min(times), max(times)} if times else ():
@@ -46,11 +49,13 @@ class _Segments(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = sorted(self.waiting.get() if self.waiting.exists() else (), key=lambda r: (r[0], r[1]))
+        rows = sorted((r for held in self.waiting.get() for r in json.loads(held[0])), key=lambda r: (r[0], r[1]))
         now = [r for r in rows if r[0] <= passed]
-        self.waiting.clear()
+        if now:
+            self.waiting.clear()
         if len(rows) > len(now):
-            self.waiting.put([tuple(r) for r in rows[len(now) :]])
+            if now:
+                self.waiting.put([(json.dumps(rows[len(now) :]),)])
             self.handle.registerTimer(-(-rows[-1][0] // 1000))
         number, value, size, first, last = self.open.get() if self.open.exists() else (0, None, 0, 0, 0)
         out = []
@@ -66,7 +71,8 @@ class _Segments(StatefulProcessor):
             size = 0
         elif size:
             self.handle.registerTimer((last + self.idle) // 1000 + 1)
-        self.open.update((number, value, size, first, last))
+        if now or out:
+            self.open.update((number, value, size, first, last))
         if out:
             made = pd.DataFrame(out, columns=["segment", "value", "rows", "first_us", "last_us"])
             made.insert(0, self.key, key[0])

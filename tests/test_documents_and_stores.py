@@ -228,3 +228,32 @@ def test_short_recordings_share_tasks():
     assert seen == {f: n for f, _, n in runs if n}
     assert [t.runs for t in recordings.dealt([("a", 0, 700), ("b", 0, 0), ("c", 0, 300)], 300)] == [[("a", 0, 300)], [("a", 300, 300)], [("a", 600, 100)], [("c", 0, 300)]]
     assert len(recordings.dealt([("a", 0, 300 * recordings.SAMPLES)], recordings.SAMPLES)) == 300
+
+
+def test_live_segments_hold_batches_not_rows():
+    """State has one entry for each batch of a key's rows, not one for each row, and is read again in order."""
+    pd = pytest.importorskip("pandas")
+
+    class State(list):
+        appendValue, put, get = list.append, lambda self, rows: self.extend(rows), lambda self: iter(self)
+        exists, update = lambda self: bool(self), lambda self, row: self.__setitem__(slice(None), [row])
+
+    class Handle:
+        timers = []
+        getListState = getValueState = lambda self, name, schema: State()
+        registerTimer = timers.append
+
+    class Watermark:
+        def __init__(self, ms):
+            self.getCurrentWatermarkInMs = lambda: ms
+
+    made = live_segments._Segments("k", 10, 10**12)
+    made.init(Handle())
+    made.open.get = lambda: made.open[0]
+    frames = [pd.DataFrame({"us": range(at, at + 500), "place": range(500), "value": ["a", None, "é\"", "b", "b"] * 100}) for at in (500_000, 0)]
+    list(made.handleInputRows(("x",), iter(frames), None))
+    assert len(made.waiting) == 2
+    first = [f for f in made.handleExpiredTimer(("x",), Watermark(400), None) if len(f)][0]
+    assert len(made.waiting) == 1 and list(first["value"][:4]) == ["a", None, 'é"', "b"] and first["rows"].sum() == 498
+    second = [f for f in made.handleExpiredTimer(("x",), Watermark(10_000), None) if len(f)][0]
+    assert not made.waiting and list(second["segment"]) == list(range(len(first) + 1, len(first) + len(second) + 1)) and second["rows"].sum() == 500
