@@ -12,10 +12,13 @@ from pyspark.sql.window import Window
 
 from .common import dropped, saved
 
-#: Ids of one leader that are held in a task at a time, twice; pairs whose marks are compared at once.
-SPAN, _PAIRS = 1024, 1 << 16
+#: Ids of one leader that are held in a task at a time, twice; pairs whose marks are compared at once; pairs whose texts are
+#: compared in one task, and at once.
+SPAN, _PAIRS, _LOT, _AT_ONCE = 1024, 1 << 16, 1 << 15, 1 << 12
 #: What tells of two lots of marks, by column, which pairs may be linked.
 May = Callable[[dict[str, np.ndarray], dict[str, np.ndarray]], np.ndarray]
+#: What tells of two lots of texts which pairs are linked.
+Near = Callable[[pa.Array, pa.Array], np.ndarray]
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -45,12 +48,31 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-def across(rest: DataFrame, marks: DataFrame | None = None, may: May | None = None) -> DataFrame:
+def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The rows of each key in a row, of rows in the order of the keys."""
+    now, parts = None, []
+    for batch in batches:
+        at = np.stack([batch.column(c).to_numpy() for c in keys])
+        cuts = np.flatnonzero(np.concatenate([[True], (at[:, 1:] != at[:, :-1]).any(axis=0), [True]])) if batch.num_rows else np.zeros(1, np.int64)
+        for begin, end in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            key = tuple(at[:, begin].tolist())
+            if key != now and parts:
+                yield pa.Table.from_batches(parts)
+                parts = []
+            now = key
+            parts.append(batch.slice(begin, end - begin))
+    if parts:
+        yield pa.Table.from_batches(parts)
+
+
+def across(rest: DataFrame, marks: DataFrame | None = None, may: May | None = None, texts: DataFrame | None = None, near: Near | None = None) -> DataFrame:
     """Pairs (a < b) of ids that share a bucket but no component, and that may be linked by their marks; hardly any comes twice.
 
     rest: bucket, leader, id, component. Texts of one family share hundreds of buckets, most of them with the same leader, so all
     buckets of a leader are looked at together and give each pair once. An id goes to a task with its buckets and its marks;
     more than SPAN ids of a leader are cut into blocks, and each two blocks are a task's work.
+    With texts (id, line) and near, only pairs that are linked: an id then goes on with the ids it may be linked with, at most some
+    _LOT to a task, and the texts of a task are compared there, so that pairs which just miss never become rows.
     """
     held = rest.groupBy("leader", "id").agg(F.first("component").alias("component"), F.collect_list("bucket").alias("buckets"))
     many = held.groupBy("leader").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").selectExpr("leader", f"(_n + {SPAN - 1}) div {SPAN} AS _k")
@@ -67,7 +89,7 @@ def across(rest: DataFrame, marks: DataFrame | None = None, may: May | None = No
             return found.flatten().to_numpy().reshape(len(found), -1)
         return found.to_numpy()
 
-    def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    def pairs(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         ids, component, own = (column(table, c) for c in ("id", "component", "_own"))
         low, high = table.column("_lo")[0].as_py(), table.column("_hi")[0].as_py()
         left, right = np.flatnonzero(own == low), np.flatnonzero(own == high)
@@ -80,10 +102,10 @@ def across(rest: DataFrame, marks: DataFrame | None = None, may: May | None = No
         flat, owner = flat[order], owner[order]
         cuts = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1], [True]]))
         meet = np.zeros((len(left), len(right)), bool)
-        for begin, end in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            if end - begin > 1:
-                some = owner[begin:end]
-                meet[np.ix_(place[some[own[some] == low]], place[some[own[some] == high]])] = True
+        several = np.flatnonzero(np.diff(cuts) > 1)
+        for begin, end in zip(cuts[several].tolist(), cuts[several + 1].tolist()):
+            some = owner[begin:end]
+            meet[np.ix_(place[some[own[some] == low]], place[some[own[some] == high]])] = True
         meet &= component[left][:, None] != component[right][None, :]
         x, y = np.nonzero(np.triu(meet, 1) if low == high else meet)
         x, y = left[x], right[y]
@@ -91,49 +113,95 @@ def across(rest: DataFrame, marks: DataFrame | None = None, may: May | None = No
         for at in range(0, len(x), _PAIRS):
             i, j = x[at : at + _PAIRS], y[at : at + _PAIRS]
             if may is not None:
-                near = may({c: v[i] for c, v in lots.items()}, {c: v[j] for c, v in lots.items()})
-                i, j = i[near], j[near]
-            yield pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(ids[i], ids[j])), "b": pa.array(np.maximum(ids[i], ids[j]))})
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, parts = None, []
-        for batch in batches:
-            keys = np.stack([batch.column(c).to_numpy() for c in ("leader", "_lo", "_hi")])
-            cuts = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(axis=0), [True]])) if batch.num_rows else np.zeros(1, np.int64)
-            for begin, end in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                key = tuple(keys[:, begin].tolist())
-                if key != now and parts:
-                    yield from pairs(pa.Table.from_batches(parts))
-                    parts = []
-                now = key
-                parts.append(batch.slice(begin, end - begin))
-        if parts:
-            yield from pairs(pa.Table.from_batches(parts))
-
-    laid = laid.select("leader", "_lo", "_hi", "_own", "id", "component", "buckets", *others).repartition("leader", "_lo", "_hi")
-    return laid.sortWithinPartitions("leader", "_lo", "_hi").mapInArrow(run, f"a {kind}, b {kind}")
-
-
-def linked_groups(members: DataFrame, similar: Callable[[DataFrame, bool], DataFrame], marks: DataFrame | None = None, may: May | None = None) -> DataFrame:
+                close = may({c: v[i] for c, v in lots.items()}, {c: v[j] for c, v in lots.items()})
+                i, j = i[close], j[close]
+            yield ids[i], ids[j]
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _runs(batches, keys):
+            for i, j in pairs(table):
+                yield pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(i, j)), "b": pa.array(np.maximum(i, j))})
+
+    def lots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each lot of pairs, its ids, each with the ids it is to be compared with."""
+        for table in _runs(batches, keys):
+            leader, low, high, number = *(table.column(c)[0].as_py() for c in keys), 0
+            for i, j in pairs(table):
+                for at in range(0, len(i), _LOT):
+                    a, b = i[at : at + _LOT], j[at : at + _LOT]
+                    ids, where = np.unique(np.concatenate([a, b]), return_inverse=True)
+                    order = np.argsort(where[: len(a)], kind="stable")
+                    count = np.bincount(where[: len(a)], minlength=len(ids))
+                    peers = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(b[order]))
+                    same = {c: pa.array(np.full(len(ids), v, np.int64)) for c, v in zip((*keys, "_lot"), (leader, low, high, number))}
+                    yield pa.RecordBatch.from_pydict(same | {"id": pa.array(ids), "peers": peers})
+                    number += 1
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def linked() -> pa.RecordBatch:
+            x, y, a, b = zip(*held)
+            close = near(pa.concat_arrays(a), pa.concat_arrays(b))
+            x, y = np.concatenate(x)[close], np.concatenate(y)[close]
+            return pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(x, y)), "b": pa.array(np.maximum(x, y))})
+
+        for table in _runs(batches, [*keys, "_lot"]):
+            table = table.sort_by("id").combine_chunks()
+            ids, line = column(table, "id"), table.column("line").combine_chunks()
+            peers = table.column("peers").combine_chunks()
+            i, j = np.repeat(np.arange(len(ids)), peers.value_lengths().to_numpy()), np.searchsorted(ids, peers.flatten().to_numpy())
+            # small lots are compared together
+            for at in range(0, len(i), _AT_ONCE):
+                x, y = i[at : at + _AT_ONCE], j[at : at + _AT_ONCE]
+                held.append((ids[x], ids[y], line.take(pa.array(x)), line.take(pa.array(y))))
+                size += len(x)
+                if size >= _AT_ONCE:
+                    yield linked()
+                    held, size = [], 0
+        if held:
+            yield linked()
+
+    keys = ["leader", "_lo", "_hi"]
+    laid = laid.select(*keys, "_own", "id", "component", "buckets", *others).repartition(*keys).sortWithinPartitions(*keys)
+    if near is None:
+        return laid.mapInArrow(listed, f"a {kind}, b {kind}")
+    dealt = laid.mapInArrow(lots, f"leader {kind}, _lo long, _hi long, _lot long, id {kind}, peers array<{kind}>").join(texts, "id")
+    dealt = dealt.repartition(*keys, "_lot").sortWithinPartitions(*keys, "_lot")
+    return dealt.mapInArrow(compared, f"a {kind}, b {kind}")
+
+
+def linked_groups(
+    members: DataFrame,
+    similar: Callable[[DataFrame, bool], DataFrame],
+    marks: DataFrame | None = None,
+    may: May | None = None,
+    texts: DataFrame | None = None,
+    near: Near | None = None,
+) -> DataFrame:
     """id and component of all ids that are linked with another.
 
     members: bucket and id; two ids can only be linked if they share a bucket. Where linked ids share several, members also
     has role and spare: of the buckets of each (id, role), the `spare` most common ones are left out, which is right if
     linked ids share more than `spare` buckets of the role (of what both have in common, the rarest stays with both).
-    similar: keeps of pairs (a, b) those that are linked; it is also told if `may` has passed them all already. The groups are exact, yet pairs within a group are not all looked
+    similar: keeps of pairs (a, b) those that are linked; it is also told if `may` has passed them all already. With texts (id, line)
+    and near, the last step compares texts where pairs are found (`across`). The groups are exact, yet pairs within a group are not all looked
     at: first each id meets the one leader (smallest id of a bucket) with which it shares most buckets; then, where a bucket
     still holds different groups, its ids meet its leader; at last, in buckets that even then hold different groups, all
     pairs across groups are looked at, each once; by then a bucket's leader has met all others.
     """
-    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    busy = members.join(sizes, "bucket")
-    if "spare" in members.columns:
+    spared, rare = "spare" in members.columns, members.select("bucket", "id")
+    if spared:
+        sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
         common = Window.partitionBy("id", "role").orderBy(F.desc("_n"), "bucket")
-        busy = busy.withColumn("_place", F.row_number().over(common)).where("_place > spare").select("bucket", "id")
-    rare = saved(busy.select("bucket", "id"), "lg-rare")
-    leaders = rare.groupBy("bucket").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
-    busy = saved(rare.join(leaders, "bucket"), "lg-busy")
-    dropped(rare)
+        busy = members.join(sizes, "bucket").withColumn("_place", F.row_number().over(common)).where("_place > spare")
+        rare = saved(busy.select("bucket", "id"), "lg-rare")
+    # a bucket's first id is its leader; one that no other id follows is alone
+    bucket = Window.partitionBy("bucket").orderBy("id")
+    led = rare.select("bucket", "id", F.first("id").over(bucket.rowsBetween(Window.unboundedPreceding, 0)).alias("leader"), F.lead("id").over(bucket).alias("_next"))
+    busy = saved(led.where("id != leader OR _next IS NOT NULL").select("bucket", "id", "leader"), "lg-busy")
+    if spared:
+        dropped(rare)
 
     def link(pairs: DataFrame, known: DataFrame | None, checked: bool = False) -> DataFrame:
         found = similar(pairs, checked).select("a", "b")
@@ -145,10 +213,12 @@ def linked_groups(members: DataFrame, similar: Callable[[DataFrame, bool], DataF
     def mixed(groups: DataFrame) -> DataFrame:
         """Members of buckets that hold different groups."""
         named = busy.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        several = named.groupBy("bucket").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo != _hi").select("bucket")
-        return saved(named.join(several, "bucket", "left_semi"), "lg-mixed")
+        bucket = Window.partitionBy("bucket")
+        seen = {"_lo": F.min("component").over(bucket), "_hi": F.max("component").over(bucket), "_chief": F.min_by("component", "id").over(bucket)}
+        return saved(named.withColumns(seen).where("_lo != _hi").drop("_lo", "_hi"), "lg-mixed")
 
-    stars = busy.where("id != leader").groupBy("id", "leader").agg(F.count(F.lit(1)).alias("_n"))
+    # both groupings need no more than the rows of an id in one place
+    stars = busy.where("id != leader").repartition("id").groupBy("id", "leader").agg(F.count(F.lit(1)).alias("_n"))
     first = saved(stars.groupBy("id").agg(F.max_by("leader", F.struct("_n", -F.col("leader"))).alias("a")).select("a", F.col("id").alias("b")), "lg-first")
     links = link(first, None)
     groups = connected_components(links)
@@ -158,8 +228,12 @@ def linked_groups(members: DataFrame, similar: Callable[[DataFrame, bool], DataF
         if rest.isEmpty():
             break
         if step == "leaders":
-            chief = rest.where("id = leader").select("bucket", F.col("component").alias("_chief"))
-            pairs = rest.join(chief, "bucket").where("component != _chief").select(F.col("leader").alias("a"), F.col("id").alias("b"))
+            pairs = rest.where("component != _chief").select(F.col("leader").alias("a"), F.col("id").alias("b"))
+        elif near is not None:
+            links, known = saved(across(rest.where("id != leader"), marks, may, texts, near).unionByName(links), "lg-links"), links
+            groups = connected_components(links)
+            dropped(rest, known)
+            break
         else:
             pairs = across(rest.where("id != leader"), marks, may)
         pairs = saved(pairs.distinct().join(seen, ["a", "b"], "left_anti"), "lg-pairs")

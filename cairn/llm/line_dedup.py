@@ -18,7 +18,6 @@ from collections.abc import Iterator
 from hashlib import blake2b
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -27,14 +26,13 @@ from pyspark.sql import functions as F
 
 from .common import dropped, saved, text_slices
 from .components import linked_groups
+from .edits import within
 from .textgrams import U64, bytes_of, mix, pieces
 
 #: A line of so many words, or of so many characters whatever the script, can have near lines.
 MIN_WORDS = 5
 MIN_CHARS = 16
 MIN_SIMILARITY = 0.8
-#: Lines of more characters are compared whole rows at a time.
-LONG = 512
 #: Ids that are broadcast, at most; more are joined by a shuffle.
 MOST_SENT = 1_000_000
 ROWS, BANDS = 3, 42
@@ -141,8 +139,15 @@ def distance(a: str, b: str, most: int) -> int | None:
     return score if score <= most else None
 
 
-def _within(a: pd.Series, b: pd.Series, most: pd.Series) -> pd.Series:
-    return pd.Series([distance(x, y, m) is not None for x, y, m in zip(a, b, most)], dtype=bool)
+def similar_lines(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """Whether the edit similarity of each pair of lines is at least MIN_SIMILARITY."""
+    longer = np.maximum(pc.utf8_length(a).to_numpy(), pc.utf8_length(b).to_numpy())
+    return within(a, b, np.floor(longer * (1 - MIN_SIMILARITY) + 1e-9).astype(np.int64), distance)
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield batch.filter(pa.array(similar_lines(batch.column("la"), batch.column("lb")), pa.bool_())).select(["a", "b"])
 
 
 def block_keys(found: np.ndarray) -> np.ndarray:
@@ -283,7 +288,7 @@ def groups(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
     def similar(pairs: DataFrame, checked: bool) -> DataFrame:
         mark = F.struct("s1", "s2", "length")
         a, b = small.select(F.col("id").alias("a"), mark.alias("_x")), small.select(F.col("id").alias("b"), mark.alias("_y"))
-        near = pairs.join(a, "a").join(b, "b").where(F.lit(checked) | may("_x", "_y")).select("a", "b", F.greatest("_x.length", "_y.length").alias("longer"))
+        near = pairs.join(a, "a").join(b, "b").where(F.lit(checked) | may("_x", "_y")).select("a", "b")
         # few pairs are left: written first, their ids can go to the text where it lies, if they are few enough to be sent
         near = saved(near, "lines-near")
         scratch.append(near)
@@ -291,14 +296,9 @@ def groups(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
         ids = F.broadcast(ids) if 2 * near.count() <= MOST_SENT else ids
         wanted = text.select("id", "line").join(ids, "id", "left_semi")
         both = near.join(wanted.toDF("a", "la"), "a").join(wanted.toDF("b", "lb"), "b")
-        # the distance within a narrow band costs little, and most near pairs need no wider one
-        most = f"cast(floor(longer * {1 - MIN_SIMILARITY:.10g} + 1e-9) as int)"
-        narrow = F.expr(f"levenshtein(la, lb, least({most}, 16)) >= 0")
-        quick = both.where(narrow | F.expr(f"longer <= {LONG} AND levenshtein(la, lb, {most}) >= 0"))
-        long = both.where(F.col("longer") > LONG).where(~narrow).withColumn("most", F.expr(most)).repartition("a", "b")
-        return quick.select("a", "b").unionByName(long.where(F.pandas_udf(_within, "boolean")("la", "lb", "most")).select("a", "b"))
-
-    linked = linked_groups(members, similar, small, may_link)
+        return both.mapInArrow(_compared, "a long, b long")
+
+    linked = linked_groups(members, similar, small, may_link, text.select("id", "line"), similar_lines)
     linked = saved(text.select("id", "h1", "h2").join(linked, "id").drop("id"), "lines-linked")
     dropped(*scratch)
     return distinct, linked

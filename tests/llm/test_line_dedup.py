@@ -8,7 +8,10 @@ import time
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from cairn.llm import line_dedup
+import numpy as np
+import pyarrow as pa
+
+from cairn.llm import edits, line_dedup
 
 
 def similarity(a: str, b: str) -> float:
@@ -27,6 +30,24 @@ def test_distance(a, b, most):
     assert line_dedup.distance(a, b, most) == (want if want <= most else None)
 
 
+def test_distances_of_many_pairs():
+    """Many pairs at once, with bands of one word and more, letters outside the BMP, empty texts: the same as one by one."""
+    rng = random.Random(4)
+    pairs = []
+    for _ in range(1500):
+        a = [rng.choice("abcé😀 ") for _ in range(rng.choice([0, 1, 7, 63, 64, 65, 130, 400, 700]))]
+        b = list(a)
+        for _ in range(rng.randrange(len(a) // 4 + 2)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randrange(2)] = rng.choice(["", "a", "xy"])
+        pairs.append(("".join(a), "".join(b), rng.choice([0, 3, len(a) // 5, len(a) // 2, len(a) + 9])))
+    a, b, most = zip(*pairs)
+    alone = []
+    got = edits.within(pa.array(a), pa.array(b), np.array(most), lambda *pair: alone.append(pair) or line_dedup.distance(*pair))
+    assert got.tolist() == [line_dedup.distance(*pair) is not None for pair in pairs]
+    assert 300 < got.sum() < 1400 and len(alone) < 200
+
+
 def test_long_lines(spark):
     """Lines of many thousand characters, near and not near."""
     rng = random.Random(8)

@@ -46,3 +46,15 @@ def test_marks_with_the_highest_bit():
     assert not far(7 * 256 - 1) and far(7 * 256)
     one = lambda s: {"s1": np.array([s]), "s2": np.array([0]), "length": np.array([20])}
     assert line_dedup.may_link(one(-1 << 14), one(0))[0] and not line_dedup.may_link(one(-1 << 13), one(0))[0]
+
+
+def test_pairs_that_miss_are_no_rows(spark):
+    """Texts compared where pairs are found: of a family that just misses, only linked pairs come out, and no task gets all pairs' texts."""
+    n, lines = 1200, {}
+    for i in range(n):
+        lines[i] = f"{'shared passage ' * 3}{i % 400:04d}"
+    rest = spark.createDataFrame([(bucket, 0, i, i) for i in range(n) for bucket in (7, 8)], "bucket long, leader long, id long, component long")
+    texts = spark.createDataFrame(list(lines.items()), "id long, line string")
+    found = components.across(rest, texts=texts, near=lambda a, b: np.array([x == y for x, y in zip(a.to_pylist(), b.to_pylist())], bool)).collect()
+    got = [(r.a, r.b) for r in found]
+    assert len(got) == len(set(got)) and set(got) == {(i, j) for i in range(n) for j in range(i + 400, n, 400)}
