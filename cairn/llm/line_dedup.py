@@ -161,10 +161,10 @@ def block_keys(found: np.ndarray) -> np.ndarray:
     return out
 
 
-def _members(signed: DataFrame, parts: int) -> DataFrame:
-    """bucket and id of the lines' keys that other lines have too.
+def _members(texts: DataFrame, parts: int) -> DataFrame:
+    """bucket and id of the keys of lines (id, line) that other lines have too.
 
-    Keys travel as six bytes, many to a row, to the part that finds those that repeat; a key that several lines of one
+    Keys are made here and not kept with the texts, as they are larger than most lines. They travel as six bytes, many to a row, to the part that finds those that repeat; a key that several lines of one
     slice have goes out twice only, for no line, so that a key of very many lines stays small.
     """
 
@@ -176,7 +176,7 @@ def _members(signed: DataFrame, parts: int) -> DataFrame:
         for batch in batches:
             order = np.argsort(batch.column("id").to_numpy())
             ids = batch.column("id").to_numpy()[order]
-            bands = np.frombuffer(b"".join(batch.column("keys").to_pylist()), np.uint32).reshape(-1, BANDS)[order]
+            bands = np.concatenate([np.zeros((0, BANDS), np.uint32), *(block_keys(minhashes(x.column("line"))) for x in text_slices(batch, "line", 1 << 18))])[order]
             at = 0
             while at < len(ids):
                 # offsets within a slice fit into two bytes, and none is the mark of a shared key
@@ -228,12 +228,12 @@ def _members(signed: DataFrame, parts: int) -> DataFrame:
         if held:
             yield from done(now, held)
 
-    laid = signed.select("id", "keys").mapInArrow(lay, "part long, own boolean, base long, blob binary")
+    laid = texts.select("id", "line").mapInArrow(lay, "part long, own boolean, base long, blob binary")
     return laid.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(find, "bucket long, id long")
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """h1, h2, compared form, sketch (s1, s2) and keys of lines (h1, h2, doc, mark, place), read again from the texts."""
+    """h1, h2, compared form, its length and sketch (s1, s2) of lines (h1, h2, doc, mark, place), read again from the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -244,10 +244,9 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 of, inner = pc.list_parent_indices(asked).to_numpy(), pc.list_flatten(asked)
                 at = begin[of] + inner.field("place").to_numpy()
                 text = compared(pc.list_flatten(split).take(pa.array(at)))
-                found = minhashes(text)
-                signs, keys = sketches(found).view(np.int64), block_keys(found)
+                signs = sketches(minhashes(text)).view(np.int64)
                 columns = {c: inner.field(c) for c in ("h1", "h2")} | {"line": text.cast(pa.string()), "length": pc.utf8_length(text).cast(pa.int32())}
-                columns |= {"s1": pa.array(signs[:, 0].copy()), "s2": pa.array(signs[:, 1].copy()), "keys": pa.array([k.tobytes() for k in keys], pa.binary())}
+                columns |= {"s1": pa.array(signs[:, 0].copy()), "s2": pa.array(signs[:, 1].copy())}
                 yield pa.RecordBatch.from_pydict(columns)
 
     zero = "coalesce(doc, cast(0 as {0}))".format(docs.schema["doc_id"].dataType.simpleString())
@@ -258,7 +257,7 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     # the lines of one text
     rows = keyed.groupBy("_doc", "_key").agg(F.collect_set(F.struct("h1", "h2", "place")).alias("lines"))
     met = from_docs.join(rows, ["_doc", "_key"]).dropDuplicates(["_doc", "_key"])
-    return met.select("text", "lines").mapInArrow(run, "h1 long, h2 long, line string, length int, s1 long, s2 long, keys binary")
+    return met.select("text", "lines").mapInArrow(run, "h1 long, h2 long, line string, length int, s1 long, s2 long")
 
 
 def may_link(x: dict[str, np.ndarray], y: dict[str, np.ndarray]) -> np.ndarray:
