@@ -11,6 +11,8 @@ from .textgrams import U64, bytes_of
 #: Words of the tables of letters that are held at once; pairs that are compared at once, at least (else one by one) and at most.
 _TABLE, LEAST, _MOST = 1 << 22, 24, 2048
 _ONES = ~U64(0)
+#: Kinds of letters that are counted; letters that are compared at a time where texts begin or end alike.
+_KINDS, _STEP = 32, 16
 
 
 def letters(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -28,6 +30,26 @@ def _ragged(begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.repeat(begin, size) + inner, inner
 
 
+def _counted(text: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """How many letters of each of _KINDS kinds each text has."""
+    many = len(at) - 1
+    owner = np.repeat(np.arange(many) * _KINDS, np.diff(at))
+    return np.bincount(owner + text % _KINDS, minlength=many * _KINDS).reshape(many, _KINDS)
+
+
+def _alike(data: np.ndarray, p: np.ndarray, q: np.ndarray, most: np.ndarray, step: int) -> np.ndarray:
+    """How many letters are the same from places p and q on (step 1) or backwards (step -1), at most `most`."""
+    found, going = np.zeros(len(p), np.int64), np.arange(len(p))
+    while len(going):
+        inner = found[going, None] + np.arange(_STEP)
+        left, right = (np.clip(x[going, None] + step * inner, 0, len(data) - 1) for x in (p, q))
+        same = (data[left] == data[right]) & (inner < most[going, None])
+        run = np.where(same.all(axis=1), _STEP, same.argmin(axis=1))
+        found[going] += run
+        going = going[run == _STEP]
+    return found
+
+
 def within(a: pa.Array, b: pa.Array, most: np.ndarray, one_by_one) -> np.ndarray:
     """Whether the Levenshtein distance of each pair of texts is at most its `most`.
 
@@ -38,10 +60,21 @@ def within(a: pa.Array, b: pa.Array, most: np.ndarray, one_by_one) -> np.ndarray
     most = np.asarray(most, np.int64)
     out = np.maximum(m, n) <= most
     todo = np.flatnonzero(~out & (np.abs(m - n) <= most) & (np.minimum(m, n) > 0))
-    longer = np.maximum(m, n)[todo]
-    order = np.argsort(longer, kind="stable")
-    todo, longer = todo[order], longer[order]
-    data, starts = np.concatenate([x.astype(np.uint32, copy=False), y.astype(np.uint32, copy=False)]), (x_at[:-1], y_at[:-1] + len(x))
+    # an edit takes one letter away, brings one or both, so letters that one text has more of need as many edits
+    apart = _counted(x, x_at) - _counted(y, y_at)
+    todo = todo[np.maximum(np.maximum(apart, 0).sum(axis=1), np.maximum(-apart, 0).sum(axis=1))[todo] <= most[todo]]
+    data = np.concatenate([x.astype(np.uint32, copy=False), y.astype(np.uint32, copy=False)])
+    # what texts begin and end with alike takes no edits
+    p, q, shorter = x_at[:-1][todo], y_at[:-1][todo] + len(x), np.minimum(m, n)[todo]
+    head = _alike(data, p, q, shorter, 1)
+    both = head + _alike(data, p + m[todo] - 1, q + n[todo] - 1, shorter - head, -1)
+    starts = p + head, q + head
+    m, n = m[todo] - both, n[todo] - both
+    longer = np.maximum(m, n)
+    out[todo] = longer <= most[todo]
+    order = np.flatnonzero(~out[todo])
+    order = order[np.argsort(longer[order], kind="stable")]
+    todo, longer, m, n, starts = todo[order], longer[order], m[order], n[order], (starts[0][order], starts[1][order])
     seen = np.zeros(int(data.max()) + 1 if len(data) else 1, bool)
     seen[data] = True
     kinds = int(np.count_nonzero(seen))
@@ -58,9 +91,9 @@ def within(a: pa.Array, b: pa.Array, most: np.ndarray, one_by_one) -> np.ndarray
             picked = a.take(pa.array(some)).to_pylist(), b.take(pa.array(some)).to_pylist(), most[some].tolist()
             out[some] = [one_by_one(p, q, k) is not None for p, q, k in zip(*picked)]
         else:
-            place, inner = _ragged(low[some], short[some])
-            spot, _ = _ragged(high[some], longer[at:end])
-            out[some] = _band(code[place], inner, short[some], code[spot], longer[at:end], most[some], kinds)
+            place, inner = _ragged(low[at:end], short[at:end])
+            spot, _ = _ragged(high[at:end], longer[at:end])
+            out[some] = _band(code[place], inner, short[at:end], code[spot], longer[at:end], most[some], kinds)
         at = end
     return out
 

@@ -45,15 +45,26 @@ _DIGIT = np.isin(np.arange(256), np.frombuffer(b"0123456789", np.uint8))
 _FORM = np.array([48 if _DIGIT[c] else 32 if c < 128 and not chr(c).isalpha() else c for c in range(256)], np.uint8)
 _SHARED = 0xFFFF
 _SLICE = 1 << 14
+_KEYS, _OWN, _SIGNS = range(3)
+_FOUND = {"bucket": pa.int64(), "id": pa.int64(), "s1": pa.int64(), "s2": pa.int64(), "length": pa.int32()}
 
 
 def compared(lines: pa.Array) -> pa.Array:
     """The form whose edit similarity counts: small letters, runs of blanks as one space, none at the ends."""
     out = pc.utf8_lower(lines)
+    data, _ = bytes_of(out)
     for blank in "\t\v\f\r":
-        out = pc.replace_substring(out, blank, " ")
-    while pc.any(pc.match_substring(out, "  ")).as_py():
-        out = pc.replace_substring(out, "  ", " ")
+        if (data == ord(blank)).any():
+            out = pc.replace_substring(out, blank, " ")
+    while True:
+        space = bytes_of(out)[0] == 32
+        if not (space[1:] & space[:-1]).any():
+            break
+        fewer = pc.replace_substring(out, "  ", " ")
+        if pc.sum(pc.binary_length(fewer)).as_py() == pc.sum(pc.binary_length(out)).as_py():
+            # only at the ends of lines that follow each other
+            break
+        out = fewer
     return pc.utf8_trim(out, " ")
 
 
@@ -87,7 +98,9 @@ def lines(docs: DataFrame) -> DataFrame:
                 digest = np.frombuffer(b"".join([blake2b(x, digest_size=16).digest() for x in text.cast(pa.large_binary()).to_pylist()]), np.int64).reshape(-1, 2)
                 columns |= {"h1": pa.array(digest[:, 0].copy()), "h2": pa.array(digest[:, 1].copy())}
                 length = pc.utf8_length(text).cast(pa.int32())
-                fuzzy = (length.to_numpy() >= MIN_CHARS) | (pc.count_substring(text, " ").to_numpy() + 1 >= MIN_WORDS)
+                fuzzy = length.to_numpy() >= MIN_CHARS
+                short = np.flatnonzero(~fuzzy)
+                fuzzy[short] = pc.count_substring(text.take(pa.array(short)), " ").to_numpy() + 1 >= MIN_WORDS
                 yield pa.RecordBatch.from_pydict(columns | {"length": length, "fuzzy": pa.array(fuzzy)})
 
     rows = docs.where("text IS NOT NULL").select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("mark"), "text")
@@ -97,10 +110,12 @@ def lines(docs: DataFrame) -> DataFrame:
 def minhashes(texts: pa.Array) -> np.ndarray:
     """A row of MinHashes over the pieces of each text."""
     low, at = pieces(*normal(texts))
-    out = np.empty((len(texts), _HASHES), np.uint32)
+    out, one, begin = np.empty((_HASHES, len(texts)), np.uint32), np.empty_like(low), at[:-1]
     for k in range(_HASHES if len(texts) else 0):
-        out[:, k] = np.minimum.reduceat((low ^ _FLIP[k]) * _ODD[k], at[:-1])
-    return out
+        np.bitwise_xor(low, _FLIP[k], out=one)
+        np.multiply(one, _ODD[k], out=one)
+        np.minimum.reduceat(one, begin, out=out[k])
+    return np.ascontiguousarray(out.T)
 
 
 def sketches(found: np.ndarray) -> np.ndarray:
@@ -162,7 +177,8 @@ def block_keys(found: np.ndarray) -> np.ndarray:
 
 
 def _members(texts: DataFrame, parts: int) -> DataFrame:
-    """bucket and id of the keys of lines (id, line) that other lines have too.
+    """Of lines (id, line, length): bucket and id of the keys that other lines have too, and, in rows without a bucket, id, sketch (s1,
+    s2) and length of every line, as both are made of the same MinHashes.
 
     Keys are made here and not kept with the texts, as they are larger than most lines. They travel as six bytes, many to a row, to the part that finds those that repeat; a key that several lines of one
     slice have goes out twice only, for no line, so that a key of very many lines stays small.
@@ -174,9 +190,13 @@ def _members(texts: DataFrame, parts: int) -> DataFrame:
     def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId()
         for batch in batches:
+            if not batch.num_rows:
+                continue
             order = np.argsort(batch.column("id").to_numpy())
             ids = batch.column("id").to_numpy()[order]
-            bands = np.concatenate([np.zeros((0, BANDS), np.uint32), *(block_keys(minhashes(x.column("line"))) for x in text_slices(batch, "line", 1 << 18))])[order]
+            bands, signs = (np.concatenate(x)[order] for x in zip(*((block_keys(m), sketches(m)) for m in (minhashes(x.column("line")) for x in text_slices(batch, "line", 1 << 18)))))
+            marked = np.column_stack([ids, signs.view(np.int64), batch.column("length").to_numpy()[order]]).astype("<i8")
+            yield pa.RecordBatch.from_arrays([pa.array([number % parts]), pa.array([_SIGNS], pa.int8()), pa.array([int(ids[0])]), pa.array([marked.tobytes()], pa.binary())], names=["part", "kind", "base", "blob"])
             at = 0
             while at < len(ids):
                 # offsets within a slice fit into two bytes, and none is the mark of a shared key
@@ -190,20 +210,24 @@ def _members(texts: DataFrame, parts: int) -> DataFrame:
                 known = twice[np.minimum(np.searchsorted(twice, keys), len(twice) - 1)] == keys if len(twice) else np.zeros(len(keys), bool)
                 part, low = split(keys[known])
                 own = ((part << U64(32)) | low).astype("<u8").tobytes() + (ids[at] + line[known].astype(np.int64)).astype("<i8").tobytes()
-                rows = [(number % parts, True, int(ids[at]), own)] if known.any() else []
+                rows = [(number % parts, _OWN, int(ids[at]), own)] if known.any() else []
                 keys, line = np.concatenate([keys[~known], twice, twice]), np.concatenate([line[~known], np.full(2 * len(twice), _SHARED, "<u2")])
                 part, low = split(keys)
                 order = np.argsort(part, kind="stable")
                 low, line = low[order], line[order]
                 cuts = np.searchsorted(part[order], np.arange(parts + 1, dtype=U64)).tolist()
-                rows += [(p, False, int(ids[at]), low[a:b].tobytes() + line[a:b].tobytes()) for p, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
-                yield pa.RecordBatch.from_pydict({k: pa.array(v, t) for k, v, t in zip(("part", "own", "base", "blob"), zip(*rows), (pa.int64(), pa.bool_(), pa.int64(), pa.binary()))})
+                rows += [(p, _KEYS, int(ids[at]), low[a:b].tobytes() + line[a:b].tobytes()) for p, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+                yield pa.RecordBatch.from_pydict({k: pa.array(v, t) for k, v, t in zip(("part", "kind", "base", "blob"), zip(*rows), (pa.int64(), pa.int8(), pa.int64(), pa.binary()))})
                 number, at = number + 1, end
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch_of(n: int, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({c: pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in _FOUND.items()})
+
         def rows(bucket: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
             for a in range(0, len(ids), 1 << 16):
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array(bucket[a : a + (1 << 16)]), "id": pa.array(ids[a : a + (1 << 16)])})
+                some = slice(a, a + (1 << 16))
+                yield batch_of(len(ids[some]), {"bucket": bucket[some], "id": ids[some]})
 
         def done(part: int, held: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
             lows = [np.frombuffer(b, "<u4", len(b) // 6) for _, b in held]
@@ -216,8 +240,12 @@ def _members(texts: DataFrame, parts: int) -> DataFrame:
 
         now, held = -1, []
         for batch in batches:
-            for part, own, base, blob in zip(*(batch.column(c).to_pylist() for c in ("part", "own", "base", "blob"))):
-                if own:
+            for part, kind, base, blob in zip(*(batch.column(c).to_pylist() for c in ("part", "kind", "base", "blob"))):
+                if kind == _SIGNS:
+                    marked = np.frombuffer(blob, "<i8").reshape(-1, 4)
+                    yield batch_of(len(marked), {c: marked[:, k].copy() for k, c in enumerate(("id", "s1", "s2", "length"))})
+                    continue
+                if kind == _OWN:
                     yield from rows(np.frombuffer(blob, "<i8", len(blob) // 16), np.frombuffer(blob, "<i8", offset=len(blob) // 2))
                     continue
                 if part != now and held:
@@ -228,12 +256,12 @@ def _members(texts: DataFrame, parts: int) -> DataFrame:
         if held:
             yield from done(now, held)
 
-    laid = texts.select("id", "line").mapInArrow(lay, "part long, own boolean, base long, blob binary")
-    return laid.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(find, "bucket long, id long")
+    laid = texts.select("id", "line", "length").mapInArrow(lay, "part long, kind tinyint, base long, blob binary")
+    return laid.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(find, "bucket long, id long, s1 long, s2 long, length int")
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """h1, h2, compared form, its length and sketch (s1, s2) of lines (h1, h2, doc, mark, place), read again from the texts."""
+    """h1, h2, compared form and its length of lines (h1, h2, doc, mark, place), read again from the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -244,10 +272,8 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 of, inner = pc.list_parent_indices(asked).to_numpy(), pc.list_flatten(asked)
                 at = begin[of] + inner.field("place").to_numpy()
                 text = compared(pc.list_flatten(split).take(pa.array(at)))
-                signs = sketches(minhashes(text)).view(np.int64)
-                columns = {c: inner.field(c) for c in ("h1", "h2")} | {"line": text.cast(pa.string()), "length": pc.utf8_length(text).cast(pa.int32())}
-                columns |= {"s1": pa.array(signs[:, 0].copy()), "s2": pa.array(signs[:, 1].copy())}
-                yield pa.RecordBatch.from_pydict(columns)
+                columns = {c: inner.field(c) for c in ("h1", "h2")}
+                yield pa.RecordBatch.from_pydict(columns | {"line": text.cast(pa.string()), "length": pc.utf8_length(text).cast(pa.int32())})
 
     zero = "coalesce(doc, cast(0 as {0}))".format(docs.schema["doc_id"].dataType.simpleString())
     from_docs = docs.where("text IS NOT NULL").select(F.col("doc_id").alias("doc"), "text", F.xxhash64("text").alias("mark"))
@@ -257,7 +283,7 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     # the lines of one text
     rows = keyed.groupBy("_doc", "_key").agg(F.collect_set(F.struct("h1", "h2", "place")).alias("lines"))
     met = from_docs.join(rows, ["_doc", "_key"]).dropDuplicates(["_doc", "_key"])
-    return met.select("text", "lines").mapInArrow(run, "h1 long, h2 long, line string, length int, s1 long, s2 long")
+    return met.select("text", "lines").mapInArrow(run, "h1 long, h2 long, line string, length int")
 
 
 def may_link(x: dict[str, np.ndarray], y: dict[str, np.ndarray]) -> np.ndarray:
@@ -275,9 +301,10 @@ def groups(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
     # the text of each different line with near ones is read again, where it occurs first; ids follow the order of the files
     wanted = distinct.where("fuzzy").select("h1", "h2", "first.doc", "first.mark", "first.place")
     text = saved(_texts(docs, wanted).withColumn("id", F.monotonically_increasing_id()), "lines-text")
-    members = saved(_members(text, parts), "lines-members")
-    small = saved(text.select("id", "s1", "s2", "length").join(members.select("id").distinct(), "id", "left_semi"), "lines-busy")
-    scratch = [text, members, small]
+    laid = saved(_members(text, parts), "lines-members")
+    members = laid.where("bucket IS NOT NULL").select("bucket", "id")
+    small = saved(laid.where("bucket IS NULL").select("id", "s1", "s2", "length").join(members.select("id").distinct(), "id", "left_semi"), "lines-busy")
+    scratch = [text, laid, small]
 
     def may(a: str, b: str) -> Column:
         """`may_link` in Spark's terms."""

@@ -114,3 +114,30 @@ def test_many_removed_lines(spark):
     began = time.time()
     left = {r.doc_id: r.text for r in line_dedup.without(docs, gone).collect()}
     assert left[2] == "kept line one\nkept line two" and left[1].count("\n") == 199_999 and time.time() - began < 30
+
+
+def test_sketches_come_with_the_keys(spark):
+    """Each line's MinHashes are made once: the step that lays out its keys also gives its sketch and length."""
+    lines = [f"line number {i} of {i * 7919 % 101} words that are {'not ' * (i % 3)}the same" for i in range(300)] + ["a b c d e", "\u4e00" * 20]
+    found = line_dedup._members(spark.createDataFrame([(i + 5, x, len(x)) for i, x in enumerate(lines)], "id long, line string, length int"), 3)
+    signs = line_dedup.sketches(line_dedup.minhashes(pa.array(lines))).view(np.int64)
+    assert {r.id: (r.s1, r.s2, r.length) for r in found.where("bucket IS NULL").collect()} == {i + 5: (*signs[i].tolist(), len(x)) for i, x in enumerate(lines)}
+    keys = line_dedup.block_keys(line_dedup.minhashes(pa.array(lines)))
+    met = [set(np.flatnonzero((keys == k).any(axis=1)).tolist()) for k in keys]
+    buckets = {}
+    for r in found.where("bucket IS NOT NULL").collect():
+        buckets.setdefault(r.bucket, set()).add(r.id - 5)
+    assert all(len(x) > 1 for x in buckets.values()) and all(any(i in x and x >= {i, j} for x in buckets.values()) for i in range(len(lines)) for j in met[i] if i != j)
+
+
+def test_letters_that_cost_edits():
+    """Pairs told apart by their letters alone, and pairs alike at both ends: as one by one, in few tables."""
+    rng = random.Random(9)
+    a = ["".join(rng.choice("abcdef ") for _ in range(120)) for _ in range(60)]
+    b = [x[:50] + "".join(rng.choice("xyzé") for _ in range(rng.choice([3, 24, 30]))) + x[50 + rng.choice([0, 20]) :] for x in a]
+    far = [("q" * 100, "r" * 100, 20), ("é" * 30 + "a", "é" * 30, 0), ("abc" * 9, "abc" * 9, 0), ("aXc" * 9, "abc" * 9, 9)]
+    a, b, most = [*a, *(x for x, *_ in far)], [*b, *(y for _, y, _ in far)], np.array([24] * 60 + [k for *_, k in far])
+    got = edits.within(pa.array(a), pa.array(b), most, line_dedup.distance)
+    assert got.tolist() == [line_dedup.distance(*x) is not None for x in zip(a, b, most.tolist())] and 10 < got[:60].sum() < 60
+    assert edits.within(pa.array(["q" * 100] * 9), pa.array(["r" * 100] * 9), np.array([20] * 9), None).sum() == 0
+    assert edits._alike(np.frombuffer(b"abcabd", np.uint8), np.array([0]), np.array([3]), np.array([3]), 1).tolist() == [2]

@@ -58,3 +58,24 @@ def test_pairs_that_miss_are_no_rows(spark):
     found = components.across(rest, texts=texts, near=lambda a, b: np.array([x == y for x, y in zip(a.to_pylist(), b.to_pylist())], bool)).collect()
     got = [(r.a, r.b) for r in found]
     assert len(got) == len(set(got)) and set(got) == {(i, j) for i in range(n) for j in range(i + 400, n, 400)}
+
+
+def test_leaders_of_few_ids_are_looked_at_together(spark, monkeypatch, tmp_path):
+    """Ten leaders of the same four ids, in one task: their pairs are compared once, not once for each leader; also beside a large family."""
+    rows = [(leader * 10 + b, leader, i, i) for leader in range(10) for b in range(3) for i in (100, 101, 102, 103)] + [(900, 90, i, i // 2) for i in range(200, 240)]
+    rest, texts = spark.createDataFrame(rows, "bucket long, leader long, id long, component long"), spark.createDataFrame([(i, f"{i % 2}") for i in [*range(100, 104), *range(200, 240)]], "id long, line string")
+
+    def near(a, b):
+        (tmp_path / str(random.random())).write_text("\n".join(f"{x}" for x in range(len(a))))
+        return np.array([x == y for x, y in zip(a.to_pylist(), b.to_pylist())], bool)
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        got = [(r.a, r.b) for r in components.across(rest, texts=texts, near=near).collect()]
+        assert sum(len(p.read_text().split("\n")) for p in tmp_path.iterdir()) == 6 + 40 * 39 // 2 - 20
+        monkeypatch.setattr(components, "_MEET", 30)
+        assert sorted(got) == sorted((r.a, r.b) for r in components.across(rest, texts=texts, near=near).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert Counter(got) == Counter([(100, 102), (101, 103)] + [(a, b) for a in range(200, 240) for b in range(a + 2, 240, 2)])
