@@ -5,8 +5,8 @@ judged on the texts as given; they may overlap; documents are UTF-8 bytes, and s
 
 1. Equal texts are one class, of which the first document goes on; the others lose everything.
 2. Texts are packed into shards of about SHARD_BYTES; long texts are cut into overlapping pieces. Each window of `length` bytes
-   has an anchor, the smallest hash of its GRAM-byte pieces, so equal windows have equal anchors. Four bytes an anchor
-   travel to find those that several shards have; windows of other anchors cannot repeat elsewhere.
+   has an anchor, the smallest hash of its GRAM-byte pieces, and a key, the hash of more bytes around it (`anchored`); equal windows have
+   equal ones. Four bytes an anchor and a key travel to find those that several shards have; windows of other keys cannot repeat elsewhere.
 3. Each shard sorts the suffixes of its windows that may repeat within it (Larsson-Sadakane refinement, to `length` bytes),
    takes common prefixes (Kasai), and so knows the first document of each window. What it cannot settle itself, one document for each
    different window, is sent on as runs of windows with one anchor.
@@ -14,8 +14,9 @@ judged on the texts as given; they may overlap; documents are UTF-8 bytes, and s
    anchor are packed; each pack becomes a suffix array of its own, and the arrays are merged by binary search; a window's
    smallest doc_id decides.
 
-An anchor that very many shards have (HOT_SHARDS) is dealt out by the hash of each whole window instead, so that one common
-phrase in different surroundings is spread over all tasks; a window that is common itself is sent once by each shard.
+An anchor that very many shards have (HOT_SHARDS), with more different runs than a part should get, is dealt out by the hash of each
+whole window instead, so that one common phrase in different surroundings is spread over all tasks; a window that is common itself is
+sent once by each shard.
 
 Results for odd input: a null text is empty; texts shorter than `length` lose nothing and take nothing; rows without a doc_id
 are returned untouched and take nothing from others; rows that repeat a doc_id are told apart by their text and never remove each
@@ -36,13 +37,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import dropped, saved
-from .textgrams import U64, byte_window_hashes
+from .textgrams import U64, byte_hashes, byte_totals, byte_window_hashes, mix
 
 LENGTH = 50
 GRAM = 20
 SHARD_BYTES = 1 << 20
 #: Bytes of runs that are sorted at a time, and about as many bytes as one part gets.
 PACK_BYTES, PART_BYTES = 2 << 20, 8 << 20
+#: An anchor that so many shards have, with more runs than one part should get, is dealt out by whole windows, which travel alone.
 HOT_SHARDS = 512
 
 
@@ -127,28 +129,62 @@ def window_groups(text: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.
     return order, np.concatenate([[True], group[1:] != group[:-1]])[: len(order)]
 
 
-def anchored(data: np.ndarray, at: np.ndarray, length: int, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows in a row with one anchor: key, first place, number of windows, text.
+def anchored(data: np.ndarray, at: np.ndarray, length: int, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows in a row with one key: key, first place, number of windows, text, key of the anchor.
 
-    A key has the part in its upper and four bytes of the hash in its lower half.
+    A window's key is the hash of its anchor's first place in it with the bytes after it, or those before it, half as many as a window
+    has beside its anchor; one of both is always inside. So a key tells of many more bytes than the anchor, at no more runs than two for an
+    anchor, and equal windows have equal keys. A key has the part in its upper and four bytes of the hash in its lower half.
     """
     counts = np.maximum(np.diff(at) - length + 1, 0)
-    total = int(counts.sum())
-    if not total:
-        return np.zeros(0, U64), *(np.zeros(0, np.int64) for _ in range(3))
+    windows = int(counts.sum())
+    if not windows:
+        return np.zeros(0, U64), *(np.zeros(0, np.int64) for _ in range(3)), np.zeros(0, U64)
     gram = min(GRAM, length)
-    least, span, over = byte_window_hashes(data, gram), 1, length - gram + 1
+    total = byte_totals(data)
+    grams, span, over = byte_window_hashes(total, gram), 1, length - gram + 1
+    least = grams
     while 2 * span <= over:
         least, span = np.minimum(least[:-span], least[span:]), 2 * span
     if span < over:
         least = np.minimum(least[: len(least) - (over - span)], least[over - span :])
     text = np.repeat(np.arange(len(counts)), counts)
-    start = at[text] + np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts)
+    start = at[text] + np.arange(windows) - np.repeat(np.cumsum(counts) - counts, counts)
     least = least[start]
-    cut = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (text[1:] != text[:-1])]))
-    key = least[cut]
-    key = (((key >> U64(32)) * U64(parts)) & ~U64(0xFFFFFFFF)) | (key & U64(0xFFFFFFFF))
-    return key, start[cut], np.diff(np.append(cut, total)), text[cut]
+    fresh = text[1:] != text[:-1]
+    cut = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | fresh]))
+    value, first, many, text = least[cut], start[cut], np.diff(np.append(cut, windows)), text[cut]
+    # where the anchor stands first in a run's first window: at the end, if it is new there
+    new = np.concatenate([[False], (value[1:] < value[:-1]) & (text[1:] == text[:-1])])
+    place = first + over - 1
+    going = np.flatnonzero(~new)
+    place[going] = first[going] + (np.lib.stride_tricks.sliding_window_view(grams, over)[first[going]] == value[going, None]).argmax(axis=1)
+    side = over // 2
+    # windows with more than over - 1 - side bytes before their anchor count what stands before it, the others what stands after it
+    ahead = np.clip(place - (over - 1 - side) - first, 0, many)
+    before, after = (byte_hashes(total, np.clip(x, 0, len(data) - gram - side), gram + side) for x in (place - side, place))
+    key = np.stack([mix(before ^ U64(1)), mix(after ^ U64(2))], axis=1).ravel()
+    begin, n = np.stack([first, first + ahead], axis=1).ravel(), np.stack([ahead, many - ahead], axis=1).ravel()
+    of = np.repeat(np.arange(len(first)), 2)
+    again = np.flatnonzero(first + many - 1 > place)
+    if len(again):
+        # the anchor comes several times in these runs, so each window has its own first place of it
+        n[2 * again] = n[2 * again + 1] = 0
+        run = np.repeat(again, many[again])
+        own = first[run] + np.arange(len(run)) - np.repeat(np.cumsum(many[again]) - many[again], many[again])
+        wide = many[again] + over - 1
+        run_of = np.repeat(again, wide)
+        spot = first[run_of] + np.arange(len(run_of)) - np.repeat(np.cumsum(wide) - wide, wide)
+        met = grams[spot] == value[run_of]
+        spot = spot[met][np.searchsorted((run_of[met] << 32) | spot[met], (run << 32) | own)]
+        early = spot - own > over - 1 - side
+        hashes = byte_hashes(total, spot - np.where(early, side, 0), gram + side)
+        key, begin, n, of = (np.concatenate(x) for x in ((key, mix(hashes ^ np.where(early, U64(1), U64(2)))), (begin, own), (n, np.ones(len(own), np.int64)), (of, run)))
+        order = np.argsort(begin, kind="stable")
+        key, begin, n, of = key[order], begin[order], n[order], of[order]
+    some = np.flatnonzero(n > 0)
+    key, anchor = (((x >> U64(32)) * U64(parts)) & ~U64(0xFFFFFFFF) | (x & U64(0xFFFFFFFF)) for x in (key[some], value[of[some]]))
+    return key, begin[some], n[some], text[of[some]], anchor
 
 
 def intervals(starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -247,25 +283,41 @@ def _numbers(row: dict, *names: str) -> list[np.ndarray]:
 
 
 def _shared_anchors(shards: DataFrame, length: int, parts: int) -> DataFrame:
-    """shard, part and flags: a byte for each different anchor of the shard in the part, 1 if other shards have it, 2 if very many."""
+    """shard, part and flags: a byte for each different key and anchor of the shard in the part, 1 if other shards have it, 2 if it has
+    very many runs that go out. Equal runs of a shard go out once, so they count as one."""
 
     def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 at, data = _numbers(row, "at", "data")
-                key = np.unique(anchored(data, at, length, parts)[0])
-                part = (key >> U64(32)).astype(np.int64)
-                here, cut = np.unique(part, return_index=True)
-                low = (key & U64(0xFFFFFFFF)).astype("<u4")
-                blobs = [x.tobytes() for x in np.split(low, cut[1:])] if len(here) else []
-                yield pa.RecordBatch.from_pydict({"part": pa.array(here), "shard": pa.array([row["shard"]] * len(here), pa.int64()), "lows": pa.array(blobs, pa.binary())})
+                key, first, n, _, anchor = anchored(data, at, length, parts)
+                runs = np.concatenate([key, anchor])
+                order = np.argsort(runs)
+                runs = runs[order]
+                fresh = np.concatenate([[True], runs[1:] != runs[:-1]])[: len(runs)]
+                key = runs[fresh]
+                # of a key with several runs, how many others than one differ from each other
+                many = np.flatnonzero(~(fresh & np.append(fresh, True)[1:]))
+                run = order[many] % max(len(first), 1)
+                content = byte_hashes(byte_totals(data), first[run], n[run] + length - 1)
+                _, turn = np.unique(mix(runs[many]) ^ content, return_index=True)
+                held = np.sort(runs[many][turn])
+                more = held[1:][held[1:] == held[:-1]]
+                here, cut = np.unique((key >> U64(32)).astype(np.int64), return_index=True)
+                edges = np.searchsorted(more, here.astype(U64) << U64(32))
+                lows, mores = ([x.tobytes() for x in np.split((k & U64(0xFFFFFFFF)).astype("<u4"), c[1:])] if len(here) else [] for k, c in ((key, cut), (more, edges)))
+                yield pa.RecordBatch.from_pydict({"part": pa.array(here), "shard": pa.array([row["shard"]] * len(here), pa.int64()), "lows": pa.array(lows, pa.binary()), "more": pa.array(mores, pa.binary())})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(part: int, held: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
-            lows = [np.frombuffer(b, "<u4") for _, b in held]
+        def done(part: int, held: list[tuple[int, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+            lows = [np.frombuffer(b, "<u4") for _, b, _ in held]
             known, times = np.unique(np.concatenate(lows), return_counts=True)
-            known, times = known[times > 1], times[times > 1]
-            flag = np.where(times >= HOT_SHARDS, 2, 1).astype(np.uint8)
+            more, further = np.unique(np.frombuffer(b"".join(m for *_, m in held), "<u4"), return_counts=True)
+            runs = times.copy()
+            runs[np.searchsorted(known, more)] += further
+            known, times, runs = known[times > 1], times[times > 1], runs[times > 1]
+            # a run has fewer than 2 * length bytes but where its anchor comes again and again
+            flag = np.where((times >= HOT_SHARDS) & (runs * 2 * length > PART_BYTES), 2, 1).astype(np.uint8)
             out = []
             for low in lows:
                 found = np.zeros(len(low), np.uint8)
@@ -274,20 +326,20 @@ def _shared_anchors(shards: DataFrame, length: int, parts: int) -> DataFrame:
                     found = np.where(known[place] == low, flag[place], 0).astype(np.uint8)
                 out.append(found.tobytes())
             for a in range(0, len(held), 256):
-                yield pa.RecordBatch.from_pydict({"shard": pa.array([s for s, _ in held[a : a + 256]], pa.int64()), "part": pa.array([part] * len(held[a : a + 256]), pa.int64()), "flags": pa.array(out[a : a + 256], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"shard": pa.array([s for s, *_ in held[a : a + 256]], pa.int64()), "part": pa.array([part] * len(held[a : a + 256]), pa.int64()), "flags": pa.array(out[a : a + 256], pa.binary())})
 
         now, held = None, []
         for batch in batches:
-            for part, shard, lows in zip(*(batch.column(c).to_pylist() for c in ("part", "shard", "lows"))):
+            for part, shard, lows, more in zip(*(batch.column(c).to_pylist() for c in ("part", "shard", "lows", "more"))):
                 if part != now and held:
                     yield from done(now, held)
                     held = []
                 now = part
-                held.append((shard, lows))
+                held.append((shard, lows, more))
         if held:
             yield from done(now, held)
 
-    laid = shards.select("shard", "at", "data").mapInArrow(lay, "part long, shard long, lows binary")
+    laid = shards.select("shard", "at", "data").mapInArrow(lay, "part long, shard long, lows binary, more binary")
     return laid.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(count, "shard long, part long, flags binary")
 
 
@@ -299,15 +351,16 @@ def _settled(shards: DataFrame, flags: DataFrame, length: int, parts: int) -> Da
 
     def solve(row: dict, flag: np.ndarray) -> Iterator[pa.RecordBatch]:
         ids, marks, bases, at, data = _numbers(row, "ids", "marks", "bases", "at", "data")
-        key, first, count, text = anchored(data, at, length, parts)
+        key, first, count, text, anchor = anchored(data, at, length, parts)
         if not len(key):
             return
-        known, inverse = np.unique(key, return_inverse=True)
+        known, inverse = np.unique(np.concatenate([key, anchor]), return_inverse=True)
+        inverse, anchor_flag = inverse[: len(key)], flag[inverse[len(key) :]]
         doc = ids[text]
         low, high = np.full(len(known), np.iinfo(np.int64).max), np.full(len(known), np.iinfo(np.int64).min)
         np.minimum.at(low, inverse, doc)
         np.maximum.at(high, inverse, doc)
-        several, elsewhere = (low != high)[inverse], flag[inverse]
+        several, elsewhere = (low != high)[inverse], np.where(flag[inverse] > 0, anchor_flag, 0)
         take = np.flatnonzero(several | (elsewhere > 0))
         if not len(take):
             return
@@ -342,12 +395,13 @@ def _settled(shards: DataFrame, flags: DataFrame, length: int, parts: int) -> Da
         if not len(ask):
             return
         alone = elsewhere[of[ask]] == 2
-        cut = np.flatnonzero(np.concatenate([[True], (of[ask][1:] != of[ask][:-1]) | (np.diff(start[ask]) != 1) | alone[1:]]))
+        by, at_text = anchor[of[ask]], piece[ask]
+        cut = np.flatnonzero(np.concatenate([[True], (by[1:] != by[:-1]) | (at_text[1:] != at_text[:-1]) | (np.diff(start[ask]) != 1) | alone[1:]]))
         begin, windows = start[ask][cut], np.diff(np.append(cut, len(ask)))
         whole = data.tobytes()
         met: dict[tuple[int, bytes], list[int]] = {}
         keys = []
-        for b, n, p, k, each in zip(begin.tolist(), windows.tolist(), piece[ask[cut]].tolist(), key[of[ask[cut]]].tolist(), alone[cut].tolist()):
+        for b, n, p, k, each in zip(begin.tolist(), windows.tolist(), at_text[cut].tolist(), by[cut].view(np.int64).tolist(), alone[cut].tolist()):
             some = whole[b : b + n + length - 1]
             places = met.setdefault((p, some), [])
             if not places:
@@ -463,16 +517,18 @@ def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     total = shards.agg(F.sum("size")).first()[0] or 0
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = min(1 << 20, max(least, total // PART_BYTES, 1))
-    flags = _shared_anchors(shards, length, parts)
+    # a work table, so that the keys' shuffle files go before the shards travel
+    flags = saved(_shared_anchors(shards, length, parts), "suffix-flags")
     found = saved(_settled(shards, flags, length, parts), "suffix-found")
     asked = found.where("key IS NOT NULL")
     sent = asked.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
+    dropped(shards, flags)
     judged = _judged(asked, length, max(least, sent // PART_BYTES, 1))
     gone = found.where("key IS NULL").select("doc_id", "mark", "places", "ends").unionByName(judged)
     # an array of the spans of one text
     gone = gone.select("doc_id", "mark", F.arrays_zip("places", "ends").alias("some")).groupBy("doc_id", "mark").agg(F.flatten(F.collect_list("some")).alias("spans"))
     out = saved(classes.join(gone.withColumnRenamed("doc_id", "first"), ["first", "mark"], "left").select("size", "digest", "first", "spans"), "suffix-spans")
-    dropped(classes, shards, found)
+    dropped(classes, found)
     return out
 
 

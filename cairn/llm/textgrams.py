@@ -120,9 +120,19 @@ def distinct(hashes: np.ndarray, text: np.ndarray, texts: int) -> tuple[np.ndarr
     return keys & U64((1 << 52) - 1), np.append(at, len(keys))
 
 
-def byte_window_hashes(data: np.ndarray, n: int) -> np.ndarray:
-    """A 64-bit hash of each n bytes in a row of the data, whatever text they are in."""
+def byte_totals(data: np.ndarray) -> np.ndarray:
+    """Running totals of the data's bytes, of which `byte_window_hashes` and `byte_hashes` are made."""
     total = np.zeros(len(data) + 1, U64)
     np.cumsum(_BYTE[data] * _power(_BASE, len(data)), out=total[1:])
-    count = max(0, len(data) - n + 1)
-    return mix((total[n:] - total[:count]) * _power(_BACK, len(data))[:count])
+    return total
+
+
+def byte_window_hashes(total: np.ndarray, n: int) -> np.ndarray:
+    """A 64-bit hash of each n bytes in a row of the data, whatever text they are in."""
+    count = max(0, len(total) - n)
+    return mix((total[n:] - total[:count]) * _power(_BACK, len(total))[:count])
+
+
+def byte_hashes(total: np.ndarray, begin: np.ndarray, n: int) -> np.ndarray:
+    """The same of the n bytes that begin at some places."""
+    return mix((total[begin + n] - total[begin]) * _power(_BACK, len(total))[begin])

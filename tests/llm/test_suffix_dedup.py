@@ -100,3 +100,55 @@ def test_query_and_empty(spark, tmp_path):
     assert sorted(map(tuple, found), key=str) == sorted(want, key=str)
     docs.where("doc_id = -1").write.parquet(str(tmp_path / "none" / "documents.parquet"))
     assert queries.op11_suffix_dedup(spark, str(tmp_path / "none")).count() == 0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.binary(max_size=150), min_size=1, max_size=6), st.integers(1, 3), st.sampled_from([12, 20, 21, 22, 50, 51]))
+def test_equal_windows_have_equal_keys(texts, letters, length):
+    """Each window is in one run, and equal windows have one key and one anchor, also where an anchor comes again and again."""
+    texts = [t.translate(bytes(97 + i % letters for i in range(256))) for t in texts] + [b"ab" * 60]
+    data, at = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    seen, keys = [], {}
+    for key, first, n, text, anchor in zip(*(x.tolist() for x in suffix_dedup.anchored(data, at, length, 7))):
+        for i in range(first, first + n):
+            assert at[text] <= i and i + length <= at[text + 1]
+            seen.append(i)
+            assert keys.setdefault(data[i : i + length].tobytes(), (key, anchor)) == (key, anchor)
+    assert seen == [i for a, b in zip(at.tolist(), at[1:].tolist()) for i in range(a, b - length + 1)]
+
+
+def test_short_phrases_that_recur_are_not_sent(spark):
+    """Phrases longer than an anchor, in other surroundings each time: no window repeats, so no run travels; a longer one does."""
+    rng = random.Random(12)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    phrases, passage = [text(26) for _ in range(20)], text(90)
+
+    def sent(between: list[str]) -> int:
+        rows = [(i, 7, "".join(text(60) + x for x in between).encode() + text(60).encode()) for i in range(12)]
+        docs = spark.createDataFrame(rows, "doc_id long, mark long, data binary").repartitionByRange(4, "doc_id")
+        shards = suffix_dedup.saved(suffix_dedup._packed(docs, 50), "shards")
+        assert shards.count() > 1
+        return suffix_dedup._settled(shards, suffix_dedup._shared_anchors(shards, 50, 5), 50, 5).where("key IS NOT NULL").count()
+
+    assert sent(phrases) == 0 < sent([passage])
+
+
+def test_anchors_of_many_runs(spark, monkeypatch):
+    """A common passage travels as runs, one for each shard, while they fit into a part; beyond that by window. Both give the same."""
+    rng = random.Random(13)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    passage = text(150)
+    rows = [(i, text(rng.randint(40, 90)) + passage + text(70)) for i in range(24)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for name, value in (("SHARD_BYTES", 400), ("HOT_SHARDS", 5)):
+        monkeypatch.setattr(suffix_dedup, name, value)
+    packed = spark.createDataFrame([(d, 7, t.encode()) for d, t in rows], "doc_id long, mark long, data binary").repartitionByRange(8, "doc_id")
+    shards = suffix_dedup.saved(suffix_dedup._packed(packed, 50), "shards")
+    lengths = []
+    for part in (1 << 20, 400):
+        monkeypatch.setattr(suffix_dedup, "PART_BYTES", part)
+        sent = suffix_dedup._settled(shards, suffix_dedup._shared_anchors(shards, 50, 3), 50, 3).where("key IS NOT NULL")
+        lengths.append([len(r.bytes) for r in sent.collect()])
+        found = suffix_dedup.deduplicated(docs, 50).collect()
+        assert sorted(((r.doc.doc_id, r.n_bytes, [(s.first, s.end) for s in r.spans], bytes(r.kept)) for r in found), key=str) == plain(rows, 50)
+    assert sum(lengths[0]) * 3 < sum(lengths[1]) and 2 * lengths[1].count(50) > len(lengths[1])
